@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +22,11 @@ from .facts import FACT_TYPE, FACTS_SCHEMA, explode_facts, no_facts
 
 @dataclass(frozen=True)
 class Extractor:
-    """``expression`` gives an array of facts per file; ``table`` maps a table of
-    files to a table of facts.  Exactly one is set."""
+    """``expression`` builds an array of facts over the columns of a file; ``table``
+    maps a table of files to a table of facts.  Exactly one is set."""
 
     method: str
-    expression: Callable[[DataFrame], Column] | None = None
+    expression: Callable[[], Column] | None = None
     table: Callable[[DataFrame], DataFrame] | None = None
 
 
@@ -53,8 +53,8 @@ def _register_defaults() -> None:
             extensions,
             Extractor(
                 "regex",
-                expression=lambda files, language=language: rules.language_facts(
-                    language, files["content"]
+                expression=lambda language=language: rules.language_facts(
+                    language, F.col("content")
                 ),
             ),
         )
@@ -62,8 +62,8 @@ def _register_defaults() -> None:
         fixed.JS_EXTENSIONS,
         Extractor(
             "layout",
-            expression=lambda files: javascript.js_facts(
-                files["blocks"], files["content"], files["ext"]
+            expression=lambda: javascript.js_facts(
+                F.col("blocks"), F.col("content"), F.col("ext")
             ),
         ),
     )
@@ -118,21 +118,30 @@ def extract_facts(files: DataFrame) -> DataFrame:
 
 
 def _native_facts(files: DataFrame, extractors: dict[str, Extractor]) -> DataFrame:
+    """One scan for all languages: each file meets its own language's rules."""
     scanned = files.filter(F.col("ext").isin(*extractors)).withColumn(
         "blocks",
         F.when(
             F.col("ext").isin(*fixed.JS_EXTENSIONS), javascript.js_blocks(F.col("content"))
         ),
     )
+    session = files.sparkSession.sparkContext.applicationId
+    return explode_facts(scanned, _by_extension(session, tuple(extractors.items())))
+
+
+@lru_cache(maxsize=4)
+def _by_extension(session: str, extractors: tuple[tuple[str, Extractor], ...]) -> Column:
+    """Building some hundred expressions takes longer than planning with them, so
+    the column is kept for the life of the session."""
     grouped: dict[int, tuple[Extractor, list[str]]] = {}
-    for ext, extractor in extractors.items():
+    for ext, extractor in extractors:
         grouped.setdefault(id(extractor), (extractor, []))[1].append(ext)
     found = None
     for extractor, exts in grouped.values():
         test = F.col("ext").isin(*exts)
-        facts = extractor.expression(scanned).cast(f"array<{FACT_TYPE}>")
+        facts = extractor.expression().cast(f"array<{FACT_TYPE}>")
         found = F.when(test, facts) if found is None else found.when(test, facts)
-    return explode_facts(scanned, found.otherwise(no_facts()))
+    return found.otherwise(no_facts())
 
 
 _register_defaults()

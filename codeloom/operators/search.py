@@ -25,17 +25,14 @@ def keyword_search(queries: DataFrame, graph: Graph, top: int = 10) -> DataFrame
     Ranked by words hit, then degree, then id, within each query and repository.
     """
     asked = queries.select(
-        "query_id", F.col("repo").alias("q_repo"), F.explode(phrase_words(F.col("phrase"))).alias("word")
+        "query_id", "repo", F.explode(phrase_words(F.col("phrase"))).alias("word")
     )
     index = keyword_index(graph.nodes)
-    # the index shrinks to the asked words before it meets the queries
-    wanted = index.join(asked.select("word").distinct(), "word", "left_semi")
-    hits = (
-        wanted.join(asked, "word")
-        .filter("q_repo is null or q_repo = repo")
-        .groupBy("query_id", "repo", "node_id")
-        .agg(F.count("*").alias("words_hit"))
-    )
+    # a query about one repository meets only that repository's postings
+    local = asked.filter("repo is not null")
+    anywhere = asked.filter("repo is null").drop("repo")
+    found = index.join(local, ["repo", "word"]).unionByName(index.join(anywhere, "word"))
+    hits = found.groupBy("query_id", "repo", "node_id").agg(F.count("*").alias("words_hit"))
     ranked = W.partitionBy("query_id", "repo").orderBy(
         F.desc("words_hit"), F.desc("degree"), "node_id"
     )

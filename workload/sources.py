@@ -48,8 +48,8 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repo, file_id, dir, name, ext, content): one to three files per part."""
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One to three files per part: repo, k, alias, kind, dir, name, file_id, ext."""
     parts = _parts(spark, sf_dir)
     k, lang = F.col("k"), F.col("lang")
     suffix = _pick([t.ext for t in LANGUAGES.values()], k % len(LANGUAGES))
@@ -70,28 +70,36 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         file(F.lit("gostub"), F.lit(""), F.concat(base, F.lit(".pb.go")),
              (lang == "proto") & (k % 4 == 0)),
     )
-    rows = parts.select("repo", "k", "alias", F.explode(F.array_compact(files)).alias("f"))
+    file_id = F.when(F.col("dir") == "", F.col("name")).otherwise(F.concat_ws("/", "dir", "name"))
+    return (
+        parts.select("repo", "k", "alias", F.explode(F.array_compact(files)).alias("f"))
+        .select("repo", "k", "alias", "f.*")
+        .withColumn("file_id", file_id)
+        .withColumn("ext", file_extension(F.col("name")))
+    )
+
+
+def with_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, file_id, alias): each file and another file's stem."""
+    return _listing(spark, sf_dir).select("repo", "file_id", "alias")
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, file_id, dir, name, ext, content), texts filled in from templates."""
+    k = F.col("k")
     text = None
     for kind, template in TEMPLATES.items():
         body = F.lit(template.text)
         if template.more:
             body = F.concat(body, F.when(k % 3 == 0, template.more).otherwise(""))
-        test = F.col("f.kind") == kind
+        test = F.col("kind") == kind
         text = F.when(test, body) if text is None else text.when(test, body)
     content = F.replace(
         F.replace(text, F.lit("{k}"), k.cast("string")), F.lit("{alias}"), F.col("alias")
     )
-    file_id = F.when(F.col("f.dir") == "", F.col("f.name")).otherwise(
-        F.concat_ws("/", "f.dir", "f.name")
-    )
-    return rows.select(
-        "repo",
-        file_id.alias("file_id"),
-        F.col("f.dir").alias("dir"),
-        F.col("f.name").alias("name"),
-        file_extension(F.col("f.name")).alias("ext"),
-        content.alias("content"),
-    )
+    # a few bytes per part grow into whole files: spread them before they do
+    spread = _listing(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    return spread.select("repo", "file_id", "dir", "name", "ext", content.alias("content"))
 
 
 def fk_graph(spark: SparkSession, sf_dir: str) -> Graph:
