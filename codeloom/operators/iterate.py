@@ -49,10 +49,8 @@ def index_graph(nodes: DataFrame, pairs: DataFrame, work: WorkTables) -> Indexed
         "repos",
     )
     n_repos = repos.count()
-    vertices = work.keep(
-        listed.join(small_side(repos.select("repo", "rid"), n_repos), "repo"), "vertices"
-    )
-    by_name = vertices.select("repo", "node_id", "vid")
+    vertices = listed.join(small_side(repos.select("repo", "rid"), n_repos), "repo")
+    by_name = listed.select("repo", "node_id", "vid")
     numbered = (
         pairs.join(
             by_name.withColumnRenamed("node_id", "src").withColumnRenamed("vid", "s"),

@@ -16,6 +16,9 @@ from ..functions.work import WorkTables, small_side
 from .graph import Graph, pairs_of
 from .iterate import index_graph, salted_edges, send
 
+# rounds between two looks at whether any repository still moves
+ROUNDS_PER_LOOK = 5
+
 
 def pagerank(
     graph: Graph,
@@ -48,22 +51,22 @@ def pagerank(
     )
 
     def per_repo(state: DataFrame) -> DataFrame:
+        """(rid, n, idle, active): mass without successors, and whether the last
+        change was too large to stop."""
         idle = F.when(F.col("out_edges").isNull(), F.col("rank")).otherwise(0.0)
-        settled = F.lit(False) if rounds is not None else (
-            F.col("change") < F.col("n") * tolerance
+        moving = F.lit(True) if rounds is not None else (
+            F.col("change") >= F.col("n") * tolerance
         )
         return (
             state.groupBy("rid")
             .agg(F.sum(idle).alias("idle"), F.sum("change").alias("change"))
             .join(sizes, "rid")
-            .select("rid", "n", "idle", (~settled).alias("active"))
+            .select("rid", "n", "idle", moving.alias("active"))
         )
 
-    totals = work.alternate(per_repo(state), "totals")
-    for _ in range(max_rounds if rounds is None else rounds):
-        if rounds is None and totals.filter("active").isEmpty():
-            break
-        current = state.join(small_side(totals, indexed.n_repos), "rid")
+    limit = max_rounds if rounds is None else rounds
+    for done in range(1, limit + 1):
+        current = state.join(small_side(per_repo(state), indexed.n_repos), "rid")
         received = (
             send(
                 edges,
@@ -89,8 +92,12 @@ def pagerank(
             ),
             "ranks",
         )
-        totals = work.alternate(per_repo(state), "totals")
+        # a frozen repository does not change, so looking now and then is exact
+        if rounds is None and done % ROUNDS_PER_LOOK == 0:
+            if per_repo(state).filter("active").isEmpty():
+                break
     edges.unpersist()
+    totals = per_repo(state)
 
     final = state.join(small_side(totals.select("rid", "active"), indexed.n_repos), "rid")
     unsettled = F.col("active") if rounds is None else F.lit(False)

@@ -21,8 +21,7 @@ def text(value) -> str:
 
 def values(rows) -> str:
     return ", ".join(
-        "(" + ", ".join(v if isinstance(v, str) and v.startswith("!") and False else
-                        (str(v) if isinstance(v, int) else text(v)) for v in row) + ")"
+        "(" + ", ".join(str(v) if isinstance(v, int) else text(v) for v in row) + ")"
         for row in rows
     )
 
@@ -36,7 +35,7 @@ def in_list(items) -> str:
 
 
 PARTS = f"""parts AS (
-  SELECT p_brand AS repo, p_partkey AS k,
+  SELECT p_brand AS repo, p_partkey AS k, p_partkey // {len(LANGUAGES)} AS turn,
     {_list(LANGUAGES)}[(p_partkey % {len(LANGUAGES)} + 1)::INT] AS lang,
     {_list(t.ext for t in LANGUAGES.values())}[(p_partkey % {len(LANGUAGES)} + 1)::INT] AS e,
     {_list(KINDS)}[(p_size % {len(KINDS)} + 1)::INT] || '_' || (p_size % 2) AS stem,
@@ -51,16 +50,16 @@ FILES = f"""named AS (
   SELECT *, stem || CASE WHEN dir = '' OR lang = 'proto' THEN '_' || k ELSE '' END AS base
   FROM parts),
 every AS (
-  SELECT repo, k, alias, lang AS kind, dir,
+  SELECT repo, k, turn, alias, lang AS kind, dir,
     base || CASE WHEN lang = 'go' AND k % 5 = 0 THEN '.GO' ELSE e END AS name FROM named
-  UNION ALL SELECT repo, k, alias, 'helper', dir, 'helper.ts' FROM named
+  UNION ALL SELECT repo, k, turn, alias, 'helper', dir, 'helper.ts' FROM named
     WHERE lang IN {in_list(JS_FAMILY)} AND dir <> ''
-  UNION ALL SELECT repo, k, alias, 'pystub', '', base || '_pb2_grpc.py' FROM named
-    WHERE lang = 'proto' AND k % 2 = 0
-  UNION ALL SELECT repo, k, alias, 'gostub', '', base || '.pb.go' FROM named
-    WHERE lang = 'proto' AND k % 4 = 0),
+  UNION ALL SELECT repo, k, turn, alias, 'pystub', '', base || '_pb2_grpc.py' FROM named
+    WHERE lang = 'proto' AND turn % 2 = 0
+  UNION ALL SELECT repo, k, turn, alias, 'gostub', '', base || '.pb.go' FROM named
+    WHERE lang = 'proto' AND turn % 4 = 0),
 all_files AS (
-  SELECT repo, k, alias, kind, dir, name,
+  SELECT repo, k, turn, alias, kind, dir, name,
     CASE WHEN dir = '' THEN name ELSE dir || '/' || name END AS file_id,
     lower('.' || split_part(name, '.', -1)) AS ext FROM every),
 pruned AS (
@@ -103,7 +102,7 @@ def symbols(files: str = "files", which: str = "symbols", name: str = "symbols")
     f.file_id || '::' || {filled('x.name')} AS node_id, x.type AS node_type
   FROM {files} f JOIN (VALUES {values(_symbol_rows(which))})
     x(kind, more, stage, pos, parent, name, type)
-    ON f.kind = x.kind AND (x.more = 0 OR f.k % 3 = 0))"""
+    ON f.kind = x.kind AND (x.more = 0 OR f.turn % 3 = 0))"""
 
 
 def imports(files: str = "files", which: str = "imports", name: str = "imports") -> str:
@@ -131,7 +130,7 @@ hits AS (
   SELECT DISTINCT r.repo, r.file_id, r.alias, s.rank, x.file_id AS hit,
     len(list_filter(range(1, 1 + least(len(string_split(r.file_id, '/')),
                                        len(string_split(x.file_id, '/')))),
-      i -> string_split(r.file_id, '/')[1:i] = string_split(x.file_id, '/')[1:i])) AS shared
+      lambda i: string_split(r.file_id, '/')[1:i] = string_split(x.file_id, '/')[1:i])) AS shared
   FROM {requests} r, {SPELLINGS} s(rank, tail), suffixes x
   WHERE x.repo = r.repo AND x.suffix = r.alias || s.tail),
 resolved AS (

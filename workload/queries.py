@@ -597,7 +597,7 @@ peer_list AS (
   WHERE w.community <> -1 GROUP BY ALL)""" if peers else ""
     peer_text = (
         "|| CASE WHEN p.links IS NULL THEN '' ELSE chr(10) || '## 🏘️ Same Module (Community)' || "
-        "chr(10) || array_to_string(list_transform(p.links, x -> '- ' || x), chr(10)) || chr(10) END"
+        "chr(10) || array_to_string(list_transform(p.links, lambda x: '- ' || x), chr(10)) || chr(10) END"
     ) if peers else ""
     peer_join = "LEFT JOIN peer_list p USING (repo, node_id)" if peers else ""
     return f"""
@@ -615,7 +615,8 @@ blocks AS (
   SELECT repo, node_id, way, type, chr(10) || '**' || upper(type[1]) || lower(type[2:]) || ':**'
     || string_agg(chr(10) || '- ' || {sql.wiki('other')}, '' ORDER BY other) AS block
   FROM (SELECT * FROM lists QUALIFY row_number() OVER (
-    PARTITION BY repo, node_id, way, type ORDER BY other) <= 25) GROUP BY ALL),
+    PARTITION BY repo, node_id, way, type ORDER BY other) <= 25)
+  GROUP BY repo, node_id, way, type),
 sides AS (
   SELECT repo, node_id,
     string_agg(block, '' ORDER BY type) FILTER (way = 'out') AS outs,
@@ -662,7 +663,7 @@ def index_page(spark, sf_dir):
 # ----------------------------------------------------------------------- search
 
 WORDS = """list_filter(list_distinct(list_concat(
-  regexp_extract_all(lower({id}), '[\\p{{L}}\\p{{N}}_]+'), [lower({type})])), w -> length(w) > 2)"""
+  regexp_extract_all(lower({id}), '[\\p{{L}}\\p{{N}}_]+'), [lower({type})])), lambda w: length(w) > 2)"""
 
 
 @query("keyword_index", f"""{sql.SOURCE_GRAPH}
@@ -680,11 +681,11 @@ ASKED = """asked AS (
 
 @query("keyword_search", f"""{sql.SOURCE_GRAPH}, {sql.PAIRS}, {sql.DEGREES}, {ASKED}
 idx AS (SELECT repo, unnest({WORDS.format(id='node_id', type='node_type')}) AS word, node_id FROM nodes),
-hits AS (SELECT a.query_id, i.repo, i.node_id, count(*) AS words_hit FROM asked a JOIN idx i
+scored AS (SELECT a.query_id, i.repo, i.node_id, count(*) AS words_hit FROM asked a JOIN idx i
   ON i.word = a.word AND (a.repo IS NULL OR a.repo = i.repo) WHERE length(a.word) > 2 GROUP BY ALL)
 SELECT query_id, repo, row_number() OVER (PARTITION BY query_id, repo
     ORDER BY words_hit DESC, degree DESC, node_id) AS rank, node_id, words_hit, degree
-FROM hits JOIN degrees USING (repo, node_id) QUALIFY rank <= 10""")
+FROM scored JOIN degrees USING (repo, node_id) QUALIFY rank <= 10""")
 def search(spark, sf_dir):
     local = sources.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("query_id"), F.col("p_brand").alias("repo"),

@@ -19,6 +19,11 @@ def _pick(values, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
+def _turn() -> Column:
+    """How often the languages have come round, so that cases within a language vary."""
+    return F.floor(F.col("k") / len(LANGUAGES))
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     lang = _pick(LANGUAGES, k % len(LANGUAGES))
@@ -51,7 +56,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One to three files per part: repo, k, alias, kind, dir, name, file_id, ext."""
     parts = _parts(spark, sf_dir)
-    k, lang = F.col("k"), F.col("lang")
+    k, lang, turn = F.col("k"), F.col("lang"), _turn()
     suffix = _pick([t.ext for t in LANGUAGES.values()], k % len(LANGUAGES))
     suffix = F.when((lang == "go") & (k % 5 == 0), ".GO").otherwise(suffix)
     keyed = (F.col("dir") == "") | (lang == "proto")
@@ -66,9 +71,9 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         file(F.lit("helper"), F.col("dir"), F.lit("helper.ts"),
              lang.isin(*JS_FAMILY) & (F.col("dir") != "")),
         file(F.lit("pystub"), F.lit(""), F.concat(base, F.lit("_pb2_grpc.py")),
-             (lang == "proto") & (k % 2 == 0)),
+             (lang == "proto") & (turn % 2 == 0)),
         file(F.lit("gostub"), F.lit(""), F.concat(base, F.lit(".pb.go")),
-             (lang == "proto") & (k % 4 == 0)),
+             (lang == "proto") & (turn % 4 == 0)),
     )
     file_id = F.when(F.col("dir") == "", F.col("name")).otherwise(F.concat_ws("/", "dir", "name"))
     return (
@@ -91,7 +96,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind, template in TEMPLATES.items():
         body = F.lit(template.text)
         if template.more:
-            body = F.concat(body, F.when(k % 3 == 0, template.more).otherwise(""))
+            body = F.concat(body, F.when(_turn() % 3 == 0, template.more).otherwise(""))
         test = F.col("kind") == kind
         text = F.when(test, body) if text is None else text.when(test, body)
     content = F.replace(
