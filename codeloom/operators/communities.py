@@ -19,9 +19,9 @@ from .graph import Graph, undirected, without_types
 from .iterate import index_graph, salted_edges, send
 
 MAX_LEVELS = 12
-MAX_ROUNDS = 24
+MAX_ROUNDS = 16
 MIN_GAIN = 1e-7
-FEW_MOVERS = 0.001
+FEW_MOVERS = 0.02
 
 
 def modularity(memberships: DataFrame, links: DataFrame) -> DataFrame:
