@@ -75,28 +75,36 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
 def dense_index(
     df: DataFrame, group: list[str], order: list[str], name: str, work: WorkTables
 ) -> DataFrame:
-    """0-based dense position of each row within its group, in the given order.
+    """0-based position of each row within its group, in the given order; the
+    order columns are unique within a group.
 
-    A plain window would sort a whole group in one task.  Here rows are range
-    partitioned on (group, order), counted per slice, and numbered inside a
-    slice with the slice's offset added, so a hot group is spread over tasks.
+    A window would sort a whole group in one task.  Here rows are range
+    partitioned and sorted on (group, order), so a row's place in its partition
+    is known as it is written, and only the partitions' counts per group are
+    summed up.  A hot group is spread over as many partitions as it fills.
     """
-    sliced = work.keep(
-        df.repartitionByRange(*[F.col(c) for c in group + order]).withColumn(
-            "_slice", F.spark_partition_id()
-        ),
-        f"{name}-slices",
+    keys = [F.col(c) for c in [*group, *order]]
+    placed = work.keep(
+        df.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_at", F.monotonically_increasing_id()),
+        f"{name}-sorted",
     )
-    counts = sliced.groupBy(*group, "_slice").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*group).orderBy("_slice").rowsBetween(
-        W.unboundedPreceding, -1
+    # the id's upper bits are the partition, its lower 33 the row within it
+    placed = placed.withColumn("_slice", F.shiftright("_at", 33)).withColumn(
+        "_row", F.col("_at").bitwiseAND((1 << 33) - 1)
+    )
+    counts = placed.groupBy(*group, "_slice").agg(
+        F.min("_row").alias("_first"), F.count("*").alias("_n")
+    )
+    earlier = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    shifts = counts.select(
+        *group,
+        "_slice",
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
-    offsets = counts.withColumn(
-        "_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))
-    ).drop("_n")
-    inside = W.partitionBy(*group, "_slice").orderBy(*order)
     return (
-        sliced.join(offsets, [*group, "_slice"])
-        .withColumn(name, F.row_number().over(inside) - 1 + F.col("_offset"))
-        .drop("_slice", "_offset")
+        placed.join(shifts, [*group, "_slice"])
+        .withColumn(name, F.col("_row") + F.col("_shift"))
+        .drop("_at", "_slice", "_row", "_shift")
     )

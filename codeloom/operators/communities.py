@@ -121,7 +121,7 @@ def detect(graph: Graph, seed: int = fixed.COMMUNITY_SEED, work: WorkTables | No
     links = undirected(eligible.edges).select(
         "repo", F.col("a").alias("src"), F.col("b").alias("dst")
     )
-    indexed = index_graph(eligible.nodes, links, work)
+    indexed = index_graph(eligible.nodes, links, work, ordered=True)
     edges = indexed.pairs.select(
         F.explode(F.array(F.struct("src", "dst"), F.struct(
             F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")

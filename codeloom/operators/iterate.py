@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.work import WorkTables, partitions, small_side
+from ..functions.work import WorkTables, dense_index, partitions, small_side
 
 # edges of one source kept together in one (source, salt) group
 EDGES_PER_SALT = 100_000
@@ -29,19 +29,26 @@ class Indexed:
     n_repos: int
 
 
-def index_graph(nodes: DataFrame, pairs: DataFrame, work: WorkTables) -> Indexed:
-    """Number the nodes (repo, node_id) and the ends of pairs (repo, src, dst)."""
+def index_graph(
+    nodes: DataFrame, pairs: DataFrame, work: WorkTables, ordered: bool = False
+) -> Indexed:
+    """Number the nodes (repo, node_id) and the ends of pairs (repo, src, dst).
+
+    ``ordered`` numbers them in id order, so that whatever is decided by a
+    number does not depend on how the tables were partitioned.
+    """
     node_ids = nodes.select("repo", "node_id")
     absent = (
         pairs.select("repo", F.explode(F.array("src", "dst")).alias("node_id"))
         .distinct()
         .join(node_ids, ["repo", "node_id"], "left_anti")
     )
-    # the ids are fixed by writing them; nothing recomputes them later
-    listed = work.keep(
-        node_ids.unionByName(absent).withColumn("vid", F.monotonically_increasing_id()),
-        "listed",
-    )
+    every = node_ids.unionByName(absent)
+    if ordered:
+        listed = dense_index(every, [], ["repo", "node_id"], "vid", work)
+    else:
+        # fixed by writing them; nothing computes them a second time
+        listed = work.keep(every.withColumn("vid", F.monotonically_increasing_id()), "listed")
     repos = work.keep(
         listed.groupBy("repo")
         .agg(F.count("*").alias("n"))

@@ -14,16 +14,16 @@ from pyspark.sql import functions as F
 from ..operators.graph import Graph
 
 GOD_LIST = "array<struct<node:string,degree:bigint>>"
-METADATA_TYPE = (
-    "struct<project:string,mode:string,total_nodes:bigint,total_edges:bigint,"
-    "generated_by:string,scan_date:string,communities_count:bigint,"
-    f"god_nodes:struct<internal:{GOD_LIST},external:{GOD_LIST}>,"
-    "parser_info:map<string,struct<files:bigint,method:string>>>"
+METADATA_SCHEMA = (
+    "project string, mode string, total_nodes bigint, total_edges bigint, "
+    "generated_by string, scan_date string, communities_count bigint, "
+    f"god_nodes struct<internal: {GOD_LIST}, external: {GOD_LIST}>, "
+    "parser_info map<string,struct<files:bigint,method:string>>"
 )
 DOCUMENT_SCHEMA = (
     "nodes array<struct<id:string,type:string,community:int,external:boolean>>, "
     "edges array<struct<source:string,target:string,type:string>>, "
-    f"metadata {METADATA_TYPE}"
+    f"metadata struct<{METADATA_SCHEMA}>"
 )
 
 
@@ -147,9 +147,11 @@ def read_export(
             F.coalesce("type", F.lit("related")).alias("type"),
         )
     )
-    fields = METADATA_TYPE.removeprefix("struct<")[:-1]
-    metadata = spark.read.format(fmt).schema(fields).load(f"{path}/metadata").filter(
-        F.col("mode") == mode
+    metadata = (
+        spark.read.format(fmt)
+        .schema(METADATA_SCHEMA)
+        .load(f"{path}/metadata")
+        .filter(F.col("mode") == mode)
     )
     return Graph(nodes, edges), metadata
 

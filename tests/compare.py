@@ -15,10 +15,10 @@ TABLES = (
 ).split()
 
 
-def session() -> SparkSession:
+def session(partitions: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")

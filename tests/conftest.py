@@ -11,4 +11,4 @@ from compare import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return session()
+    return session(partitions=3)
