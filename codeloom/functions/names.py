@@ -10,7 +10,7 @@ from .text import WORD
 
 
 def normalise_id(node_id: Column) -> Column:
-    return F.translate(node_id, "\\", "/")
+    return F.replace(node_id, F.lit("\\"), F.lit("/"))
 
 
 def file_extension(name: Column) -> Column:

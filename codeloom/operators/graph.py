@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.names import normalise_id
+from ..functions.work import WorkTables
 
 STRUCTURE, SYMBOL, EXTERNAL, UNRESOLVED = range(4)
 NODE_COLUMNS = ("repo", "node_id", "node_type", "external", "seq")
@@ -209,16 +210,22 @@ def with_dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select(*NODE_COLUMNS).unionByName(dangling_targets(nodes, edges))
 
 
-def build_graph(node_rows: DataFrame, edge_rows: DataFrame) -> Graph:
+def build_graph(
+    node_rows: DataFrame, edge_rows: DataFrame, work: WorkTables | None = None
+) -> Graph:
     """A graph from any node rows (repo, node_id, node_type, external[, seq]) and
-    edge rows (repo, src, dst, type)."""
+    edge rows (repo, src, dst, type).  With ``work`` its tables are written, so
+    that everything derived from them starts there."""
     if "seq" not in node_rows.columns:
         node_rows = node_rows.withColumn(
             "seq", seq(STRUCTURE, F.col("node_id"), F.lit(0), F.lit(0))
         )
     nodes = first_wins(node_rows)
     edges = distinct_edges(edge_rows)
-    return Graph(with_dangling(nodes, edges), edges)
+    if work is None:
+        return Graph(with_dangling(nodes, edges), edges)
+    edges = work.keep(edges, "edges")
+    return Graph(work.keep(with_dangling(nodes, edges), "nodes"), edges)
 
 
 def pairs_of(edges: DataFrame) -> DataFrame:

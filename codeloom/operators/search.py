@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import keywords, phrase_words
+from ..functions.work import WorkTables, dense_index
 from .graph import Graph
 from .metrics import degrees
 
@@ -18,27 +19,43 @@ def keyword_index(nodes: DataFrame) -> DataFrame:
     )
 
 
-def keyword_search(queries: DataFrame, graph: Graph, top: int = 10) -> DataFrame:
+def keyword_search(
+    queries: DataFrame, graph: Graph, top: int = 10, work: WorkTables | None = None
+) -> DataFrame:
     """(query_id, repo, rank, node_id, words_hit, degree) for a table of queries
     (query_id, repo, phrase); a null repo asks all of them.
 
     Ranked by words hit, then degree, then id, within each query and repository.
+    Nodes are numbered in id order first: hits, by far the largest table here,
+    carry and compare the number, and only the best get their id back.
     """
+    work = work or WorkTables(graph.nodes.sparkSession)
     asked = queries.select(
         "query_id", "repo", F.explode(phrase_words(F.col("phrase"))).alias("word")
     )
-    index = keyword_index(graph.nodes)
+    described = graph.nodes.select("repo", "node_id", "node_type").join(
+        degrees(graph), ["repo", "node_id"]
+    )
+    numbered = dense_index(described, [], ["repo", "node_id"], "number", work)
+    index = numbered.select(
+        "repo",
+        "number",
+        "degree",
+        F.explode(keywords(F.col("node_id"), F.col("node_type"))).alias("word"),
+    )
     # a query about one repository meets only that repository's postings
     local = asked.filter("repo is not null")
     anywhere = asked.filter("repo is null").drop("repo")
     found = index.join(local, ["repo", "word"]).unionByName(index.join(anywhere, "word"))
-    hits = found.groupBy("query_id", "repo", "node_id").agg(F.count("*").alias("words_hit"))
+    hits = found.groupBy("query_id", "repo", "number", "degree").agg(
+        F.count("*").alias("words_hit")
+    )
     ranked = W.partitionBy("query_id", "repo").orderBy(
-        F.desc("words_hit"), F.desc("degree"), "node_id"
+        F.desc("words_hit"), F.desc("degree"), "number"
+    )
+    best = hits.withColumn("rank", F.row_number().over(ranked).cast("bigint")).filter(
+        F.col("rank") <= top
     )
-    return (
-        hits.join(degrees(graph), ["repo", "node_id"])
-        .withColumn("rank", F.row_number().over(ranked).cast("bigint"))
-        .filter(F.col("rank") <= top)
-        .select("query_id", "repo", "rank", "node_id", "words_hit", "degree")
+    return best.join(numbered.select("number", "node_id"), "number").select(
+        "query_id", "repo", "rank", "node_id", "words_hit", "degree"
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -67,6 +68,7 @@ def compare(spark, con, sf_dir, run, check):
 
 
 def main(sf_dir: str, names: list[str]) -> None:
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     from workload.queries import REGISTERED
 
     spark, con = session(), connect(sf_dir)

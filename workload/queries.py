@@ -53,6 +53,15 @@ def scanned(spark: SparkSession, sf_dir: str) -> jobs.Scan:
     return _scan(spark.sparkContext.applicationId, spark, sf_dir)
 
 
+@lru_cache(maxsize=8)
+def _fk_graph(session: str, spark: SparkSession, sf_dir: str) -> Graph:
+    return sources.fk_graph(spark, sf_dir)
+
+
+def fk_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    return _fk_graph(spark.sparkContext.applicationId, spark, sf_dir)
+
+
 @lru_cache(maxsize=8)
 def _ranks(session: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = scanned(spark, sf_dir).graph
@@ -307,12 +316,12 @@ def build_edges(spark, sf_dir):
 
 @query("build_fk_nodes", f"{sql.FK_GRAPH} SELECT repo, node_id, node_type, external FROM nodes")
 def build_fk_nodes(spark, sf_dir):
-    return sources.fk_graph(spark, sf_dir).nodes.select("repo", "node_id", "node_type", "external")
+    return fk_graph(spark, sf_dir).nodes.select("repo", "node_id", "node_type", "external")
 
 
 @query("build_fk_edges", f"{sql.FK_GRAPH} SELECT repo, src, dst, type FROM edges")
 def build_fk_edges(spark, sf_dir):
-    return sources.fk_graph(spark, sf_dir).edges
+    return fk_graph(spark, sf_dir).edges
 
 
 @query("dangling", f"""{sql.PAGE_LINKS}
@@ -363,7 +372,7 @@ def known_ids(spark, sf_dir):
 
 @query("degrees", f"{sql.FK_GRAPH}, {sql.PAIRS}, {sql.DEGREES} SELECT repo, node_id, degree FROM degrees")
 def degrees(spark, sf_dir):
-    return metrics.degrees(sources.fk_graph(spark, sf_dir))
+    return metrics.degrees(fk_graph(spark, sf_dir))
 
 
 @query("degrees_events", f"""{sql.EVENT_GRAPH}, {sql.PAIRS}, {sql.DEGREES}
@@ -377,7 +386,7 @@ GODS = "SELECT repo, external, rank, node_id, degree FROM gods"
 
 @query("god_nodes", f"{sql.FK_GRAPH}, {sql.PAIRS}, {sql.DEGREES}, {sql.gods(15)} {GODS}")
 def god_nodes(spark, sf_dir):
-    return metrics.god_nodes(sources.fk_graph(spark, sf_dir), 15)
+    return metrics.god_nodes(fk_graph(spark, sf_dir), 15)
 
 
 @query("god_nodes_source", f"{sql.SOURCE_GRAPH}, {sql.PAIRS}, {sql.DEGREES}, {sql.gods(10)} {GODS}")
@@ -477,7 +486,7 @@ SELECT repo, node_id, direction, type,
   SELECT * FROM lists QUALIFY row_number() OVER (
     PARTITION BY repo, node_id, direction, type ORDER BY neighbour) <= 25) GROUP BY ALL""")
 def capped_neighbours(spark, sf_dir):
-    lists = metrics.capped_neighbours(metrics.adjacency(sources.fk_graph(spark, sf_dir).edges))
+    lists = metrics.capped_neighbours(metrics.adjacency(fk_graph(spark, sf_dir).edges))
     return lists.withColumn("neighbours", F.array_join("neighbours", " "))
 
 

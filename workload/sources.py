@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.names import file_extension
+from codeloom.functions.work import WorkTables
 from codeloom.operators.graph import Graph, build_graph
 
 from .templates import JS_FAMILY, KINDS, LANGUAGES, TEMPLATES
@@ -114,7 +115,12 @@ def fk_graph(spark: SparkSession, sf_dir: str) -> Graph:
     nation = table(spark, sf_dir, "nation")
     customer = table(spark, sf_dir, "customer")
     orders = table(spark, sf_dir, "orders")
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    # partitioned once by the key of the join that follows
+    items = (
+        table(spark, sf_dir, "lineitem")
+        .select("l_orderkey", "l_partkey", "l_suppkey")
+        .repartition("l_orderkey")
+    )
 
     def node(kind: str, key: str) -> Column:
         return F.concat(F.lit(kind + "/"), F.col(key).cast("string"))
@@ -157,7 +163,7 @@ def fk_graph(spark: SparkSession, sf_dir: str) -> Graph:
         .unionByName(nodes(lines, node("part", "l_partkey"), "module", True))
         .unionByName(nodes(lines, node("supplier", "l_suppkey"), "module", True))
     )
-    return build_graph(all_nodes, all_edges)
+    return build_graph(all_nodes, all_edges, WorkTables(spark))
 
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
