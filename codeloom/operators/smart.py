@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.names import symbol_of
+from ..functions.work import WorkTables
 from .graph import EDGE_COLUMNS, Graph
 
 
@@ -38,11 +39,15 @@ def smart_nodes(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
     )
 
 
-def smart_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:
+def smart_edges(
+    edges: DataFrame, kept: DataFrame, work: WorkTables | None = None
+) -> DataFrame:
     """Edges between kept nodes, and one-hop detours through dropped ones.
 
     Where a dropped node lies between two kept ones, the edge into it and the
     edge out of it each give an edge from end to end, with their own type.
+    With ``work`` the edges are marked once and written; else each of the three
+    uses marks them anew.
     """
     ids = kept.select("repo", "node_id", F.lit(True).alias("in"))
     flagged = edges.select(*EDGE_COLUMNS)
@@ -52,6 +57,9 @@ def smart_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:
             ["repo", end],
             "left",
         )
+    flagged = flagged.filter("src_in is not null or dst_in is not null")
+    if work is not None:
+        flagged = work.keep(flagged, "marked-edges")
     src_in, dst_in = F.col("src_in").isNotNull(), F.col("dst_in").isNotNull()
     direct = flagged.filter(src_in & dst_in).select(*EDGE_COLUMNS)
     into = flagged.filter(src_in & ~dst_in).select(
@@ -66,6 +74,8 @@ def smart_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:
     return direct.unionByName(detours).distinct()
 
 
-def smart_graph(graph: Graph, ranks: DataFrame) -> Graph:
+def smart_graph(graph: Graph, ranks: DataFrame, work: WorkTables | None = None) -> Graph:
     kept = smart_nodes(graph.nodes, ranks)
-    return Graph(kept, smart_edges(graph.edges, kept))
+    if work is not None:
+        kept = work.keep(kept, "kept-nodes")
+    return Graph(kept, smart_edges(graph.edges, kept, work))

@@ -84,10 +84,8 @@ def views(
     labelled = with_communities(graph, communities(graph, work=work))
     labelled = Graph(work.keep(labelled.nodes, "labelled"), labelled.edges)
     ranks = work.keep(pagerank(graph, rounds=rounds, work=work), "ranks")
-    smart = smart_graph(labelled, ranks)
-    smart = Graph(
-        work.keep(smart.nodes, "smart-nodes"), work.keep(smart.edges, "smart-edges")
-    )
+    smart = smart_graph(labelled, ranks, work)
+    smart = Graph(smart.nodes, work.keep(smart.edges, "smart-edges"))
     return {"classic": labelled, "smart": smart}
 
 

@@ -412,7 +412,8 @@ SMART = ",\n".join([sql.SOURCE_GRAPH, sql.ranks(ROUNDS), sql.KEEP, sql.SMART_EDG
 
 def _both_views(spark, sf_dir) -> dict[str, Graph]:
     classic = grouped(spark, sf_dir)
-    return {"classic": classic, "smart": smart_graph(classic, ranks(spark, sf_dir))}
+    smart = smart_graph(classic, ranks(spark, sf_dir), WorkTables(spark))
+    return {"classic": classic, "smart": smart}
 
 
 def _metadata(spark, sf_dir) -> DataFrame:
@@ -559,7 +560,8 @@ def smart_nodes(spark, sf_dir):
 
 @query("smart_edges", f"{SMART} SELECT repo, src, dst, type FROM smart")
 def smart_edges(spark, sf_dir):
-    return smart_graph(scanned(spark, sf_dir).graph, ranks(spark, sf_dir)).edges
+    graph = scanned(spark, sf_dir).graph
+    return smart_graph(graph, ranks(spark, sf_dir), WorkTables(spark)).edges
 
 
 @query("modularity_by_file", f"""{sql.SOURCE_GRAPH}, {sql.BY_FILE},
