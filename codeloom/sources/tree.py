@@ -34,17 +34,15 @@ def _located(raw: DataFrame, root: str, many: bool) -> DataFrame:
     """repo and file_id out of ``path``: below ``root`` lies one project, or with
     ``many`` one project per first-level folder."""
     base = root.rstrip("/")
-    mark = "/" + base.rsplit("/", 1)[-1] + "/"
     tail = base.split("://", 1)[-1].removeprefix("file:").lstrip("/")
     at = F.instr("path", tail + "/")
     inside = F.substr(F.col("path"), at + len(tail) + 1)
-    # file-system paths are percent-encoded nowhere in this source
     if many:
         repo = F.substring_index(inside, "/", 1)
         file_id = F.substr(inside, F.length(repo) + 2)
         raw = raw.filter(F.contains(inside, F.lit("/")))
     else:
-        repo, file_id = F.lit(mark.strip("/")), inside
+        repo, file_id = F.lit(base.rsplit("/", 1)[-1]), inside
     return raw.select("*", *split_path(repo, file_id))
 
 

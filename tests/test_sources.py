@@ -9,7 +9,7 @@ import codeloom
 from codeloom.operators import registry
 from codeloom.operators.facts import explode_facts, fact
 from codeloom.plans import jobs
-from codeloom.sources import exports, tree
+from codeloom.sources import tree
 
 
 @pytest.fixture()
