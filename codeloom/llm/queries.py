@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import check_sql as sql
 from .common import read
 from .dedup import exact_groups
+from .minmax import near_duplicates
 from .sharding import assign_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +47,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"),
         "shard", "slot", "grown_shard",
     )
+
+
+@query("op4_minmax_near_dedup", sql.NEAR_DEDUP)
+def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
+        (F.col("component") == F.col("id")).alias("kept"),
+    )
