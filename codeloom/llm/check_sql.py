@@ -36,3 +36,31 @@ SELECT d.doc_id, coalesce(max(z.n), 0) AS n_shingles, min(r.seen) AS component_i
 FROM documents d JOIN reach r ON r.node = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id
 GROUP BY d.doc_id
 """
+
+DECONTAMINATION = rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, unnest(list_transform(
+    range(1, len(w) - least(len(w), 10) + 2),
+    lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g
+  FROM items WHERE len(w) > 0),
+grams AS (
+  SELECT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2),
+    lambda i: {{'p': i, 'g': array_to_string(w[i:i + k - 1], ' ')}})) AS x
+  FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k),
+found AS (
+  SELECT doc_id, item_id, x['p'] AS p0, grams.k FROM grams JOIN windows
+  ON windows.g = x['g'] AND windows.k = grams.k),
+hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p0, p0 + k)) AS p FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import check_sql as sql
 from .common import read
+from .decontaminate import contamination
 from .dedup import exact_groups
 from .minmax import near_duplicates
 from .sharding import assign_shards
@@ -56,3 +57,14 @@ def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
         (F.col("component") == F.col("id")).alias("kept"),
     )
+
+
+@query("op7_decontamination", sql.DECONTAMINATION)
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("hits").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
