@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, quality, toxicity
 from . import check_sql as sql
-from .common import read
+from .common import learn_from, read
 from .decontaminate import contamination
 from .dedup import exact_groups
 from .minmax import near_duplicates
@@ -68,3 +70,34 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+@query("op5_bpe")
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    return found.select(
+        F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    return _predicted(scored, 0.5)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return _predicted(scored, 0.7)
+
+
+def _predicted(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select(
+        F.col("id").alias("doc_id"), (~learn_from(F.col("id"))).alias("held_out"), "score",
+        (F.col("score") >= least).cast("int").alias("predicted"),
+    )
