@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, toxicity
+from ..functions.work import WorkTables
+from . import bpe, quality, secret_scan, toxicity, warc
 from . import check_sql as sql
 from .common import learn_from, read
 from .decontaminate import contamination
@@ -101,3 +102,35 @@ def _predicted(scored: DataFrame, least: float) -> DataFrame:
         F.col("id").alias("doc_id"), (~learn_from(F.col("id"))).alias("held_out"), "score",
         (F.col("score") >= least).cast("int").alias("predicted"),
     )
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        F.col("id").alias("doc_id"), count("assign").alias("n_assign"),
+        count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(_joined_spans(base), 256).alias("base_sha256"),
+        _joined_spans(F.col("spans")).alias("spans"), count("novel").alias("n_novel"),
+    )
+
+
+def _joined_spans(spans: Column) -> Column:
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+
+
+@query("op10_warc", sql.WARC)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = WorkTables(spark)
+    archives = f"{work.folder}/archives"
+    warc.write_archives(read(spark, sf_dir, "pages"), archives, work=work)
+    return warc.read_records(spark, archives).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )

@@ -36,8 +36,8 @@ from .common import broadcast_if, learn_from, map_rows, small_batches
 TRAIN_ROWS = 60_000
 TERMS = 20_000
 SHORTEST, LONGEST = 4, 16
-CAUTION = 9.0  # observations against a term that a cautious estimate adds
-LEAST_SHARE = 0.5
+CAUTION = 4.0  # observations against a term that a cautious estimate adds
+LEAST_SHARE = 0.4
 SEED_WEIGHT = 3.0
 
 # fixed values: insults, phrases in which such words are harmless, look-alikes
