@@ -8,8 +8,9 @@ Work is done on classes, documents with the same shingle set, of which copies ne
 no comparison.  Candidates are confirmed on full sets.  A band's members are first
 compared with one member each, the one that shares bands with most others; only
 where a band still holds several components are the members outside its largest
-component compared with the rest.  Pairs inside one component are never listed, and
-no link between components is left out.
+component compared with the rest, as far as the shingles that each shares with anyone
+allow a link.  Pairs inside one component are never listed, and no link between
+components is left out.
 
 Chance of missing a pair of similarity s: (1 - s^ROWS)^BANDS, 4e-7 at 0.85 and
 5e-5 at 0.8; pairs above are missed less often still, and most are linked through
@@ -183,17 +184,39 @@ def _rest(members, edges, sets, percent, work) -> DataFrame:
         .select("band", F.col("top.label").alias("largest")),
         "largest",
     )
-    open_bands = work.keep(placed.join(largest, "band"), "open-bands")
+    open_bands = _linkable(placed.join(largest, "band"), sets, percent, work)
     outside = open_bands.filter("label <> largest").select(
         "band", F.col("rep").alias("other"), F.col("n").alias("other_n"),
-        F.col("label").alias("other_label"),
+        F.col("label").alias("other_label"), F.col("shareable").alias("other_shareable"),
     )
+    common = F.least("shareable", "other_shareable")
     pairs = _pairs(
-        open_bands.join(outside, "band").filter("label <> other_label"), percent
+        open_bands.join(outside, "band").filter(
+            (F.col("label") != F.col("other_label"))
+            & (common * 100 >= (F.col("n") + F.col("other_n") - common) * percent)
+        ),
+        percent,
     )
     return _confirmed(pairs, sets, percent, work, "rest-pairs")
 
 
+def _linkable(members, sets, percent, work) -> DataFrame:
+    """Members with ``shareable``, how many of their shingles any other member has, without
+    those that this alone keeps from linking.  It bounds what a pair has in common, so
+    that pairs of texts with many edits of their own need not be listed."""
+    members = work.keep(members, "open-bands")
+    own = (
+        sets.join(members.select("rep").distinct(), "rep", "left_semi")
+        .select("rep", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle").agg(F.min("rep").alias("rep"), F.count("*").alias("holders"))
+        .filter("holders = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    )
+    kept = members.join(own, "rep", "left").withColumn(
+        "shareable", F.col("n") - F.coalesce("own", F.lit(0))
+    )
+    return work.keep(kept.filter(F.col("shareable") * 100 >= F.col("n") * percent).drop("own"), "linkable")
+
+
 def _pairs(joined: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs whose set sizes allow the similarity."""
     small, large = F.least("n", "other_n"), F.greatest("n", "other_n")
