@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.work import WorkTables
-from . import bpe, quality, secret_scan, toxicity, warc
+from . import bpe, chat, quality, secret_scan, toxicity, warc
 from . import check_sql as sql
 from .common import learn_from, read
 from .decontaminate import contamination
@@ -134,3 +134,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, archives).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+# ways in which transcripts name a speaker; turns of one conversation use one of them
+STYLES = ("{}: ", "**{}:** ", "### {}: ", "[{}]: ", "{} >> ")
+
+
+@query("op1_chat_format")
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's conversations as raw transcripts, a quarter of whose turns lack a speaker
+    marker, parsed and rendered; roles are known to the model for half of them."""
+    table = read(spark, sf_dir, "conversations")
+    conv = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary"))
+    turn = F.crc32(F.concat_ws("-", "conv_id", "turn").cast("binary"))
+    style = F.element_at(F.array(*[F.lit(s) for s in STYLES]), (conv % len(STYLES) + 1).cast("int"))
+    marker = F.when(turn % 4 == 0, "").otherwise(F.replace(style, F.lit("{}"), F.initcap("role")))
+    role = F.array_position(F.array(*[F.lit(r) for r in chat.ROLES]), F.col("role")) - 1
+    parts = table.select(
+        F.col("conv_id").alias("conv"), F.col("turn").alias("part"),
+        F.concat(F.coalesce(marker, F.lit("")), F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"),
+        F.when((conv % 2 == 0) & (role >= 0), role).alias("known"),
+    )
+    return chat.parse(parts).select(
+        F.col("conv").alias("conv_id"), "turn", "role", "n_lines",
+        F.sha2("rendered", 256).alias("rendered_sha256"), "rendered",
+    )
