@@ -156,6 +156,6 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((conv % 2 == 0) & (role >= 0), role).alias("known"),
     )
     return chat.parse(parts).select(
-        F.col("conv").alias("conv_id"), "turn", "role", "n_lines",
+        F.col("conv").try_cast("long").alias("conv_id"), "turn", "role", "n_lines",
         F.sha2("rendered", 256).alias("rendered_sha256"), "rendered",
     )
