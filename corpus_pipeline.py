@@ -1,24 +1,61 @@
-"""The corpus pipeline: documents in, deduplicated, clean, encoded documents out.
+"""The corpus pipeline: documents in; good, distinct, clean, encoded documents out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``.  All but the last return the
-columns of ``documents``.
+columns of ``documents``, for the rows that stay.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codeloom.functions.work import WorkTables
-from codeloom.llm.dedup import drop_copies
+from codeloom.llm import bpe, decontaminate, dedup, minmax, quality
+
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, does not reject."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal normalised texts the first stays."""
-    return drop_copies(docs)
+    """Of documents with equal normalised texts the one with the smallest doc_id."""
+    return dedup.drop_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that link at a similarity of 0.8 or more, directly or through
+    others, the one with the smallest doc_id."""
+    return minmax.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, packed as little-endian 32-bit numbers, with digests of them
+    and of the text that they decode to."""
+    path = public_tokenizers.path(VOCABULARY)
+    found = bpe.decode(bpe.encode(docs, path), path)
+    return found.select(
+        F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"),
+    )
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
+]
 
 # the quality classifier is fitted in floating point, which SQL cannot express
 ORACLE_SQL = None
