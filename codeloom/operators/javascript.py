@@ -1,11 +1,4 @@
-"""JavaScript and TypeScript files.
-
-Without a grammar, structure is read from layout: a file is cut into blocks at
-every line that starts in column 0 with code, so a block is one top-level
-statement with its indented lines.  Only block heads declare classes, functions,
-arrow functions, interfaces and type aliases, which keeps function bodies out;
-methods are looked for only inside the blocks of classes.
-"""
+"""The pattern-only reading of JavaScript and TypeScript, and relative import paths."""
 
 from __future__ import annotations
 
@@ -13,220 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.text import (
-    bind,
-    find_all,
-    first_chars,
-    java_regex,
-    join_after,
-    join_before,
-    last_chars,
-    match_contexts,
-    mentioned,
-)
-from .facts import fact, no_facts
-
-NAME = r"[\w$]+"
-# a column-0 line that is neither a closer, a decorator nor a comment
-BLOCK_START = r"(?=^(?![\s)\]}@/*;,])[^\n])"
-EXPORT = r"^(?:export\s+(?:default\s+)?)?(?:declare\s+)?"
-CLASS_HEAD = EXPORT + rf"class\s+({NAME})"
-FUNCTION_HEAD = EXPORT + rf"(?:async\s+)?function\s+({NAME})"
-ARROW_HEAD = (
-    rf"^(?:export\s+)?(?:const|let)\s+({NAME})\s*(?::[^\n]*?)?=\s*(?:async\s*)?"
-    rf"(?:<[^>\n]*>\s*)?(?:\((?:[^()]++|\([^()]*+\))*+\)\s*(?::[^\n=]*?)?|{NAME})\s*=>"
-)
-INTERFACE_HEAD = EXPORT + rf"interface\s+({NAME})"
-TYPE_HEAD = rf"^(?:export\s+)?(?:declare\s+)?type\s+({NAME})\s*(?:<[^=]*>)?\s*="
-STATEMENT_WORDS = (
-    "if", "for", "while", "switch", "catch", "with", "function", "return", "new",
-    "typeof", "await", "do", "else", "super", "throw", "yield",
-)
-METHOD = (
-    r"^[ \t]+(?:(?:public|private|protected|static|async|get|set|override)\s+)*\*?"
-    rf"({NAME})\s*(?:<[^>(\n]*>)?\((?:[^()]++|\([^()]*+\))*+\)\s*(?::[^;={{}}\n]+)?\{{"
-)
-IMPORT = r"^\s*import\b(?:[^'\";]*?\bfrom)?\s*['\"]([^'\"\n]+)['\"]"
-TRAILING_DECORATORS = (
-    rf"(?:@[\w$.]+(?:\((?:[^()]++|\([^()]*+\))*+\))?\s*)+\z"
-)
-DECORATOR_NAME = r"@(?:[\w$]+\.)*([\w$]+)"
-
-
-def _get(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract(text, java_regex(pattern), group)
+from ..functions.text import bind, find_all, first_chars, java_regex, match_contexts, mentioned
+from .facts import fact
 
 
 def _like(text: Column, pattern: str) -> Column:
     return F.regexp_like(text, F.lit(java_regex(pattern)))
 
 
-def _upper_initial(name: Column) -> Column:
-    return F.regexp_like(name, F.lit("^[A-Z]"))
-
-
 def _is_hook(name: Column) -> Column:
     return F.regexp_like(name, F.lit(r"^use\p{IsUppercase}"))
 
 
-def class_type(name: Column, own: Column, window: Column) -> Column:
-    """First own decorator that counts, else any mentioned in the window."""
-
-    def classify(w: Column) -> Column:
-        decorator = F.coalesce(
-            F.get(
-                F.array_intersect(
-                    own, F.array(*[F.lit(n) for n in fixed.NEST_CLASS_DECORATORS])
-                ),
-                F.lit(0),
-            ),
-            F.get(mentioned(w, fixed.NEST_CLASS_DECORATORS), F.lit(0)),
-        )
-        component = _upper_initial(name) & _like(w, fixed.RETURNS_MARKUP)
-        return F.coalesce(
-            F.concat(F.lit("nestjs_"), F.lower(decorator)),
-            F.when(component, "react_component").otherwise("class"),
-        )
-
-    return bind(window, classify)
-
-
-def method_type(window: Column) -> Column:
-    routed = F.size(mentioned(window, fixed.NEST_ROUTE_DECORATORS)) > 0
-    return F.when(routed, "nestjs_endpoint").otherwise("method")
-
-
-def function_type(name: Column, window: Column) -> Column:
-    component = _upper_initial(name) & _like(window, fixed.RETURNS_MARKUP)
-    return (
-        F.when(_is_hook(name), "react_hook")
-        .when(name.isin(*fixed.NEXT_DATA_FUNCTIONS), "nextjs_data_fn")
-        .when(component, "react_component")
-        .otherwise("function")
-    )
-
-
-def _head(block: Column, typed: Column) -> Column:
-    """What the first line of a block declares; empty strings where nothing."""
-
-    def counts(name: Column) -> Column:
-        return F.when(name.isin(*fixed.JS_NOISE), "").otherwise(name)
-
-    return F.struct(
-        block.alias("text"),
-        _get(block, CLASS_HEAD).alias("class_name"),
-        bind(_get(block, FUNCTION_HEAD), counts).alias("function_name"),
-        bind(_get(block, ARROW_HEAD), counts).alias("arrow_name"),
-        F.when(typed, _get(block, INTERFACE_HEAD)).otherwise("").alias("interface_name"),
-        F.when(typed, _get(block, TYPE_HEAD)).otherwise("").alias("alias_name"),
-    )
-
-
-def _class_facts(blocks: Column, head: Column, i: Column, order: Column) -> Column:
-    """A class and its methods.  Window offsets count from the ``class`` keyword
-    and from a method's first character."""
-    block, name = head["text"], head["class_name"]
-    lead = F.length(_get(block, r"^(?:export\s+(?:default\s+)?)?", 0))
-    back, on = fixed.CLASS_WINDOW
-    window = F.concat(
-        last_chars(
-            F.concat(join_before(blocks, i, back), F.substr(block, F.lit(1), lead)), back
-        ),
-        first_chars(F.concat(F.substr(block, lead + 1), join_after(blocks, i + 1, on)), on),
-    )
-    previous = F.when(i > 0, F.get(blocks, i - 1)).otherwise("")
-    own = F.when(
-        F.startswith(block, F.lit("export")),
-        find_all(_get(previous, TRAILING_DECORATORS, 0), DECORATOR_NAME),
-    ).otherwise(F.array().cast("array<string>"))
-    declared = fact(0, order, name, class_type(name, own, window))
-
-    method_back, method_on = fixed.METHOD_WINDOW
-
-    def methods(pieces: Column) -> Column:
-        """The class cut at its methods; the first piece is what precedes them."""
-
-        def method(piece: Column, j: Column) -> Column:
-            indent = F.length(_get(piece, r"^[ \t]+", 0))
-            before = F.concat(
-                join_before(blocks, i, method_back),
-                join_before(pieces, j, method_back),
-                F.substr(piece, F.lit(1), indent),
-            )
-            after = F.concat(
-                F.substr(piece, indent + 1),
-                join_after(pieces, j + 1, method_on),
-                join_after(blocks, i + 1, method_on),
-            )
-            kind = method_type(
-                F.concat(last_chars(before, method_back), first_chars(after, method_on))
-            )
-            return fact(0, order + j, _get(piece, METHOD), kind, parent=name)
-
-        return F.filter(
-            F.transform(pieces, method),
-            lambda m: (m["name"] != "")
-            & ~m["name"].isin(*fixed.JS_NOISE, *STATEMENT_WORDS),
-        )
-
-    cut = F.split(block, java_regex(f"(?={METHOD})"), -1)
-    return F.concat(F.array(declared), bind(cut, methods))
-
-
-def _block_facts(blocks: Column, head: Column, i: Column) -> Column:
-    order = i * F.lit(1_000_000).cast("bigint")
-    block = head["text"]
-
-    def callable_fact(name: Column, lead_pattern: str) -> Column:
-        lead = F.length(_get(block, lead_pattern, 0))
-        n = fixed.FUNCTION_WINDOW
-        window = first_chars(
-            F.concat(F.substr(block, lead + 1), join_after(blocks, i + 1, n)), n
-        )
-        return F.array(fact(0, order, name, function_type(name, window)))
-
-    def plain_fact(name: Column, node_type: str) -> Column:
-        return F.array(fact(0, order, name, F.lit(node_type)))
-
-    return (
-        F.when(head["class_name"] != "", _class_facts(blocks, head, i, order))
-        .when(
-            head["function_name"] != "",
-            callable_fact(head["function_name"], r"^(?:export\s+(?:default\s+)?)?"),
-        )
-        .when(
-            head["arrow_name"] != "",
-            callable_fact(head["arrow_name"], r"^(?:export\s+)?(?:const|let)\s+"),
-        )
-        .when(head["interface_name"] != "", plain_fact(head["interface_name"], "interface"))
-        .when(head["alias_name"] != "", plain_fact(head["alias_name"], "type_alias"))
-        .otherwise(no_facts())
-    )
-
-
-def js_blocks(text: Column) -> Column:
-    return F.split(text, java_regex(BLOCK_START), -1)
-
-
-def js_facts(blocks: Column, text: Column, ext: Column) -> Column:
-    """Declarations by layout, and static imports (routed later by ``resolve``).
-
-    ``blocks`` is ``js_blocks(text)``, handed over as a column so that it is
-    cut once per file.
-    """
-    typed = ext.isin(".ts", ".tsx")
-    heads = F.transform(blocks, lambda b: _head(b, typed))
-    declared = F.flatten(F.transform(heads, lambda h, i: _block_facts(blocks, h, i)))
-    imported = F.transform(
-        find_all(text, IMPORT),
-        lambda p, i: fact(1, i, p, F.lit("js"), is_ref=True),
-    )
-    return F.concat(declared, imported)
-
-
-# ------------------------------------------------------------ pattern-only set
-
-
 def _parent_path(directory: Column, levels: Column) -> Column:
     parts = F.filter(F.split(directory, "/"), lambda p: p != "")
     left = F.greatest(F.size(parts) - levels, F.lit(0))

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import ast
 import warnings
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.text import find_all
-from .facts import FACT_TYPE, fact
+from .facts import fact
 
 
 def _type_of(node: ast.AST) -> str:
@@ -47,19 +45,12 @@ def _definitions(text: str) -> list[tuple[str, str]] | None:
     return found
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    warnings.simplefilter("ignore")
-    for batch in batches:
-        parsed = batch["content"].map(_definitions)
-        yield pd.DataFrame(
-            {
-                "repo": batch["repo"],
-                "file_id": batch["file_id"],
-                "names": parsed.map(lambda d: d and [n for n, _ in d] or []),
-                "types": parsed.map(lambda d: d and [t for _, t in d] or []),
-                "content": batch["content"].where(parsed.isna(), None),
-            }
-        )
+def tree_facts(text: str) -> list[tuple] | None:
+    """Facts of a file in the order of its tree; None where it does not parse."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        found = _definitions(text)
+    return None if found is None else [(0, i, False, None, n, t) for i, (n, t) in enumerate(found)]
 
 
 def loose_facts(text: Column) -> Column:
@@ -85,34 +76,3 @@ def loose_facts(text: Column) -> Column:
             ),
         ),
     )
-
-
-def python_found(files: DataFrame) -> DataFrame:
-    """(repo, file_id, found, parsed): text comes back from Python only for the
-    files that did not parse, which are then read by pattern in the same pass."""
-    parsed = files.select("repo", "file_id", "content").mapInPandas(
-        _parse_batches,
-        "repo string, file_id string, names array<string>, types array<string>, "
-        "content string",
-    )
-    tree = F.transform(
-        F.arrays_zip("names", "types"),
-        lambda d, i: fact(0, i, d["names"], d["types"]),
-    )
-    return parsed.select(
-        "repo",
-        "file_id",
-        F.when(F.col("content").isNull(), tree)
-        .otherwise(loose_facts(F.col("content")))
-        .cast(f"array<{FACT_TYPE}>")
-        .alias("found"),
-        F.col("content").isNull().alias("parsed"),
-    )
-
-
-def python_facts(files: DataFrame) -> DataFrame:
-    return (
-        python_found(files)
-        .select("repo", "file_id", F.explode("found").alias("f"))
-        .select("repo", "file_id", "f.*")
-    )

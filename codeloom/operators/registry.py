@@ -1,7 +1,8 @@
 """Which extractor reads which file extension.
 
-The built-in languages are array expressions evaluated in one scan of the file
-table; Python files take a second, filtered scan through Arrow batches.  Users
+The rule-based languages are array expressions evaluated in one scan of the file
+table; Python, JavaScript and TypeScript take a second, filtered scan through Arrow
+batches.  Users
 add their own with ``register_extractor``; the last registration of an
 extension wins.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from . import javascript, python_source, rules
+from . import javascript, parsed, rules
 from .facts import FACT_TYPE, FACTS_SCHEMA, explode_facts, no_facts
 
 
@@ -58,24 +59,13 @@ def _register_defaults() -> None:
                 ),
             ),
         )
-    _register(
-        fixed.JS_EXTENSIONS,
-        Extractor(
-            "layout",
-            expression=lambda: javascript.js_facts(
-                F.col("blocks"), F.col("content"), F.col("ext")
-            ),
-        ),
-    )
-    _register(
-        fixed.PYTHON_EXTENSIONS,
-        Extractor("python-ast", table=python_source.python_facts),
-    )
+    _register(fixed.JS_EXTENSIONS, Extractor("tokens", table=parsed.parsed_facts))
+    _register(fixed.PYTHON_EXTENSIONS, Extractor("python-ast", table=parsed.parsed_facts))
 
 
 def js_rule_extractor(files: DataFrame) -> DataFrame:
     """The pattern-only reading of JavaScript and TypeScript, to be registered
-    in place of the layout reading where that is wanted."""
+    in place of the token reading where that is wanted."""
     return explode_facts(
         files, javascript.js_rule_facts(files["content"], files["ext"], files["dir"])
     )
@@ -119,12 +109,7 @@ def extract_facts(files: DataFrame) -> DataFrame:
 
 def _native_facts(files: DataFrame, extractors: dict[str, Extractor]) -> DataFrame:
     """One scan for all languages: each file meets its own language's rules."""
-    scanned = files.filter(F.col("ext").isin(*extractors)).withColumn(
-        "blocks",
-        F.when(
-            F.col("ext").isin(*fixed.JS_EXTENSIONS), javascript.js_blocks(F.col("content"))
-        ),
-    )
+    scanned = files.filter(F.col("ext").isin(*extractors))
     session = files.sparkSession.sparkContext.applicationId
     return explode_facts(scanned, _by_extension(session, tuple(extractors.items())))
 

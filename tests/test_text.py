@@ -6,15 +6,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import names, text
-from codeloom.operators import javascript, python_source, rules
+from codeloom.operators import javascript, parsed, rules
 from codeloom.operators.facts import explode_facts
+from codeloom.operators.javascript_source import source_facts
 
 
 def facts_of(spark, expression, content, ext=".x", directory="a/b"):
     files = spark.createDataFrame(
         [("r", f"{directory}/f{ext}", directory, f"f{ext}", ext, content)],
         "repo string, file_id string, dir string, name string, ext string, content string",
-    ).withColumn("blocks", javascript.js_blocks(F.col("content")))
+    )
     rows = explode_facts(files, expression).orderBy("stage", "pos").collect()
     return [(r["name"], r["type"]) for r in rows]
 
@@ -99,8 +100,7 @@ def test_keywords_are_distinct_and_long_enough(spark):
 
 
 def js(spark, content, ext=".ts"):
-    expr = javascript.js_facts(F.col("blocks"), F.col("content"), F.col("ext"))
-    return facts_of(spark, expr, content, ext)
+    return [(f[4], f[5]) for f in sorted(source_facts(content, ext), key=lambda f: f[:2])]
 
 
 def test_class_window_is_counted_in_characters(spark):
@@ -124,6 +124,70 @@ def test_method_window_reaches_over_class_borders(spark):
     assert ("first", "nestjs_endpoint") in js(spark, source)
 
 
+def declared(content, ext=".ts"):
+    return [f"{f[3]}.{f[4]}" if f[3] else f[4] for f in source_facts(content, ext) if f[0] == 0]
+
+
+def test_methods_whatever_their_parameters_and_types():
+    source = """
+@Controller('x')
+export class C {
+  constructor(@Inject(forwardRef(() => X)) private x: X) {
+    super();
+  }
+  find(@Query('p', new Pipe({a: f(1)})) p: P) { return {inner(a) { return 1; }}; }
+  @Get() one() {
+  }
+  two(): Map<string, () => void> { const z = () => 1; }
+  three(): { a: string } { }
+  many(a: string): void
+  many(a: any) {}
+  value = () => { return 1 };
+  other: Map<string, {a: 1}> = new Map()
+  static async gen<T extends {a: 1}>(x: T): Promise<{b: T}> { }
+  get size() { return 1 }
+  #hidden() {}
+  'quoted'() {}
+  [Symbol.iterator]() {}
+  async() {}
+}
+"""
+    assert declared(source) == ["C"] + [
+        f"C.{m}" for m in ("constructor", "find", "one", "two", "three", "many", "gen", "size", "async")
+    ]
+
+
+@pytest.mark.parametrize(
+    "source, expected",
+    [
+        ("class B { foo() {} bar() {} }", ["B", "B.foo", "B.bar"]),
+        ("const p = () => 1, q = () => 2", ["p", "q"]),
+        ("const deep = (a = g(h(1))) => a", ["deep"]),
+        ("const t: F<{a: 1}> = async (x): Promise<void> => {}", ["t"]),
+        ("if (x) { function inIf() {} }", ["inIf"]),
+        ("describe('a', () => { const y = () => 1; })", ["y"]),
+        ("namespace N { export class K {} }", ["K"]),
+        ("(function () { function own() {} })()", ["own"]),
+        ("const k = call(() => { const closed = () => 1 })", []),
+        ("/* function ghost() {} */ function real() {\nconst hidden = () => 1\n}", ["real"]),
+        ("const s = `class T {} ${x} function f() {}`; let r = /function g() {}/", []),
+        ("function over(a: string): void;\nfunction over(a: any) {}", ["over"]),
+        ("const v = <p>don't</p>\nfunction after() {}", ["after"]),
+        ("", []),
+        ("}}) function f() {}", ["f"]),
+        ("function f(", []),
+    ],
+)
+def test_declarations_wherever_they_stand(source, expected):
+    assert declared(source, ".tsx") == expected
+
+
+def test_deep_nesting_has_no_limit():
+    depth = 50_000
+    assert declared("{" * depth + "function f() {}" + "}" * depth) == ["f"]
+    assert declared("a(" * depth + "() => { class C { m() {} } }" + ")" * depth) == ["C", "C.m"]
+
+
 def test_function_bodies_are_not_descended(spark):
     source = "function outer() {\n  function inner() {\n  }\n  const f = () => 1;\n}\n"
     assert js(spark, source) == [("outer", "function")]
@@ -194,7 +258,7 @@ def python(spark, content):
         [("r", "m.py", "", "m.py", ".py", content)],
         "repo string, file_id string, dir string, name string, ext string, content string",
     )
-    rows = python_source.python_facts(files).orderBy("stage", "pos").collect()
+    rows = parsed.parsed_facts(files).orderBy("stage", "pos").collect()
     return [(r["name"], r["type"]) for r in rows]
 
 

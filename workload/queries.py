@@ -16,9 +16,8 @@ from codeloom.operators import metrics, registry, render, resolve, rules, struct
 from codeloom.operators.communities import communities, modularity
 from codeloom.operators.facts import explode_facts, imports_of, symbols_of
 from codeloom.operators.graph import Graph
-from codeloom.operators.javascript import js_blocks, js_facts
 from codeloom.operators.pagerank import pagerank
-from codeloom.operators.python_source import python_found
+from codeloom.operators.parsed import parsed_facts, parsed_found
 from codeloom.operators.search import keyword_index, keyword_search
 from codeloom.operators.smart import smart_graph
 from codeloom.plans import jobs
@@ -217,7 +216,7 @@ _register_rules()
 
 def _python(spark, sf_dir, parsed: bool) -> DataFrame:
     files = structure.supported_files(_files(spark, sf_dir), [".py"])
-    found = python_found(files).filter(F.col("parsed") == F.lit(parsed))
+    found = parsed_found(files).filter(F.col("parsed") == F.lit(parsed))
     return _both(found.select("repo", "file_id", F.explode("found").alias("f")).select(
         "repo", "file_id", "f.*"))
 
@@ -242,9 +241,7 @@ JS_EXTS = ["." + e for e in JS_FAMILY]
 
 @query("extract_js", _both_sql(JS_EXTS, with_pos=False))
 def extract_js(spark, sf_dir):
-    files = _js_files(spark, sf_dir).withColumn("blocks", js_blocks(F.col("content")))
-    found = js_facts(F.col("blocks"), F.col("content"), F.col("ext"))
-    return _both(explode_facts(files, found), with_pos=False)
+    return _both(parsed_facts(_js_files(spark, sf_dir)), with_pos=False)
 
 
 @query("extract_js_regex", _both_sql(JS_EXTS, which=("rule_symbols", "rule_imports")))
@@ -401,7 +398,7 @@ def most_connected(spark, sf_dir):
 
 
 @query("extract_stats", f"""{sql.BASE} SELECT repo, ext[2:] AS ext, count(*) AS files,
-  CASE WHEN ext = '.py' THEN 'python-ast' WHEN ext IN {sql.in_list(JS_EXTS)} THEN 'layout'
+  CASE WHEN ext = '.py' THEN 'python-ast' WHEN ext IN {sql.in_list(JS_EXTS)} THEN 'tokens'
        ELSE 'regex' END AS method FROM files GROUP BY ALL""")
 def extract_stats(spark, sf_dir):
     return metrics.extract_stats(_files(spark, sf_dir), registry.methods())
@@ -444,7 +441,7 @@ SELECT t.repo AS project, t.mode, t.total_nodes, t.total_edges,
    WHERE x.repo = t.repo AND external) AS external,
   (SELECT string_agg(e || '=' || n || ' ' || m, ' ' ORDER BY e) FROM (
      SELECT f.repo, ext[2:] AS e, count(*) AS n,
-       CASE WHEN ext = '.py' THEN 'python-ast' WHEN ext IN {sql.in_list(JS_EXTS)} THEN 'layout'
+       CASE WHEN ext = '.py' THEN 'python-ast' WHEN ext IN {sql.in_list(JS_EXTS)} THEN 'tokens'
             ELSE 'regex' END AS m FROM files f GROUP BY ALL) x WHERE x.repo = t.repo) AS parser_info
 FROM totals t""")
 def graph_metadata(spark, sf_dir):

@@ -136,6 +136,17 @@ export default function Main{k}() {
 }
 let arrow{k} = x => x;
 var old{k} = 5;
+class Tight{k} { foo{k}() {} bar{k}() {} }
+const p{k} = () => 1, q{k} = () => 2;
+const deep{k} = (a = g(h(1))) => a;
+if (p{k}) { function inIf{k}() {} }
+describe('x', () => { const inCall{k} = () => 1; });
+/* function ghost{k}() {} */
+class Svc{k} {
+  one{k}(a = f(g(1)), b = {x: 1}) {
+    return {inner{k}(c) { return c; }};
+  }
+}
 """,
     symbols=[
         (0, 0, None, "Plain{k}", "class"),
@@ -144,6 +155,16 @@ var old{k} = 5;
         (0, 3, None, "plainFn{k}", "function"),
         (0, 4, None, "Main{k}", "function"),
         (0, 5, None, "arrow{k}", "function"),
+        (0, 6, None, "Tight{k}", "class"),
+        (0, 7, "Tight{k}", "foo{k}", "method"),
+        (0, 8, "Tight{k}", "bar{k}", "method"),
+        (0, 9, None, "p{k}", "function"),
+        (0, 10, None, "q{k}", "function"),
+        (0, 11, None, "deep{k}", "function"),
+        (0, 12, None, "inIf{k}", "function"),
+        (0, 13, None, "inCall{k}", "function"),
+        (0, 14, None, "Svc{k}", "class"),
+        (0, 15, "Svc{k}", "one{k}", "method"),
     ],
     imports=[
         (1, 0, "./helper", "js"),
@@ -152,12 +173,18 @@ var old{k} = 5;
     ],
     rule_symbols=[
         (3, 0, None, "Plain{k}", "class"),
+        (3, 1, None, "Tight{k}", "class"),
+        (3, 2, None, "Svc{k}", "class"),
         (4, 0, None, "plainFn{k}", "function"),
         (4, 1, None, "Main{k}", "function"),
-        (4, 2, None, "fs", "function"),
-        (4, 3, None, "lazy{k}", "function"),
-        (4, 4, None, "arrow{k}", "function"),
-        (4, 5, None, "old{k}", "function"),
+        (4, 2, None, "inIf{k}", "function"),
+        (4, 3, None, "ghost{k}", "function"),
+        (4, 4, None, "fs", "function"),
+        (4, 5, None, "lazy{k}", "function"),
+        (4, 6, None, "arrow{k}", "function"),
+        (4, 7, None, "old{k}", "function"),
+        (4, 8, None, "p{k}", "function"),
+        (4, 9, None, "deep{k}", "function"),
     ],
     rule_imports=[
         (5, 0, "{here}helper", "path"),
