@@ -1,27 +1,33 @@
 """Communities by modularity: Louvain's two phases as joins and aggregates.
 
 All nodes look for the neighbouring community of highest gain at once; a seeded
-hash of (node, round) picks who may move in a round, so that neighbours seldom
-swap places, and of two single nodes only the one with the larger id joins the
-other.  When moving has died down, communities become the nodes of a smaller
-graph, and so on while a repository's modularity still rises; a level that does
-not raise it is not taken over.
+hash of (place of the node in its repository, round) picks who may move in a round,
+so that neighbours seldom swap places, and of two single nodes only the one with the
+larger id joins the other.  When moving has died down, communities become the nodes
+of a smaller graph, and so on while a repository's modularity still rises; a level
+that does not raise it is not taken over.
+
+Every decision is a repository's own: when its moves have died down it rests until
+the level ends, and its labels are the same alone and beside any others.  Levels end
+when no repository rises any more.  A repository whose moves go on is stopped after
+MAX_ROUNDS rounds, which is reported.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.work import WorkTables, dense_index, small_side
+from ..functions.work import WorkTables, dense_index, join_groups, small_side
 from .graph import Graph, undirected, without_types
 from .iterate import index_graph, salted_edges, send
 
-MAX_LEVELS = 12
-MAX_ROUNDS = 16
+MAX_ROUNDS = 64
 MIN_GAIN = 1e-7
-FEW_MOVERS = 0.02
+FEW_MOVERS = 0.02  # of a repository's own nodes; one node may always be left
 
 
 def modularity(memberships: DataFrame, links: DataFrame) -> DataFrame:
@@ -60,10 +66,15 @@ def modularity(memberships: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _move_round(state: DataFrame, edges: DataFrame, round_no: int, seed: int) -> DataFrame:
-    """One simultaneous move.  state: vid, rid, n_salts, k, loops, m2, comm."""
+STATE = ("vid", "rid", "base", "n_salts", "k", "loops", "m2", "comm")
+
+
+def _move_round(
+    state: DataFrame, edges: DataFrame, round_no: int, seed: int, n: int
+) -> DataFrame:
+    """One simultaneous move of the ``n`` nodes in ``state`` (STATE columns)."""
     totals = state.groupBy("comm").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
-    here = state.join(totals, "comm")
+    here = join_groups(state, totals, "comm", "size", n)
     offers = (
         send(edges, here, "comm", "tot", "size")
         .groupBy(F.col("dst").alias("vid"), F.col("comm").alias("offer"))
@@ -95,7 +106,8 @@ def _move_round(state: DataFrame, edges: DataFrame, round_no: int, seed: int) ->
         & (F.col("best.gain") > stay + 1e-9)
         & (~lone_pair | (-F.col("best.minus") < F.col("comm")))
     )
-    drawn = F.pmod(F.xxhash64("vid", F.lit(round_no), F.lit(seed)), F.lit(4)) < 3
+    place = F.col("vid") - F.col("base")
+    drawn = F.pmod(F.xxhash64(place, F.lit(round_no), F.lit(seed)), F.lit(4)) < 3
     return (
         here.join(choice, "vid", "left")
         .withColumn("wants", F.coalesce(wants, F.lit(False)))
@@ -103,7 +115,7 @@ def _move_round(state: DataFrame, edges: DataFrame, round_no: int, seed: int) ->
             "next",
             F.when(F.col("wants") & drawn, -F.col("best.minus")).otherwise(F.col("comm")),
         )
-        .select("vid", "rid", "n_salts", "k", "loops", "m2", F.col("next").alias("comm"), "wants")
+        .select(*STATE[:-1], F.col("next").alias("comm"), "wants")
     )
 
 
@@ -114,6 +126,47 @@ def _quality(groups: DataFrame) -> DataFrame:
     )
 
 
+def _settle(
+    start: DataFrame, spread: DataFrame, seed: int, work: WorkTables, n_repos: int
+) -> DataFrame:
+    """Rounds of moves until they have died down in each repository; a repository that
+    has come to rest takes no part in later rounds."""
+    rest, moving, n = None, start, start.count()
+    for round_no in range(MAX_ROUNDS):
+        if n == 0:
+            break
+        moved = work.alternate(_move_round(moving, spread, round_no, seed, n), "moves")
+        going = work.alternate(
+            moved.groupBy("rid").agg(F.sum(F.col("wants").cast("long")).alias("w"), F.count("*").alias("n"))
+            .filter(F.col("w") > F.greatest(F.lit(1.0), F.col("n") * FEW_MOVERS)).select("rid", "n"),
+            "going",
+        )
+        moved, before = moved.drop("wants"), n
+        n = going.agg(F.sum("n")).first()[0] or 0
+        moving = moved
+        if n < before:
+            still = small_side(going.select("rid"), n_repos)
+            ended = work.keep(moved.join(still, "rid", "left_anti"), "at-rest")
+            rest = ended if rest is None else rest.unionByName(ended)
+            moving = moved.join(still, "rid", "left_semi")
+    if n:
+        warnings.warn(f"communities: moves went on after {MAX_ROUNDS} rounds", stacklevel=2)
+        rest = moving if rest is None else rest.unionByName(moving)
+    return work.keep(start if rest is None else rest, "settled")
+
+
+def _contracted(state: DataFrame, spread: DataFrame, work: WorkTables) -> DataFrame:
+    """(csrc, cdst, w): links between communities, and inside them."""
+    to = state.select(F.col("vid").alias("dst"), F.col("comm").alias("cdst"))
+    return work.keep(
+        send(spread, state, F.col("comm").alias("csrc"))
+        .groupBy("dst", "csrc").agg(F.sum("w").alias("w"))
+        .join(to, "dst")
+        .groupBy("csrc", "cdst").agg(F.sum("w").alias("w")),
+        "between",
+    )
+
+
 def detect(graph: Graph, seed: int = fixed.COMMUNITY_SEED, work: WorkTables | None = None):
     """(repo, node_id, comm) for every eligible node; ``comm`` is an arbitrary id."""
     work = (work or WorkTables(graph.nodes.sparkSession)).child()
@@ -127,10 +180,11 @@ def detect(graph: Graph, seed: int = fixed.COMMUNITY_SEED, work: WorkTables | No
             F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")
     ).select("e.src", "e.dst", F.lit(1.0).alias("w"))
     nodes = indexed.vertices.select("vid", "rid", F.lit(0.0).alias("loops"))
+    bases = work.keep(nodes.groupBy("rid").agg(F.min("vid").alias("base")), "bases")
 
     members = indexed.vertices.select("vid", F.col("vid").alias("comm"))
     best = None
-    for _ in range(MAX_LEVELS):
+    while True:
         spread, sources = salted_edges(edges)
         weights = edges.groupBy("src").agg(F.sum("w").alias("linked"))
         sized = (
@@ -139,34 +193,21 @@ def detect(graph: Graph, seed: int = fixed.COMMUNITY_SEED, work: WorkTables | No
             .withColumn("k", F.coalesce("linked", F.lit(0.0)) + F.col("loops"))
         )
         repos = sized.groupBy("rid").agg(F.sum("k").alias("m2")).filter("m2 > 0")
+        repos = repos.join(bases, "rid")
         start = work.keep(
             sized.join(small_side(repos, indexed.n_repos), "rid").select(
-                "vid", "rid", "n_salts", "k", "loops", "m2", F.col("vid").alias("comm"),
-                F.lit(True).alias("wants"),
+                "vid", "rid", "base", "n_salts", "k", "loops", "m2", F.col("vid").alias("comm"),
             ),
             "level",
         )
         if best is None:
             best = work.alternate(_quality(start), "quality")
-        n = start.count()
-        state = start
-        for round_no in range(MAX_ROUNDS):
-            state = work.alternate(_move_round(state, spread, round_no, seed), "moves")
-            if state.filter("wants").count() <= n * FEW_MOVERS:
-                break
-
-        # contract: communities become nodes, links inside become loops
-        to = state.select(F.col("vid").alias("dst"), F.col("comm").alias("cdst"))
-        between = work.keep(
-            send(spread, state, F.col("comm").alias("csrc"))
-            .groupBy("dst", "csrc")
-            .agg(F.sum("w").alias("w"))
-            .join(to, "dst")
-            .groupBy("csrc", "cdst")
-            .agg(F.sum("w").alias("w")),
-            "between",
-        )
-        spread.unpersist()
+        try:
+            state = _settle(start, spread, seed, work, indexed.n_repos)
+            between = _contracted(state, spread, work)
+        finally:
+            spread.unpersist()
+
         inner = between.filter("csrc = cdst").select(
             F.col("csrc").alias("vid"), F.col("w").alias("inner")
         )

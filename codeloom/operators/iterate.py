@@ -84,8 +84,9 @@ def salted_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("n_salts", F.ceil(F.col("out_edges") / EDGES_PER_SALT).cast("int"))
     )
     hubs = sources.filter("n_salts > 1").select("src", "n_salts")
+    # at most one hub per EDGES_PER_SALT edges, so that edges nearly always stay in place
     spread = (
-        edges.join(hubs, "src", "left")
+        edges.join(small_side(hubs, hubs.count()), "src", "left")
         .withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("n_salts", F.lit(1))).cast("int"))
         .drop("n_salts")
         .repartition(n, "src", "salt")

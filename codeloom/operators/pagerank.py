@@ -65,38 +65,40 @@ def pagerank(
         )
 
     limit = max_rounds if rounds is None else rounds
-    for done in range(1, limit + 1):
-        current = state.join(small_side(per_repo(state), indexed.n_repos), "rid")
-        received = (
-            send(
-                edges,
-                current.filter("active"),
-                (F.col("rank") / F.col("out_edges")).alias("share"),
+    try:
+        for done in range(1, limit + 1):
+            current = state.join(small_side(per_repo(state), indexed.n_repos), "rid")
+            received = (
+                send(
+                    edges,
+                    current.filter("active"),
+                    (F.col("rank") / F.col("out_edges")).alias("share"),
+                )
+                .groupBy(F.col("dst").alias("vid"))
+                .agg(F.sum("share").alias("received"))
             )
-            .groupBy(F.col("dst").alias("vid"))
-            .agg(F.sum("share").alias("received"))
-        )
-        fresh = alpha * F.coalesce("received", F.lit(0.0)) + (
-            alpha * F.col("idle") + (1.0 - alpha)
-        ) / F.col("n")
-        state = work.alternate(
-            current.join(received, "vid", "left")
-            .withColumn("fresh", F.when(F.col("active"), fresh).otherwise(F.col("rank")))
-            .select(
-                "vid",
-                "rid",
-                "out_edges",
-                "n_salts",
-                F.col("fresh").alias("rank"),
-                F.abs(F.col("fresh") - F.col("rank")).alias("change"),
-            ),
-            "ranks",
-        )
-        # a frozen repository does not change, so looking now and then is exact
-        if rounds is None and done % ROUNDS_PER_LOOK == 0:
-            if per_repo(state).filter("active").isEmpty():
-                break
-    edges.unpersist()
+            fresh = alpha * F.coalesce("received", F.lit(0.0)) + (
+                alpha * F.col("idle") + (1.0 - alpha)
+            ) / F.col("n")
+            state = work.alternate(
+                current.join(received, "vid", "left")
+                .withColumn("fresh", F.when(F.col("active"), fresh).otherwise(F.col("rank")))
+                .select(
+                    "vid",
+                    "rid",
+                    "out_edges",
+                    "n_salts",
+                    F.col("fresh").alias("rank"),
+                    F.abs(F.col("fresh") - F.col("rank")).alias("change"),
+                ),
+                "ranks",
+            )
+            # a frozen repository does not change, so looking now and then is exact
+            if rounds is None and done % ROUNDS_PER_LOOK == 0:
+                if per_repo(state).filter("active").isEmpty():
+                    break
+    finally:
+        edges.unpersist()
     totals = per_repo(state)
 
     final = state.join(small_side(totals.select("rid", "active"), indexed.n_repos), "rid")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.names import normalise_id
+from ..functions.work import WorkTables
 from .javascript import relative_path
 from .structure import suffix_index
 
@@ -22,7 +23,30 @@ def _leading_paths(path):
     )
 
 
-def resolve_aliases(requests: DataFrame, files: DataFrame) -> DataFrame:
+def _spellings(requests: DataFrame) -> DataFrame:
+    """(repo, alias, rank, suffix): each alias with the endings to be tried."""
+    tried = F.array(
+        *[F.concat(normalise_id(F.col("alias")), F.lit(s)) for s in fixed.ALIAS_SUFFIXES]
+    )
+    return (
+        requests.select("repo", "alias").distinct()
+        .select("repo", "alias", F.posexplode(tried).alias("rank", "suffix"))
+    )
+
+
+def files_at(requests: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, alias, placed): the file that lies at the very path, by the first
+    spelling that has one."""
+    listed = files.select("repo", F.col("file_id").alias("suffix"))
+    return (
+        _spellings(requests).join(listed, ["repo", "suffix"])
+        .groupBy("repo", "alias").agg(F.min_by("suffix", "rank").alias("placed"))
+    )
+
+
+def resolve_aliases(
+    requests: DataFrame, files: DataFrame, work: WorkTables | None = None
+) -> DataFrame:
     """(repo, file_id, alias) -> the same with ``target``, for those that resolve.
 
     The eight spellings of an alias are tried in order against the trailing
@@ -34,25 +58,13 @@ def resolve_aliases(requests: DataFrame, files: DataFrame) -> DataFrame:
     settled by the aggregate; for the others the best hit is looked up by
     (spelling, leading path), longest path first, in an index that holds one
     row per such key.  Cost is linear in requests and files whatever the number
-    of files called ``index.ts``.
+    of files called ``index.ts``.  What requests are joined with is written first:
+    both sides of such a join are then plain shuffles, whose hot keys (an alias that
+    every file imports) adaptive execution splits.
     """
+    work = (work or WorkTables(requests.sparkSession)).child()
     requests = requests.select("repo", "file_id", "alias").distinct()
-    spellings = (
-        requests.select("repo", "alias")
-        .distinct()
-        .select(
-            "repo",
-            "alias",
-            F.posexplode(
-                F.array(
-                    *[
-                        F.concat(normalise_id(F.col("alias")), F.lit(s))
-                        for s in fixed.ALIAS_SUFFIXES
-                    ]
-                )
-            ).alias("rank", "suffix"),
-        )
-    )
+    spellings = _spellings(requests)
     # only files of a wanted base name are worth indexing
     last = F.substring_index("suffix", "/", -1).alias("last")
     wanted = spellings.select("repo", last).distinct()
@@ -69,7 +81,7 @@ def resolve_aliases(requests: DataFrame, files: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("rank", "suffix", "hits", "first")).alias("best"))
         .select("repo", "alias", "best.suffix", "best.hits", "best.first")
     )
-    settled = requests.join(best, ["repo", "alias"])
+    settled = requests.join(work.keep(best, "best"), ["repo", "alias"])
     single = settled.filter("hits = 1").select(
         "repo", "file_id", "alias", F.col("first").alias("target")
     )
@@ -90,7 +102,7 @@ def resolve_aliases(requests: DataFrame, files: DataFrame) -> DataFrame:
         .agg(F.min("file_id").alias("hit"))
     )
     nearest = (
-        several.join(by_lead, ["repo", "suffix", "lead"], "left")
+        several.join(work.keep(by_lead, "by-lead"), ["repo", "suffix", "lead"], "left")
         .groupBy("repo", "file_id", "alias")
         .agg(
             F.coalesce(
@@ -120,7 +132,8 @@ def route_js_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Raw paths of kind ``js`` -> their targets: a file (``resolved``), an
     internal ``alias``, or an external ``npm_package``.
 
-    Relative paths are first worked out against the importing file's folder.
+    Relative paths are first worked out against the importing file's folder, and
+    name the file at that place before any other that ends alike.
     """
     raw = F.col("raw")
     wanted = imports.filter(
@@ -142,9 +155,14 @@ def route_js_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     looked_up = cleaned.withColumn(
         "alias", F.when(dotted, relative_path(F.col("raw"), folder)).otherwise(F.col("raw"))
     )
-    found = resolve_aliases(looked_up, files)
+    looked_up = looked_up.withColumn("dotted", dotted)
+    work = WorkTables(imports.sparkSession)
+    placed = work.keep(files_at(looked_up.filter("dotted"), files), "placed")
+    found = resolve_aliases(looked_up, files, work)
     internal = (
         looked_up.join(found, ["repo", "file_id", "alias"], "left")
+        .join(placed, ["repo", "alias"], "left")
+        .withColumn("target", F.coalesce(F.when(F.col("dotted"), F.col("placed")), "target"))
         .withColumn("kind", F.when(F.col("target").isNull(), "alias").otherwise("resolved"))
         .withColumn("raw", F.coalesce("target", "raw"))
         .filter("raw != ''")

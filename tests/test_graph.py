@@ -1,5 +1,6 @@
 """Graph semantics on small tables written out by hand."""
 
+import random
 from types import SimpleNamespace
 
 import numpy as np
@@ -294,6 +295,19 @@ def test_rewiring(spark):
     }
 
 
+def test_relative_import_names_the_file_at_its_place(spark):
+    ids = ["src/main.js", "src/util.js", "packages/x/src/util.ts", "packages/x/src/far.ts"]
+    files = spark.createDataFrame([("r", i) for i in ids], "repo string, file_id string")
+    imports = spark.createDataFrame(
+        [("r", "src/main.js", 1, i, raw, "js") for i, raw in enumerate(("./util", "./far", "../gone"))],
+        "repo string, file_id string, stage int, pos bigint, raw string, kind string",
+    )
+    routed = resolve.route_js_imports(imports, files).orderBy("pos").collect()
+    assert [(r.raw, r.kind) for r in routed] == [
+        ("src/util.js", "resolved"), ("packages/x/src/far.ts", "resolved"), ("../gone", "alias"),
+    ]
+
+
 # ------------------------------------------------------------------ communities
 
 
@@ -351,6 +365,27 @@ def test_modularity_beats_simple_partitions(spark):
     assert quality(found) > max(quality(single), quality(together)) + 0.2
 
 
+def test_a_repository_has_the_same_communities_beside_others(spark):
+    """Neither another repository's size nor its place in the order counts."""
+    rng = random.Random(5)
+    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(90)})
+    edges = [("m", f"n{a:02}", f"n{b:02}", "imports") for a, b in pairs]
+    nodes = [("m", f"n{i:02}", "file") for i in range(40)]
+    one = [("a", "alone", "file")]
+    many = [("z", f"x{i}", "file") for i in range(600)]
+    many_edges = [("z", f"x{i}", f"x{(i * 7 + 1) % 600}", "imports") for i in range(600)]
+
+    def labels(nodes, edges):
+        rows = [(*n, False) for n in nodes]
+        graph = Graph(spark.createDataFrame(rows, NODE), spark.createDataFrame(edges, EDGE))
+        return {r.node_id: r.community for r in communities(graph).filter("repo = 'm'").collect()}
+
+    alone = labels(nodes, edges)
+    assert len(set(alone.values())) > 1
+    assert labels(one + nodes, edges) == alone
+    assert labels(nodes + many, edges + many_edges) == alone
+
+
 def test_excluded_types_have_no_community(spark):
     graph = Graph(
         nodes_of(spark, ("d", "folder", False), ("a", "file", False), ("u", "unresolved", True)),

@@ -52,8 +52,11 @@ FILES = f"""named AS (
 every AS (
   SELECT repo, k, turn, alias, lang AS kind, dir,
     base || CASE WHEN lang = 'go' AND k % 5 = 0 THEN '.GO' ELSE e END AS name FROM named
-  UNION ALL SELECT repo, k, turn, alias, 'helper', dir, 'helper.ts' FROM named
+  UNION ALL SELECT repo, k, turn, alias, 'helper', dir,
+    CASE WHEN lang = 'js' AND turn % 4 = 1 THEN 'helper.js' ELSE 'helper.ts' END FROM named
     WHERE lang IN {in_list(JS_FAMILY)} AND dir <> ''
+  UNION ALL SELECT repo, k, turn, alias, 'helper', 'packages/' || dir, 'helper.ts' FROM named
+    WHERE lang = 'js' AND turn % 4 = 1 AND dir <> ''
   UNION ALL SELECT repo, k, turn, alias, 'pystub', '', base || '_pb2_grpc.py' FROM named
     WHERE lang = 'proto' AND turn % 2 = 0
   UNION ALL SELECT repo, k, turn, alias, 'gostub', '', base || '.pb.go' FROM named
@@ -149,17 +152,24 @@ looked AS (
     WHEN cleaned LIKE './%' THEN CASE WHEN dir = '' THEN '' ELSE dir || '/' END || cleaned[3:]
     WHEN cleaned LIKE '../%' THEN
       CASE WHEN contains(dir, '/') THEN regexp_replace(dir, '[^/]*$', '') ELSE '' END || cleaned[4:]
-    ELSE cleaned END AS alias
+    ELSE cleaned END AS alias,
+    cleaned LIKE './%' OR cleaned LIKE '../%' AS dotted
   FROM js_imports WHERE internal),
 requests AS (SELECT DISTINCT repo, file_id, alias FROM looked)"""
 
-ROUTED = """routed AS (
+# a relative path names the file at that very place before any other
+ROUTED = f"""at_place AS (
+  SELECT r.repo, r.alias, min_by(f.file_id, s.rank) AS file_id
+  FROM (SELECT DISTINCT repo, alias FROM looked WHERE dotted) r, {SPELLINGS} s(rank, tail), files f
+  WHERE f.repo = r.repo AND f.file_id = r.alias || s.tail GROUP BY r.repo, r.alias),
+routed AS (
   SELECT repo, file_id, stage, pos, split_part(split_part(raw, '/', 1), '@', 1) AS raw,
     'npm_package' AS kind FROM js_imports WHERE NOT internal
   UNION ALL
-  SELECT l.repo, l.file_id, l.stage, l.pos, coalesce(t.target, l.cleaned),
-    CASE WHEN t.target IS NULL THEN 'alias' ELSE 'resolved' END
+  SELECT l.repo, l.file_id, l.stage, l.pos, coalesce(e.file_id, t.target, l.cleaned),
+    CASE WHEN coalesce(e.file_id, t.target) IS NULL THEN 'alias' ELSE 'resolved' END
   FROM looked l LEFT JOIN resolved t USING (repo, file_id, alias)
+  LEFT JOIN at_place e ON l.dotted AND e.repo = l.repo AND e.alias = l.alias
   UNION ALL
   SELECT repo, file_id, stage, pos, raw, kind FROM imports WHERE kind <> 'js')"""
 

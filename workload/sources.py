@@ -61,6 +61,7 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = _pick([t.ext for t in LANGUAGES.values()], k % len(LANGUAGES))
     suffix = F.when((lang == "go") & (k % 5 == 0), ".GO").otherwise(suffix)
     keyed = (F.col("dir") == "") | (lang == "proto")
+    twin = (lang == "js") & (F.col("dir") != "") & (turn % 4 == 1)
     base = F.concat("stem", F.when(keyed, F.concat(F.lit("_"), k.cast("string"))).otherwise(""))
 
     def file(kind: Column, directory: Column, name: Column, when: Column | None = None) -> Column:
@@ -69,8 +70,11 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = F.array(
         file(lang, F.col("dir"), F.concat(base, suffix)),
-        file(F.lit("helper"), F.col("dir"), F.lit("helper.ts"),
+        file(F.lit("helper"), F.col("dir"),
+             F.when(twin, "helper.js").otherwise(F.lit("helper.ts")),
              lang.isin(*JS_FAMILY) & (F.col("dir") != "")),
+        # a spelling that is tried earlier ends a longer path in another folder
+        file(F.lit("helper"), F.concat(F.lit("packages/"), "dir"), F.lit("helper.ts"), twin),
         file(F.lit("pystub"), F.lit(""), F.concat(base, F.lit("_pb2_grpc.py")),
              (lang == "proto") & (turn % 2 == 0)),
         file(F.lit("gostub"), F.lit(""), F.concat(base, F.lit(".pb.go")),
