@@ -13,9 +13,6 @@ from ..functions.work import BROADCAST_ROWS, WorkTables
 
 # Rows of one Arrow batch: a Python worker holds one batch of whole texts.
 ARROW_ROWS = 512
-# A group with at least 1/HEAVY_SHARE of all rows is heavy; by counting there are
-# at most HEAVY_SHARE of them, whatever the input's size.
-HEAVY_SHARE = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -73,19 +70,6 @@ def located(docs: DataFrame) -> DataFrame:
     return docs.select("*", meta["file_path"].alias("_file"), meta["row_index"].alias("_row"))
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Rows with their group's columns (one row of ``groups`` per key, ``size`` rows in it).
-
-    Heavy groups, at most HEAVY_SHARE by counting, are broadcast, so that their
-    rows stay where they are; only rows of light groups are shuffled.
-    """
-    is_heavy = F.col(size) * HEAVY_SHARE >= F.lit(total)
-    heavy, light = groups.filter(is_heavy), groups.filter(~is_heavy)
-    return rows.join(F.broadcast(heavy), key).unionByName(
-        rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
-    )
-
-
 def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast up to BROADCAST_ROWS counted rows of numbers; shuffle beyond."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

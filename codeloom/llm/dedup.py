@@ -19,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.work import WorkTables
-from .common import broadcast_if, filed, join_groups, located
+from ..functions.work import WorkTables, join_groups
+from .common import broadcast_if, filed, located
 
 SPACES = r"[\x20\x09-\x0D]+"
 FILES_PER_TRIGGER = 4096

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.work import WorkTables
-from .common import broadcast_if, join_groups, map_rows, small_batches, text_bytes
+from ..functions.work import WorkTables, join_groups
+from .common import broadcast_if, map_rows, small_batches, text_bytes
 from .components import components
 from .shingles import mix, shingle_set
 
