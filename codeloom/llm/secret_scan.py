@@ -41,7 +41,8 @@ SENSITIVE = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,31}")
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])[A-Za-z_]{4,40}(?![A-Za-z0-9])")
+HUMP = re.compile("[a-z][A-Z]")
 
 REACH = 80  # characters after a sensitive word in which a candidate may start
 AROUND = 400  # characters of surrounding text on either side
@@ -82,10 +83,18 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=9, dict_data=primed)
 
 
+def like_a_name(text: str) -> bool:
+    """Letters only, and not a new capital every few letters."""
+    return bool(IDENTIFIER.fullmatch(text)) and 5 * len(HUMP.findall(text)) <= len(text)
+
+
 def novelty(text: str, start: int, end: int, dictionary: bytes) -> float:
-    """Compressed bytes that the candidate adds to its surroundings, per byte of its own."""
-    around = f"{text[max(0, start - AROUND):start]}\n{text[end:end + AROUND]}\n".encode()
-    own = text[start:end].encode()
+    """Compressed bytes that the candidate adds to its surroundings, per byte of its own.
+    A further copy nearby makes it a known name only if it is spelt like one."""
+    around = f"{text[max(0, start - AROUND):start]}\n{text[end:end + AROUND]}\n"
+    if not like_a_name(text[start:end]):
+        around = around.replace(text[start:end], "")
+    around, own = around.encode(), text[start:end].encode()
     pack = _compressor(dictionary).compress
     return (len(pack(around + own)) - len(pack(around))) / len(own)
 
@@ -111,7 +120,7 @@ def identifiers(docs: DataFrame, text_col: str) -> bytes:
         for text in batch.column(0).to_pylist():
             for word in SENSITIVE.finditer(text or ""):
                 around = text[max(0, word.start() - AROUND) : word.end() + AROUND]
-                counts.update(set(IDENTIFIER.findall(around)))
+                counts.update(w for w in set(IDENTIFIER.findall(around)) if like_a_name(w))
         return {"word": list(counts), "n": list(counts.values())}
 
     counted = map_rows(docs.select(F.col(text_col).cast("string")), make, "word string, n long")
