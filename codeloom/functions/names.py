@@ -71,3 +71,8 @@ def capitalise(text: Column) -> Column:
     return F.concat(
         F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2)))
     )
+
+
+def decoded_path(uri: Column) -> Column:
+    """A file's path as it is spelt, from the URI that Spark reports."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))

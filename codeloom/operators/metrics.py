@@ -117,15 +117,15 @@ def internal_sources(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def capped_neighbours(neighbours: DataFrame, cap: int = fixed.PAGE_NEIGHBOURS) -> DataFrame:
     """(repo, node_id, direction, type, neighbours): the first ``cap`` distinct
-    neighbours in code-point order.  Input rows are distinct already; rows past
-    the cap are cut in each task before the shuffle."""
+    neighbours in code-point order; rows past the cap are cut in each task before
+    the shuffle."""
     keys = ["repo", "node_id", "direction", "type"]
     ordered = W.partitionBy(*keys).orderBy("neighbour")
     return (
-        neighbours.withColumn("_rank", F.row_number().over(ordered))
+        neighbours.withColumn("_rank", F.dense_rank().over(ordered))
         .filter(F.col("_rank") <= cap)
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("neighbour")).alias("neighbours"))
+        .agg(F.array_sort(F.collect_set("neighbour")).alias("neighbours"))
     )
 
 

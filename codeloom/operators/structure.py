@@ -6,7 +6,7 @@ columnar file table never has its text touched by these operators.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -17,14 +17,22 @@ ROOT = "root"
 
 def prune_dirs(files: DataFrame) -> DataFrame:
     """Drop files below a directory of an ignored name."""
+    return files.filter(~below_ignored(F.col("dir")))
+
+
+def below_ignored(directory: Column) -> Column:
     ignored = F.array(*[F.lit(d) for d in fixed.IGNORED_DIRS])
-    return files.filter(~F.arrays_overlap(F.split("dir", "/"), ignored))
+    return F.arrays_overlap(F.split(directory, "/"), ignored)
+
+
+def in_focus(file_id: Column, focus: str) -> Column:
+    return F.startswith(file_id, F.lit(focus.strip("/") + "/"))
 
 
 def focus_files(files: DataFrame, focus: str | None) -> DataFrame:
     if not focus:
         return files
-    return files.filter(F.startswith("file_id", F.lit(focus.strip("/") + "/")))
+    return files.filter(in_focus(F.col("file_id"), focus))
 
 
 def supported_files(files: DataFrame, extensions) -> DataFrame:

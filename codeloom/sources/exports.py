@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import decoded_path
 from ..operators.graph import Graph
 
 GOD_LIST = "array<struct<node:string,degree:bigint>>"
@@ -37,7 +38,7 @@ def read_documents(spark: SparkSession, path: str) -> tuple[Graph, DataFrame]:
         spark.read.schema(DOCUMENT_SCHEMA)
         .option("multiLine", True)
         .json(path)
-        .withColumn("path", F.input_file_name())
+        .withColumn("path", decoded_path(F.input_file_name()))
     )
     stem = F.regexp_replace(
         F.substring_index("path", "/", -1),

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import codeloom
-from codeloom.operators import registry
+from codeloom.operators import metrics, registry
 from codeloom.operators.facts import explode_facts, fact
 from codeloom.plans import jobs
-from codeloom.sources import tree
+from codeloom.sources import exports, tree
 
 
 @pytest.fixture()
@@ -50,6 +50,38 @@ def test_read_tree(spark, project):
     assert text["src/app.TS"].endswith("=> 1;\n")
 
 
+def test_pruned_and_unfocused_files_are_not_opened(spark, project):
+    """A file over the size limit fails the read as soon as it is opened."""
+    (project / "node_modules/x/big.js").write_bytes(b"x" * 5000)
+    (project / "other").mkdir()
+    (project / "other/big.js").write_bytes(b"x" * 5000)
+    (project / "other/notes.bin").write_bytes(b"x" * 5000)
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "2000")
+    try:
+        files = tree.read_tree(spark, str(project), registry.extensions(), focus="src")
+        assert {r.file_id for r in files.collect()} == {"src/util.ts", "src/app.TS", "src/deep/latin.go"}
+        with pytest.raises(Exception, match="(?i)max"):
+            tree.read_tree(spark, str(project), registry.extensions()).collect()
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+
+
+def test_roots_that_are_not_spelt_canonically(spark, project):
+    listed = {r.file_id for r in tree.read_listing(spark, str(project)).collect()}
+    for root in (f"{project}/../{project.name}", f"{project}/", f"file://{project}", f"{project}/src/.."):
+        assert {r.file_id for r in tree.read_listing(spark, root).collect()} == listed
+        files = tree.read_tree(spark, root, registry.extensions())
+        assert {r.repo for r in files.collect()} == {project.name}
+
+
+def test_names_with_spaces_and_signs(spark, project):
+    (project / "a b+c").mkdir()
+    (project / "a b+c/é %41.py").write_bytes(b"def f(): pass\n")
+    files = tree.read_tree(spark, str(project), registry.extensions(), focus="a b+c")
+    assert [r.file_id for r in files.collect()] == ["a b+c/é %41.py"]
+
+
 def test_many_projects(spark, project):
     rows = tree.read_listing(spark, str(project.parent), many=True).collect()
     assert {r.repo for r in rows} == {"shop"}
@@ -147,3 +179,17 @@ def test_user_extractor_wins_and_can_be_python(spark):
     finally:
         registry._EXTRACTORS.clear()
         registry._EXTRACTORS.update(before)
+
+
+def test_documents_with_repeated_edges_and_names_with_spaces(spark, tmp_path):
+    graph = {
+        "nodes": [{"id": i, "type": "file"} for i in ("a", "b", "c")],
+        "edges": [{"source": "a", "target": t, "type": "imports"} for t in ("b", "b", "c", "b")],
+    }
+    (tmp_path / "my shop+é_mapping_classic.json").write_text(json.dumps(graph))
+    read, metadata = exports.read_documents(spark, str(tmp_path))
+    assert [r.project for r in metadata.collect()] == ["my shop+é"]
+    listed = metrics.capped_neighbours(metrics.adjacency(read.edges), cap=2)
+    assert {(r.node_id, r.direction): r.neighbours for r in listed.collect()} == {
+        ("a", "out"): ["b", "c"], ("b", "in"): ["a"], ("c", "in"): ["a"],
+    }

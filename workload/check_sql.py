@@ -6,14 +6,9 @@ joined to the parts; no text is parsed here.
 
 from __future__ import annotations
 
-from .templates import JS_FAMILY, KINDS, LANGUAGES, TEMPLATES
-
-IGNORED = (
-    ".venv .git __pycache__ .idea build dist graphify-out .pytest_cache migrations "
-    "node_modules .dist-info site-packages __mocks__ perf release .claude output target "
-    "bin obj .gradle .vscode .vs Pods .build DerivedData"
-).split()
+from codeloom.functions import fixed_values as fixed
 
+from .templates import JS_FAMILY, KINDS, LANGUAGES, TEMPLATES
 
 def text(value) -> str:
     return "NULL" if value is None else "'" + str(value).replace("'", "''") + "'"
@@ -67,7 +62,7 @@ all_files AS (
     lower('.' || split_part(name, '.', -1)) AS ext FROM every),
 pruned AS (
   SELECT * FROM all_files
-  WHERE NOT list_has_any(string_split(dir, '/'), {_list(IGNORED)})),
+  WHERE NOT list_has_any(string_split(dir, '/'), {_list(fixed.IGNORED_DIRS)})),
 files AS (SELECT * FROM pruned WHERE ext <> '.txt')"""
 
 BASE = f"WITH RECURSIVE {PARTS}, {FILES}"
@@ -331,12 +326,8 @@ KEEP = """kept AS (
       AND r.rank > CASE WHEN n.node_type IN {important} THEN 0.000001 ELSE 0.00001 END
     END)""".format(
     symbol="substr(n.node_id, position('::' IN n.node_id) + 2)",
-    important=in_list(
-        "file component router service model main react_component react_hook nestjs_controller "
-        "nestjs_service nestjs_module nestjs_endpoint class function interface type_alias enum "
-        "django_model django_view fastapi_endpoint fastapi_schema".split()
-    ),
-    noise=in_list("len fmt log err req res ctx val key obj arr str int map set".split()),
+    important=in_list(fixed.IMPORTANT_TYPES),
+    noise=in_list(fixed.NOISE_SYMBOLS),
 )
 
 SMART_EDGES = """flagged AS (
