@@ -22,15 +22,19 @@ form one transcript; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.work import WorkTables, dense_index
+from .common import arrow_schema
 
 SEGMENT = 1024
 ROLES = ("system", "user", "assistant")
@@ -79,8 +83,9 @@ def without_marker(line: Column) -> Column:
 def lines_of(transcripts: DataFrame, work: WorkTables) -> DataFrame:
     """(conv, pos, seg, line, seen, known) of transcript parts (conv, part, text, known);
     known is the role of the part where it is given, else null."""
+    conv = F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("conv")
     lines = transcripts.select(
-        "conv", "part", "known", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n", -1)).alias("at", "line"),
+        conv, "part", "known", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n", -1)).alias("at", "line"),
     )
     placed = dense_index(lines, ["conv"], ["part", "at"], "pos", work)
     placed = placed.withColumn("seg", F.floor(F.col("pos") / SEGMENT))
@@ -89,7 +94,7 @@ def lines_of(transcripts: DataFrame, work: WorkTables) -> DataFrame:
     first = F.col("at") == 0
     return work.keep(
         placed.select(
-            F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("conv"), "pos", "seg", "line", seen.cast("int").alias("seen"),
+            "conv", "pos", "seg", "line", seen.cast("int").alias("seen"),
             (F.col("known") * 2 + F.when(first, 0).otherwise(1)).cast("int").alias("known"),
         ),
         "lines",
@@ -158,29 +163,64 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :STATES]).max(axis=1)
 
 
-def _rows(matrices: pd.Series) -> list[np.ndarray]:
-    return [np.array(m).reshape(STATES + 1, STATES) for m in matrices]
+def _grouped(df: DataFrame, keys: list[str], order: str, make, schema: str) -> DataFrame:
+    """Rows of each group, in order, through ``make`` (columns as arrays -> columns as
+    lists).  Groups of one partition stream by; the last one of a batch waits for the
+    next batch.  No group is larger than SEGMENT rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, ended = None, False
+        for batch in _with_end(batches):
+            ended = batch is None
+            rows = waiting if ended else batch.to_pandas()
+            if not ended and waiting is not None:
+                rows = pd.concat([waiting, rows], ignore_index=True)
+            if rows is None or rows.empty:
+                continue
+            changes = np.zeros(len(rows), dtype=bool)
+            for key in keys:
+                changes |= (rows[key] != rows[key].shift()).to_numpy()
+            starts = np.flatnonzero(changes).tolist()
+            ends = [*starts[1:], len(rows)]
+            if not ended:
+                waiting = rows.iloc[starts.pop():]
+                ends.pop()
+            columns = {c: rows[c].to_numpy() for c in rows.columns}
+            made: dict[str, list] = {}
+            for start, end in zip(starts, ends):
+                for name, values in make({c: v[start:end] for c, v in columns.items()}).items():
+                    made.setdefault(name, []).extend(values)
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in fields], schema=fields)
+
+    fields = arrow_schema(df.sparkSession, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _matrices(group: dict) -> list[np.ndarray]:
+    return [np.asarray(m).reshape(STATES + 1, STATES) for m in group["best"]]
 
 
 def states(lines: DataFrame, model: Model, work: WorkTables) -> DataFrame:
     """Lines with their best state."""
     shared = lines.sparkSession.sparkContext.broadcast(model)
 
-    def summed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        best = shared.value.segment(rows["seen"].to_numpy())
-        return pd.DataFrame({"conv": [rows["conv"].iloc[0]], "node": [rows["seg"].iloc[0]], "best": [best.ravel()]})
-
-    def multiplied(rows: pd.DataFrame) -> pd.DataFrame:
-        best = None
-        for matrix in _rows(rows.sort_values("node")["best"]):
-            best = matrix if best is None else _product(best, matrix)
-        return pd.DataFrame({"conv": [rows["conv"].iloc[0]], "node": [rows["node"].iloc[0] // SEGMENT], "best": [best.ravel()]})
-
-    def handed_down(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node")
-        before, last = int(rows["up_before"].iloc[0]), int(rows["up_last"].iloc[0])
-        matrices = _rows(rows["best"])
+    def summed(group: dict) -> dict[str, list]:
+        best = shared.value.segment(group["seen"])
+        return {"conv": group["conv"][:1], "node": group["seg"][:1], "best": [best.ravel()]}
+
+    def multiplied(group: dict) -> dict[str, list]:
+        best = reduce(_product, _matrices(group))
+        return {"conv": group["conv"][:1], "node": group["up"][:1], "best": [best.ravel()]}
+
+    def handed_down(group: dict) -> dict[str, list]:
+        before, last = int(group["up_before"][0]), int(group["up_last"][0])
+        matrices = _matrices(group)
         scores, back = matrices[0][before], []
         for matrix in matrices[1:]:
             ways = scores[:, None] + matrix[:STATES]
@@ -190,19 +230,18 @@ def states(lines: DataFrame, model: Model, work: WorkTables) -> DataFrame:
         for choice in reversed(back):
             ends.append(int(choice[ends[-1]]))
         ends.reverse()
-        return pd.DataFrame({"conv": rows["conv"], "node": rows["node"], "before": [before, *ends[:-1]], "last": ends})
+        return {"conv": group["conv"], "node": group["node"], "before": [before, *ends[:-1]], "last": ends}
 
-    def resolved(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        path = shared.value.path(rows["seen"].to_numpy(), int(rows["before"].iloc[0]), int(rows["last"].iloc[0]))
-        return pd.DataFrame({"conv": rows["conv"], "pos": rows["pos"], "seg": rows["seg"], "line": rows["line"], "state": path})
+    def resolved(group: dict) -> dict[str, list]:
+        path = shared.value.path(group["seen"], int(group["before"][0]), int(group["last"][0]))
+        return {**{c: group[c] for c in ("conv", "pos", "seg", "line")}, "state": path}
 
     matrix = "conv string, node long, best array<double>"
     narrow = lines.select("conv", "seg", "pos", "seen")
-    levels = [work.keep(narrow.groupBy("conv", "seg").applyInPandas(summed, matrix), "level")]
+    levels = [work.keep(_grouped(narrow, ["conv", "seg"], "pos", summed, matrix), "level")]
     while (levels[-1].agg(F.max("node")).first()[0] or 0) > 0:
-        up = levels[-1].groupBy("conv", F.floor(F.col("node") / SEGMENT).alias("up")).applyInPandas(multiplied, matrix)
-        levels.append(work.keep(up, "level"))
+        up = levels[-1].withColumn("up", F.floor(F.col("node") / SEGMENT))
+        levels.append(work.keep(_grouped(up, ["conv", "up"], "node", multiplied, matrix), "level"))
     best = F.slice("best", START * STATES + 1, STATES)
     ends = levels[-1].select(
         "conv", "node", F.lit(START).cast("long").alias("before"),
@@ -212,12 +251,13 @@ def states(lines: DataFrame, model: Model, work: WorkTables) -> DataFrame:
         above = ends.select("conv", F.col("node").alias("up"), F.col("before").alias("up_before"), F.col("last").alias("up_last"))
         rows = level.withColumn("up", F.floor(F.col("node") / SEGMENT)).join(above, ["conv", "up"])
         ends = work.keep(
-            rows.groupBy("conv", "up").applyInPandas(handed_down, "conv string, node long, before long, last long"),
+            _grouped(rows, ["conv", "up"], "node", handed_down, "conv string, node long, before long, last long"),
             "ends",
         )
     given = ends.withColumnRenamed("node", "seg")
-    return lines.select("conv", "seg", "pos", "line", "seen").join(given, ["conv", "seg"]).groupBy("conv", "seg").applyInPandas(
-        resolved, "conv string, pos long, seg long, line string, state int"
+    return _grouped(
+        lines.select("conv", "seg", "pos", "line", "seen").join(given, ["conv", "seg"]), ["conv", "seg"], "pos",
+        resolved, "conv string, pos long, seg long, line string, state int",
     )
 
 
@@ -240,7 +280,10 @@ def turns(resolved: DataFrame, work: WorkTables) -> DataFrame:
     )
     return numbered.groupBy("conv", "turn").agg(
         F.min_by("role", "pos").alias("role"), F.count("*").alias("n_lines"),
-        F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")).alias("text"),
+        F.btrim(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n"),
+            F.lit(" \t\r\n"),
+        ).alias("text"),
     )
 
 

@@ -32,7 +32,7 @@ def map_rows(
     df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, list] | None], schema: str
 ) -> DataFrame:
     """``mapInArrow`` with a function from a batch to columns of Python values."""
-    fields = _arrow_schema(df.sparkSession, schema)
+    fields = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,7 +44,7 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
