@@ -165,12 +165,13 @@ def _links(docs, classes, members, percent, id_col, text_col, work) -> DataFrame
     first = _pairs(members.join(hub, "band"), percent)
     edges = work.keep(_confirmed(first, sets, percent, work, "hub-pairs"), "hub-links")
     return work.keep(
-        edges.unionByName(_rest(members, edges, sets, percent, work)).distinct(), "links"
+        edges.unionByName(_rest(members, classes, edges, sets, percent, work)).distinct(), "links"
     )
 
 
-def _rest(members, edges, sets, percent, work) -> DataFrame:
-    """Links between components that share a band, once hubs have been compared."""
+def _rest(members, classes, edges, sets, percent, work) -> DataFrame:
+    """Links between components that share a band, once hubs have been compared.  A pair
+    is listed in the first of its bands only."""
     labels = components(edges, work).withColumnRenamed("node", "rep")
     placed = work.keep(
         members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")),
@@ -185,15 +186,21 @@ def _rest(members, edges, sets, percent, work) -> DataFrame:
         "largest",
     )
     open_bands = _linkable(placed.join(largest, "band"), sets, percent, work)
+    open_bands = work.keep(open_bands.join(classes.select("rep", "bands"), "rep"), "open-members")
     outside = open_bands.filter("label <> largest").select(
         "band", F.col("rep").alias("other"), F.col("n").alias("other_n"),
         F.col("label").alias("other_label"), F.col("shareable").alias("other_shareable"),
+        F.col("bands").alias("other_bands"),
     )
     common = F.least("shareable", "other_shareable")
+    first = F.array_min(F.array_intersect("bands", "other_bands")) == F.col("band")
+    # of two outsiders the larger number asks
+    once = (F.col("label") == F.col("largest")) | (F.col("rep") < F.col("other"))
     pairs = _pairs(
         open_bands.join(outside, "band").filter(
-            (F.col("label") != F.col("other_label"))
+            (F.col("label") != F.col("other_label")) & once
             & (common * 100 >= (F.col("n") + F.col("other_n") - common) * percent)
+            & first
         ),
         percent,
     )
