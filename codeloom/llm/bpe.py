@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..functions.work import WorkTables
 from .common import map_rows, small_batches
 
-TABLE_WORDS = 400_000
+TABLE_WORDS = 200_000
 _LONGEST_IN_TABLE = 64
 _COUNTED = 200_000
 

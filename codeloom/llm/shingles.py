@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 SHINGLE_WORDS = 5
-_WORDS_KEPT = 1 << 20
+_WORDS_KEPT = 1 << 17
 # odd multipliers, one per place in a shingle
 _PLACES = np.array(
     [(0x9E3779B97F4A7C15 * (2 * i + 1) ^ 0xC2B2AE3D27D4EB4F) & (2**64 - 1) | 1
