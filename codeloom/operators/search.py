@@ -26,36 +26,69 @@ def keyword_search(
     (query_id, repo, phrase); a null repo asks all of them.
 
     Ranked by words hit, then degree, then id, within each query and repository.
-    Nodes are numbered in id order first: hits, by far the largest table here,
-    carry and compare the number, and only the best get their id back.
+    Equal sets of words are scored once.  Of a set's words in a repository all but the
+    most frequent are expanded to their nodes; the most frequent is looked up for those
+    nodes only.  A node that has no other of the words can be among the best only if it
+    is among the best of that word, and these are kept per word.
     """
     work = work or WorkTables(graph.nodes.sparkSession)
     asked = queries.select(
-        "query_id", "repo", F.explode(phrase_words(F.col("phrase"))).alias("word")
+        "query_id", F.col("repo").alias("_asked"),
+        F.array_sort(phrase_words(F.col("phrase"))).alias("words"),
+    ).filter(F.size("words") > 0)
+    sets = work.keep(
+        asked.select("_asked", "words").distinct()
+        .withColumn("set_id", F.monotonically_increasing_id()),
+        "word-sets",
     )
     described = graph.nodes.select("repo", "node_id", "node_type").join(
         degrees(graph), ["repo", "node_id"]
     )
     numbered = dense_index(described, [], ["repo", "node_id"], "number", work)
-    index = numbered.select(
-        "repo",
-        "number",
-        "degree",
-        F.explode(keywords(F.col("node_id"), F.col("node_type"))).alias("word"),
-    )
-    # a query about one repository meets only that repository's postings
-    local = asked.filter("repo is not null")
-    anywhere = asked.filter("repo is null").drop("repo")
-    found = index.join(local, ["repo", "word"]).unionByName(index.join(anywhere, "word"))
-    hits = found.groupBy("query_id", "repo", "number", "degree").agg(
-        F.count("*").alias("words_hit")
-    )
-    ranked = W.partitionBy("query_id", "repo").orderBy(
-        F.desc("words_hit"), F.desc("degree"), "number"
-    )
-    best = hits.withColumn("rank", F.row_number().over(ranked).cast("bigint")).filter(
-        F.col("rank") <= top
-    )
-    return best.join(numbered.select("number", "node_id"), "number").select(
-        "query_id", "repo", "rank", "node_id", "words_hit", "degree"
+    index = work.keep(
+        numbered.select(
+            "repo", "number", "degree",
+            F.explode(keywords(F.col("node_id"), F.col("node_type"))).alias("word"),
+        ),
+        "postings",
+    )
+    terms = sets.select("set_id", F.col("_asked").alias("repo"), F.explode("words").alias("word"))
+    counts = work.keep(index.groupBy("repo", "word").agg(F.count("*").alias("nodes")), "counts")
+    # a query about one repository meets only that repository's words
+    local = counts.join(terms.filter("repo is not null"), ["repo", "word"])
+    anywhere = counts.join(terms.filter("repo is null").drop("repo"), "word")
+    placed = work.keep(local.unionByName(anywhere), "terms")
+    most = work.keep(
+        placed.groupBy("set_id", "repo").agg(F.max(F.struct("nodes", "word")).alias("m"))
+        .select("set_id", "repo", F.col("m.word").alias("most")),
+        "most-frequent",
+    )
+    others = placed.join(most, ["set_id", "repo"]).filter("word <> most")
+    hits = (
+        index.join(others.select("set_id", "repo", "word"), ["repo", "word"])
+        .groupBy("set_id", "repo", "number", "degree").agg(F.count("*").alias("hits"))
+        .join(most, ["set_id", "repo"])
+        .join(index.select("number", F.col("word").alias("most"), F.lit(1).alias("more")), ["number", "most"], "left")
+        .select("set_id", "repo", "number", "degree", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("words_hit"))
+    )
+    by_degree = W.partitionBy("repo", "word").orderBy(F.desc("degree"), "number")
+    heads = index.withColumn("_at", F.row_number().over(by_degree)).filter(F.col("_at") <= top)
+    alone = most.join(heads.withColumnRenamed("word", "most"), ["repo", "most"]).select(
+        "set_id", "repo", "number", "degree", F.lit(1).cast("long").alias("words_hit")
+    )
+    every = hits.unionByName(alone).groupBy("set_id", "repo", "number", "degree").agg(
+        F.max("words_hit").alias("words_hit")
+    )
+    ranked = W.partitionBy("set_id", "repo").orderBy(F.desc("words_hit"), F.desc("degree"), "number")
+    best = work.keep(
+        every.withColumn("rank", F.row_number().over(ranked).cast("bigint"))
+        .filter(F.col("rank") <= top)
+        .join(numbered.select("number", "node_id"), "number"),
+        "best",
+    )
+    keys = sets.select(F.col("_asked").alias("_a"), F.col("words").alias("_w"), "set_id")
+    return (
+        asked.join(keys, F.col("_asked").eqNullSafe(F.col("_a")) & (F.col("words") == F.col("_w")))
+        .join(best, "set_id")
+        .select("query_id", "repo", "rank", "node_id", "words_hit", "degree")
     )
