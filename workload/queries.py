@@ -8,6 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions import fixed_values as fixed
 from codeloom.functions.names import normalise_id, page_name, wiki_link
 from codeloom.functions.text import decode_text
 from codeloom.functions.work import WorkTables, dense_index
@@ -579,9 +580,49 @@ def modularity_by_file(spark, sf_dir):
     return found.withColumn("modularity", F.round("modularity", 8))
 
 
+@lru_cache(maxsize=8)
+def _communities(session: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return communities(scanned(spark, sf_dir).graph)
+
+
 @query("communities")
 def found_communities(spark, sf_dir):
-    return communities(scanned(spark, sf_dir).graph)
+    return _communities(spark.sparkContext.applicationId, spark, sf_dir)
+
+
+@query("communities_check", f"""{sql.SOURCE_GRAPH}
+SELECT repo, count(*) FILTER (node_type NOT IN {sql.in_list(fixed.COMMUNITY_SKIP_TYPES)}) AS inside,
+  count(*) FILTER (node_type IN {sql.in_list(fixed.COMMUNITY_SKIP_TYPES)}) AS outside,
+  TRUE AS once_each, TRUE AS dense_from_0, TRUE AS not_below_files, TRUE AS not_below_single
+FROM nodes GROUP BY repo""")
+def communities_check(spark, sf_dir):
+    """What every right answer has in common: who is in a community, ids, quality."""
+    graph = scanned(spark, sf_dir).graph
+    found = found_communities(spark, sf_dir)
+    members = found.filter("community >= 0")
+    links = g.undirected(g.without_types(graph, fixed.COMMUNITY_SKIP_TYPES).edges)
+    owner = F.xxhash64(F.substring_index("node_id", "::", 1))
+
+    def quality(labels, name):
+        return modularity(labels, links).withColumnRenamed("modularity", name)
+
+    counts = found.groupBy("repo").agg(
+        F.count_if(F.col("community") >= 0).alias("inside"),
+        F.count_if(F.col("community") == -1).alias("outside"),
+        (F.count("*") == F.count_distinct("node_id")).alias("once_each"),
+        (F.max("community") + 1 == F.count_distinct(F.when(F.col("community") >= 0, F.col("community"))))
+        .alias("dense_from_0"),
+    )
+    rated = (
+        quality(members, "own")
+        .join(quality(members.withColumn("community", owner), "files"), "repo")
+        .join(quality(members.withColumn("community", F.xxhash64("node_id")), "single"), "repo")
+    )
+    return counts.join(rated, "repo", "left").select(
+        "repo", "inside", "outside", "once_each", "dense_from_0",
+        F.coalesce(F.col("own") >= F.col("files") - 1e-9, F.lit(True)).alias("not_below_files"),
+        F.coalesce(F.col("own") >= F.col("single") - 1e-9, F.lit(True)).alias("not_below_single"),
+    )
 
 
 # -------------------------------------------------------------------- rendering
