@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.work import BROADCAST_ROWS, WorkTables
 
 # Rows of one Arrow batch: a Python worker holds one batch of whole texts.
-ARROW_ROWS = 512
+ARROW_ROWS = 128
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -40,6 +40,8 @@ def map_rows(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[f.name], f.type) for f in fields], schema=fields
                 )
+        # a worker lives on: what long texts took is given back
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
