@@ -1,7 +1,8 @@
 """Secret scan by dictionary-primed zstandard novelty.
 
 Plain patterns give the base spans.  Further candidates are long strings that stand
-in a sensitive context (a word such as ``bearer`` or ``credential`` shortly before).
+in a sensitive context: a word such as ``bearer`` or ``SECRET_KEY`` shortly before or
+behind, also as a part of a longer name (``AWS_SECRET_ACCESS_KEY``, ``clientSecret``).
 A candidate's novelty is the number of bytes it adds to the compressed size of its
 surrounding text, per byte of its own, where the compressor is primed with the
 identifiers that are common in sensitive contexts of all documents.  Names and
@@ -10,13 +11,14 @@ nearly their entropy.  Candidates of high novelty are reported as ``novel`` span
 base spans always stay.
 
 Defined results: null and empty texts have no spans; base spans may overlap between
-kinds; a novel span that overlaps a base span is not reported again; repeated rows
+kinds; a novel span that overlaps a base span or another novel span is not reported again; repeated rows
 are scanned each for itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from functools import lru_cache
 
@@ -35,16 +37,23 @@ ASSIGN = re.compile(
 ASSIGN_LEAST = 6
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # 20 characters and more
 HEX = re.compile(r"[0-9a-f]{24,}")
+# sensitive words begin where no letter stands before them, or at a change of case
 SENSITIVE = re.compile(
-    r"\b(?:auth\w*|bearer|credentials?|private[_ ]key|access[_ ]key|client[_ ]secret|pwd|passphrase"
-    r"|signature|session[_ ]?id|cookie|jwt|ssh-rsa|pass(?:word|wd)|secret|token|api[_ -]?key)",
+    r"(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"
+    r"(?:auth\w*|bearer|credentials?|secret[_ -]?access[_ -]?key"
+    r"|(?:private|access|secret|api|account|encryption|master|shared|signing)[_ -]?key"
+    r"|client[_ -]?secret|pwd|passphrase|signature|session[_ -]?id|cookie|jwt|ssh-rsa"
+    r"|pass(?:word|wd)|secret|token)",
     re.IGNORECASE | re.ASCII,
 )
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
+ASSIGNED = re.compile(r"""["']?\x20*[:=]""")  # behind a name that gets a value
+PIECE = re.compile("[^=]+")
+LEAST = 12
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % LEAST)
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])[A-Za-z_]{4,40}(?![A-Za-z0-9])")
 HUMP = re.compile("[a-z][A-Z]")
 
-REACH = 80  # characters after a sensitive word in which a candidate may start
+REACH = 80  # characters that may lie between a sensitive word and a candidate
 AROUND = 400  # characters of surrounding text on either side
 NOVELTY = 0.62
 DICTIONARY_WORDS = 4096
@@ -62,17 +71,50 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Long strings that start shortly after a sensitive word."""
-    found = {}
-    for word in SENSITIVE.finditer(text):
-        at = word.end()
-        while (m := CANDIDATE.search(text, at, word.end() + REACH + 1)) is not None:
-            whole = CANDIDATE.match(text, m.start())
-            found[whole.start()] = whole.end()
-            at = whole.end()
-            if at > word.end() + REACH:
-                break
-    return sorted(found.items())
+    """Long strings close to a sensitive word, those to be preferred first: what stands
+    between signs of assignment, what a sensitive word inside leaves of it, whole runs.
+    The name of a sensitive value is none."""
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    starts, ends = zip(*words)
+    pieces, parts, wholes = [], [], []
+    for run in CANDIDATE.finditer(text):
+        split, named = _pieces(run), False
+        for start, end in split:
+            inside = words[bisect_right(ends, start) : bisect_left(starts, end)]
+            name = bool(inside) and like_a_name(text[start:end].rstrip("="))
+            if name and ASSIGNED.match(text, start + len(text[start:end].rstrip("="))):
+                named = True
+                continue
+            before, behind = _near(starts, ends, start, end)
+            own = name and inside[0][0] <= start and end <= inside[0][1]
+            if before or (behind and not own) or (inside and not name):
+                pieces.append((start, end))
+            if inside:
+                cuts = [start, *(x for word in inside for x in word), end]
+                parts += zip(cuts[::2], cuts[1::2])
+        if not named and split != [run.span()] and any(_near(starts, ends, *run.span())):
+            wholes.append(run.span())
+    found = dict.fromkeys(pieces + parts + wholes)
+    return [(start, end) for start, end in found if end - start >= LEAST]
+
+
+def _pieces(run: re.Match) -> list[tuple[int, int]]:
+    """Parts of a run between signs of assignment; those at its end are padding."""
+    found = [m.span() for m in PIECE.finditer(run.string, run.start(), run.end())]
+    if found:
+        found[-1] = (found[-1][0], run.end())
+    return found
+
+
+def _near(starts: tuple, ends: tuple, start: int, end: int) -> tuple[bool, bool]:
+    """Whether a sensitive word ends shortly before, and starts shortly behind."""
+    before, behind = bisect_right(ends, start) - 1, bisect_left(starts, end)
+    return (
+        before >= 0 and start - ends[before] <= REACH,
+        behind < len(starts) and starts[behind] - end <= REACH,
+    )
 
 
 @lru_cache(maxsize=2)
@@ -100,15 +142,15 @@ def novelty(text: str, start: int, end: int, dictionary: bytes) -> float:
 
 
 def all_spans(text: str, dictionary: bytes) -> list[tuple[int, int, int]]:
-    base = base_spans(text)
-    taken = [(start, end) for start, _, end in base]
-    new = [
-        (start, 3, end)
-        for start, end in candidates(text)
-        if all(end <= s or e <= start for s, e in taken)
-        and novelty(text, start, end, dictionary) >= NOVELTY
-    ]
-    return sorted(base + new)
+    spans = base_spans(text)
+    taken = bytearray(len(text))
+    for start, _, end in spans:
+        taken[start:end] = b"\1" * (end - start)
+    for start, end in candidates(text):
+        if taken.find(1, start, end) < 0 and novelty(text, start, end, dictionary) >= NOVELTY:
+            taken[start:end] = b"\1" * (end - start)
+            spans.append((start, 3, end))
+    return sorted(spans)
 
 
 def identifiers(docs: DataFrame, text_col: str) -> bytes:

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from codeloom.llm import secret_scan
 
 KEY = "q7Zr91kLmXw02PfTbYc8VdHs"
@@ -53,6 +55,32 @@ def test_novel_strings_in_sensitive_context_are_reported(make_docs):
     assert [k for k, _, _ in got[4]] == ["novel", "assign"]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "AWS_SECRET_ACCESS_KEY={}", "export STRIPE_SECRET_KEY: {}", "accessKey = '{}'", "clientSecretValue: '{}'",
+        "AWSSecretKey={}", "secretkey -> {}", "MY_AUTH_VALUE={}", "auth_{}", "{} is the signing key",
+        "'{}', // accessToken", "DB_PWD='{}'", "bearer" + " -" * 39 + " {}", "{} " + "- " * 39 + "bearer",
+        "SECRET_ACCESS_KEY=x\nOTHER_SECRET_KEY={}",
+    ],
+)
+def test_keys_by_any_spelling_and_on_both_sides(text):
+    text = text.format(KEY)
+    assert [text[s:e] for s, k, e in secret_scan.all_spans(text, b"") if k == 3] in ([KEY], ["auth_" + KEY])
+
+
+@pytest.mark.parametrize("gap,found", [(79, True), (80, True), (81, False)])
+def test_reach_bounds_where_a_candidate_starts(gap, found):
+    for text in ("bearer" + " " * gap + KEY, KEY + " " * gap + "bearer"):
+        assert [text[s:e] for s, e in secret_scan.candidates(text)] == ([KEY] if found else [])
+
+
+def test_names_of_sensitive_values_are_no_candidates():
+    assert secret_scan.candidates("AWS_SECRET_ACCESS_KEY = os.environ") == []
+    assert secret_scan.candidates("authentication by a bearer") == []
+    assert secret_scan.candidates("broken_tokens_of_text") == [] and secret_scan.candidates("x" * 20 + "token") == []
+
+
 def test_known_text_adds_less_than_a_key():
     text = f"credential {KEY} x {KEY} y"
     key = secret_scan.novelty(text, 11, 11 + len(KEY), b"")
