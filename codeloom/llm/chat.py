@@ -66,13 +66,17 @@ def marker(line: Column) -> Column:
     return found
 
 
-def shape(line: Column, before: Column) -> Column:
+def blank(line: Column) -> Column:
+    return F.trim(line) == ""
+
+
+def shape(line: Column, after_blank: Column) -> Column:
     """Kind of line (blank, question, short, long), and whether a blank line is before it."""
     kind = (
-        F.when(F.trim(line) == "", 0).when(F.rtrim(line).endswith("?"), 1)
+        F.when(blank(line), 0).when(F.rtrim(line).endswith("?"), 1)
         .when(F.char_length(line) < SHORT_LINE, 2).otherwise(3)
     )
-    return kind * 2 + F.when(F.trim(F.coalesce(before, F.lit(""))) == "", 1).otherwise(0)
+    return kind * 2 + F.when(after_blank, 1).otherwise(0)
 
 
 def without_marker(line: Column) -> Column:
@@ -81,24 +85,29 @@ def without_marker(line: Column) -> Column:
 
 
 def lines_of(transcripts: DataFrame, work: WorkTables) -> DataFrame:
-    """(conv, pos, seg, line, seen, known) of transcript parts (conv, part, text, known);
-    known is the role of the part where it is given, else null."""
+    """(conv, pos, seg, line, seen, known, before) of transcript parts (conv, part, text,
+    known); known is the state where the role of the part is given, else null, and before
+    that of the line before."""
     conv = F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("conv")
     lines = transcripts.select(
         conv, "part", "known", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n", -1)).alias("at", "line"),
     )
     placed = dense_index(lines, ["conv"], ["part", "at"], "pos", work)
-    placed = placed.withColumn("seg", F.floor(F.col("pos") / SEGMENT))
+    # what is known of a segment's last line stands in the next segment too, in front
+    own = F.floor(F.col("pos") / SEGMENT)
+    last = F.col("pos") % SEGMENT == SEGMENT - 1
+    state = (F.col("known") * 2 + F.when(F.col("at") == 0, 0).otherwise(1)).cast("int")
+    placed = placed.select(
+        "conv", "pos", "line", blank(F.col("line")).alias("blank"), state.alias("known"),
+        F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))).alias("seg"),
+    ).withColumn("line", F.when(own == F.col("seg"), F.col("line")))
     order = W.partitionBy("conv", "seg").orderBy("pos")
-    seen = marker(F.col("line")) * SHAPES + shape(F.col("line"), F.lag("line").over(order))
-    first = F.col("at") == 0
-    return work.keep(
-        placed.select(
-            "conv", "pos", "seg", "line", seen.cast("int").alias("seen"),
-            (F.col("known") * 2 + F.when(first, 0).otherwise(1)).cast("int").alias("known"),
-        ),
-        "lines",
-    )
+    found = placed.select(
+        "*", F.coalesce(F.lag("blank").over(order), F.lit(True)).alias("after_blank"),
+        F.coalesce(F.lag("known").over(order), F.when(F.col("pos") == 0, START)).alias("before"),
+    ).filter(own == F.col("seg"))
+    seen = marker(F.col("line")) * SHAPES + shape(F.col("line"), F.col("after_blank"))
+    return work.keep(found.select("conv", "pos", "seg", "line", seen.cast("int").alias("seen"), "known", "before"), "lines")
 
 
 @dataclass
@@ -146,9 +155,7 @@ def _prior() -> tuple[np.ndarray, np.ndarray]:
 def fit(lines: DataFrame) -> Model:
     """Counts over the lines whose state is known."""
     steps, seen = _prior()
-    order = W.partitionBy("conv", "seg").orderBy("pos")
-    before = F.coalesce(F.lag("known").over(order), F.when(F.col("pos") == 0, START))
-    known = lines.select("known", "seen", before.alias("before")).filter("known IS NOT NULL")
+    known = lines.select("known", "seen", "before").filter("known IS NOT NULL")
     for row in known.groupBy("before", "known", "seen").count().collect():
         if row["before"] is not None:
             steps[row["before"], row["known"]] += row["count"]

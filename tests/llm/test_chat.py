@@ -47,6 +47,29 @@ def test_segments_give_the_path_of_one_pass(spark, monkeypatch):
         assert value(path) == pytest.approx(value(best))
 
 
+def test_lines_are_seen_as_in_one_pass(spark, monkeypatch):
+    """Observations, counts and turns do not depend on where segments are cut."""
+    rng = np.random.default_rng(2)
+    texts = ["User: hi", "", "plain line", "what?", "one\ntwo\n", "long " * 30]
+    rows = [(c, i, texts[rng.integers(len(texts))], int(rng.integers(3)) if i % 5 else None)
+            for c, n in ((1, 60), (2, 4), (None, 30)) for i in range(n)]
+    got = []
+    for segment in (4, 1024):
+        monkeypatch.setattr(chat, "SEGMENT", segment)
+        work, given = WorkTables(spark), spark.createDataFrame(rows, PARTS)
+        lines = chat.lines_of(given, work)
+        model = chat.fit(lines)
+        turns = sorted(tuple(r) for r in chat.parse(given).collect())
+        found = sorted(lines.select("conv", "pos", "line", "seen", "known", "before").collect(), key=lambda r: r[:2])
+        got.append((found, model.steps.tolist(), model.seen.tolist(), turns))
+    assert got[0] == got[1]
+    before = {}
+    for row in got[0][0]:
+        line, known = before.get(row.conv, ("", chat.START))
+        assert row.seen % 2 == (line.strip() == "") and row.before == known
+        before[row.conv] = row.line, row.known
+
+
 def test_turns_of_a_plain_transcript(spark):
     text = "System: be kind\nUser: hello\nhow are you?\n\nAssistant: fine\n- one\n- two\nUser: bye"
     got = chat.parse(parts(spark, [(7, 0, text)])).orderBy("turn").collect()
