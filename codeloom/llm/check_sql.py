@@ -80,3 +80,44 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+
+def _vector_codes(parts: int = 8, width: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds one after another: the nearest entry of each part, then the entries' new means."""
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * {width} + 1 : p * {width} + {width}] AS s FROM kept, range({parts}) AS t(p)),
+c0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, s FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}))"""]
+    apart = " + ".join(f"(a.s[{i}] - c.s[{i}]) * (a.s[{i}] - c.s[{i}])" for i in range(1, width + 1))
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, p, s, best['e'] AS e, best['d'] AS d FROM (
+    SELECT a.vec_id, a.p, any_value(a.s) AS s, min({{'d': {apart}, 'e': c.e}}) AS best
+    FROM parts AS a JOIN c{r} AS c ON a.p = c.p GROUP BY a.vec_id, a.p))""")
+        if r < rounds:
+            sums = ", ".join(f"sum(s[{i}])::BIGINT" for i in range(1, width + 1))
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT c.p, c.e, coalesce(list_transform(t.sums, lambda x: ((x - ((x % t.n) + t.n) % t.n) // t.n)::BIGINT), c.s) AS s
+  FROM c{r} AS c LEFT JOIN (SELECT p, e, [{sums}] AS sums, count(*)::BIGINT AS n FROM a{r} GROUP BY p, e) AS t
+  ON t.p = c.p AND t.e = c.e)""")
+    return ",".join(steps) + f""",
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', e::BIGINT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+  FROM a{rounds} GROUP BY vec_id),
+books AS (
+  SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY p, e)) AS digest FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       digest AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id), books
+"""
+
+
+VECTOR_CODES = _vector_codes()

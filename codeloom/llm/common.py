@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -23,6 +24,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_ROWS))
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Jobs run inside hold at most ``rows`` rows in a Python worker's batch; the session's
+    own setting is back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column, null as empty."""
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]

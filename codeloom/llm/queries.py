@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.work import WorkTables
-from . import bpe, chat, quality, secret_scan, toxicity, warc
+from . import bpe, chat, quality, secret_scan, toxicity, vector_codes, warc
 from . import check_sql as sql
 from .common import learn_from, read
 from .decontaminate import contamination
@@ -136,6 +136,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_vector_codes", sql.VECTOR_CODES)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    books = vector_codes.fit(vectors)
+    coded = vector_codes.with_label_errors(vector_codes.encode(vectors, books))
+    return coded.select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error",
+        F.sha2(F.lit(books.text() if books else ""), 256).alias("codebooks_sha256"),
+    )
+
+
 # ways in which transcripts name a speaker; turns of one conversation use one of them
 STYLES = ("{}: ", "**{}:** ", "### {}: ", "[{}]: ", "{} >> ")
 
