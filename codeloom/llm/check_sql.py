@@ -121,3 +121,61 @@ FROM coded JOIN kept USING (vec_id), books
 
 
 VECTOR_CODES = _vector_codes()
+
+# the limit of a source holds exactly for the first ones by words per unit of weight
+SOURCE_MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS draw
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+  FROM d GROUP BY source),
+w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS weight FROM s),
+o AS (
+  SELECT *, sum(words) OVER () - coalesce(sum(3 * words) OVER earlier, 0) AS remains,
+         sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0) AS open_weight
+  FROM w WINDOW earlier AS (ORDER BY words / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT remains::BIGINT AS l, open_weight::BIGINT AS ow FROM o
+  WHERE remains * weight <= 3 * words * open_weight ORDER BY words / weight, rank LIMIT 1),
+t AS (
+  SELECT source, words, CASE WHEN l * weight > 3 * words * ow THEN (3 * words)::DOUBLE
+         ELSE (l * weight)::DOUBLE / ow::DOUBLE END AS target
+  FROM w, level),
+f AS (
+  SELECT *, CASE WHEN words = 0 THEN 0 ELSE least(3, floor(target + 0.5)::BIGINT // words) END AS whole FROM t),
+r AS (
+  SELECT d.*, words, target, whole, CASE WHEN whole = 3 THEN 0 ELSE floor(target + 0.5)::BIGINT - whole * words END AS extra,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, size, words AS source_size, target,
+       (size * (whole + CASE WHEN earlier + size <= extra THEN 1
+                             WHEN earlier < extra AND 2 * (extra - earlier) >= size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r
+"""
+
+# a class of everything that parts terms; only A-Z are put in lower case
+RANKED_SEARCH = rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_words FROM docs WHERE len(w) > 0),
+wanted AS (SELECT item_id, t, count(*)::BIGINT AS times FROM (SELECT item_id, unnest(w) AS t FROM items) GROUP BY ALL),
+held AS (
+  SELECT doc_id, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS t FROM docs)
+  WHERE t IN (SELECT t FROM wanted) GROUP BY ALL),
+weights AS (
+  SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM held, total GROUP BY t),
+lengths AS (SELECT doc_id, (75 + (25 * len(w) * n_docs) // n_words)::BIGINT AS m FROM docs, total),
+scores AS (
+  SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM wanted JOIN held USING (t) JOIN weights USING (t) JOIN lengths USING (doc_id) GROUP BY ALL),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""

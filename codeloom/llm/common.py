@@ -89,6 +89,16 @@ def located(docs: DataFrame) -> DataFrame:
     return docs.select("*", meta["file_path"].alias("_file"), meta["row_index"].alias("_row"))
 
 
+def placed_rows(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The given columns of ``docs`` (see ``filed``) with ``file`` and ``row``, where each row was
+    read; other columns, whatever their names, are left out."""
+    meta = docs.metadataColumn("_metadata")
+    return docs.select(
+        *[c.alias(name) for name, c in columns.items()],
+        meta["file_path"].alias("file"), meta["row_index"].alias("row"),
+    )
+
+
 def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast up to BROADCAST_ROWS counted rows of numbers; shuffle beyond."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -18,7 +18,9 @@ from . import check_sql as sql
 from .common import learn_from, read
 from .decontaminate import contamination
 from .dedup import exact_groups
+from .lexical import search
 from .minmax import near_duplicates
+from .mixing import mix
 from .sharding import assign_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +149,19 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_source_mix", sql.SOURCE_MIX)
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken"
+    )
+
+
+@query("op13_ranked_search", sql.RANKED_SEARCH)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), best=20)
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
 # ways in which transcripts name a speaker; turns of one conversation use one of them
 STYLES = ("{}: ", "**{}:** ", "### {}: ", "[{}]: ", "{} >> ")
 
