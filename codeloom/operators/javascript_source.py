@@ -1,418 +1,322 @@
-"""JavaScript and TypeScript files, read in one linear pass over their tokens.
-
-Comments, strings, template text and regular expressions are set apart first, so
-that nothing inside them counts.  Declarations are then found wherever statements
-may stand: on one line or many, indented or not, inside blocks, namespaces, calls
-and function expressions.  Bodies of declared functions, of methods and of values
-bound by ``const`` and ``let`` are closed, so what they declare stays their own.
-No step recurses, and none looks back, so nesting has no limit.
-
-Markup is not parsed; an apostrophe in its text opens no string unless another one
-closes it on the same line.
+"""Declarations and static imports of JavaScript and TypeScript files.
+
+A file's scopes (``javascript_scopes``) are lines of tokens, so a declaration is a pattern
+over one line whatever it spans in the source: on one line or many, indented or not, in
+blocks, namespaces, calls and function expressions.  A match takes everything up to the
+statement's end, and what lies in the scopes that it takes is closed: bodies of declared
+functions and classes and values bound by ``const`` and ``let`` keep their declarations to
+themselves.  A match counts unless an earlier one of the file reaches over it, which a
+running maximum over the matches' ends tells.  The text windows that classify a
+declaration are range frames over the markers around it.
+
+One scan yields matches and markers; the text goes no further, and only these few rows are
+dealt by file.  Every repetition is possessive, so patterns neither recurse nor
+backtrack.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
+from .facts import FACTS_SCHEMA
+from .javascript_scopes import MARKERS, SCOPES, markers, scopes
+
+TYPED = (".ts", ".tsx")
+
+# ---------------------------------------------------------------- patterns of tokens
+
+_GAP = r"[ \n]"
+_END = r"(?=[ \n]|$)"
+_ANY = r"[^ \n]++"
+_WORD = r'[^ \n#"]++#\d++'
+_NAME = r'([^ \n#"0-9][^ \n#"]*+)#\d++'
+_GROUP = r"(?:\(\d++\)|\[\d++\]|<\d++>|\$\d++\$)"
+_GENERICS = rf"(?:{_GAP}<\d++>)?+"
+_PARAMS = rf"{_GAP}\(\d++\)"
+_BODY = rf"{_GAP}\{{(\d++)\}}"
+
+
+def _words(*words: str) -> str:
+    return rf"(?:{'|'.join(words)})#\d++"
+
+
+# a type: operands joined by operators, on as many lines as operators carry it
+_TYPE_WORD = _words(
+    "is", "extends", "keyof", "in", "asserts", "infer", "typeof", "readonly", "unique", "new", "abstract"
+)
+_OPERAND = rf'{_GAP}(?:{_GROUP}|\{{\d++\}}|"[^ \n]*+|`|{_WORD})'
+_LEADS = rf"(?:{_GAP}(?:[|&]{_END}|-{_END}|{_TYPE_WORD}))*+"
+
+
+def _type(operators: str) -> str:
+    step = rf"{_GAP}(?:(?:{operators}){_END}|{_TYPE_WORD}){_LEADS}{_OPERAND}"
+    return rf"{_GAP}:{_LEADS}{_OPERAND}(?:{step}|{_GAP}{_GROUP}| {_WORD})*+"
+
+
+_TYPE = _type(r"[|&.?:\-]|=>")
+_RETURN_TYPE = _type(r"[|&.?:\-]")  # of an arrow function, up to its arrow
+
+# what goes on with an expression on the next line: an open operator before, or one after
+_GOES_ON = (
+    r'\n(?:(?<=(?:[^0-9"`})\]>$ \n]|=>)\n)'
+    rf"|(?=(?:\?\.|===?|!==?|<=|>=|=>|&&|\|\||\?\?|[.+\-*/%=<>&|^?:,()\[\]}}])(?:{_END}|\d)))"
+)
+
+# where a statement may start: at the start of a scope, after a block, brackets or
+# semicolon, on a new line after something complete, or after ``else``
+_VALUE_WORDS = r"return|typeof|case|in|of|do|else|void|delete|throw|new|await|yield"
+_START = (
+    r"(?:(?<=[;})][ \n])|(?<=[\"`\]$]\n)|(?<=[\d ]>\n)|(?<=[ \n]:\n)"
+    rf"|(?<=\d\n)(?<![ \n](?:{_VALUE_WORDS})#\d{{1,9}}\n)"
+    r"|(?<=[ \n]else#\d{1,9}[ \n]))"
+)
+_DECORATOR = rf"@{_GAP}{_NAME}(?:{_GAP}\.{_GAP}{_WORD})*+(?: \(\d++\))?+"
+_LEAD = rf"(?:(?:{_DECORATOR}|{_words('export', 'default', 'abstract', 'declare', 'async')}){_GAP})*+"
 
-_TOKEN = re.compile(
-    r"""(?P<space>[^\S\n\r  ]+)|(?P<line>[\n\r  ]+)|(?P<note>//[^\n\r]*|/\*.*?(?:\*/|\Z))
-    |(?P<name>[\w$]+)|(?P<string>"(?:[^"\\\n\r]|\\.)*"|'(?:[^'\\\n\r]|\\.)*')
-    |(?P<sign>=>|\?\.|\.\.\.|===?|!==?|<=|>=|&&|\|\||\?\?|[^\s])""",
-    re.VERBOSE | re.DOTALL,
+# a class takes all tokens up to its body, a function without body only its parameters
+_CLASS = (
+    rf"(?<!abstract#\d{{1,9}}[ \n])class#(\d++){_GAP}(?!extends#){_NAME}"
+    rf"(?:{_GAP}(?!\{{\d){_ANY})*+(?:{_BODY})?+"
 )
-_REGEX = re.compile(r"/(?![*/>])(?:[^/\\\[\n\r]|\\.|\[(?:[^\]\\\n\r]|\\.)*\])+/[A-Za-z]*")
-_TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*(`|\$\{|\Z)", re.DOTALL)
-_PAIRS = {")": "(", "]": "[", "}": "{"}
-# a slash after these divides, or closes markup
-_OPERAND_ENDS = {")", "]", "}", "<"}
-_VALUE_WORDS = {"return", "typeof", "case", "in", "of", "do", "else", "void", "delete", "throw", "new", "await", "yield"}
-_MODIFIERS = {
-    "public", "private", "protected", "static", "async", "get", "set", "override", "readonly",
-    "abstract", "declare", "accessor",
-}
-_STATEMENT_WORDS = {
-    "const", "let", "var", "function", "class", "export", "import", "if", "for", "while", "do",
-    "switch", "return", "throw", "try", "interface", "type", "enum", "namespace", "declare", "async",
-    "abstract",
-}
-_TYPE_WORDS = {"is", "extends", "keyof", "in", "asserts", "infer", "typeof", "readonly", "unique", "new", "abstract"}
-_CONTINUES = {
-    ".", "?.", "+", "-", "*", "/", "%", "=", "==", "===", "!=", "!==", "<", ">", "<=", ">=", "&&", "||",
-    "??", "&", "|", "^", "?", ":", ",", "=>", ")", "]", "}", "(", "[", "`",
-}
-_MARKUP = re.compile(fixed.RETURNS_MARKUP)
-_NAME = re.compile(r"[^\W\d]|[$_]")
-
-
-@dataclass
-class Token:
-    kind: str
-    text: str
-    at: int
-    new_line: bool
-    match: int = -1  # the other bracket of a pair, else the end
-
-
-def tokens_of(text: str) -> list[Token]:
-    """Significant tokens with their brackets paired."""
-    found: list[Token] = []
-    opened: list[int] = []
-    at, end, new_line = 0, len(text), True
-
-    def add(kind: str, value: str) -> None:
-        nonlocal new_line
-        found.append(Token(kind, value, at, new_line))
-        new_line = False
-
-    def in_template(start: int) -> int:
-        """Skips template text; stops behind its end or at the next expression."""
-        nonlocal new_line
-        m = _TEMPLATE.match(text, start)
-        if m[1] == "${":
-            opened.append(len(found))
-            found.append(Token("sign", "${", m.end() - 2, False))
-        new_line = False
-        return m.end()
-
-    while at < end:
-        char = text[at]
-        if char == "/" and _opens_regex(found) and (m := _REGEX.match(text, at)):
-            add("value", "/")
-            at = m.end()
-            continue
-        if char == "`":
-            add("value", "`")
-            at = in_template(at + 1)
-            continue
-        m = _TOKEN.match(text, at)
-        kind, value = m.lastgroup, m[0]
-        if kind == "line" or (kind == "note" and "\n" in value):
-            new_line = True
-        elif kind == "name" or kind == "string":
-            add(kind, value)
-        elif kind == "sign":
-            if value in ("(", "[", "{"):
-                opened.append(len(found))
-            elif value in _PAIRS:
-                if value == "}" and opened and found[opened[-1]].text == "${":
-                    found[opened.pop()].match = len(found)
-                    add("sign", "}")
-                    at = in_template(m.end())
-                    continue
-                # an unpaired bracket closes what it can, or nothing
-                if opened and found[opened[-1]].text == _PAIRS[value]:
-                    found[opened.pop()].match = len(found)
-            add("sign", value)
-        at = m.end()
-    for i in opened:
-        found[i].match = len(found)
-    return found
-
-
-def _opens_regex(found: list[Token]) -> bool:
-    if not found:
-        return True
-    last = found[-1]
-    if last.kind == "name":
-        return last.text in _VALUE_WORDS
-    return last.kind == "sign" and last.text not in _OPERAND_ENDS
-
-
-@dataclass
-class Reader:
-    """Facts of one file: definitions (stage 0) and static imports (stage 1)."""
-
-    text: str
-    typed: bool
-    tokens: list[Token] = field(default_factory=list)
-    found: list[tuple] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        self.tokens = tokens_of(self.text)
-
-    # ------------------------------------------------------------ looking ahead
-
-    def sign(self, i: int) -> str:
-        """Text of a token that is neither name nor string."""
-        return self.tokens[i].text if 0 <= i < len(self.tokens) and self.tokens[i].kind == "sign" else ""
-
-    def word(self, i: int) -> str:
-        return self.tokens[i].text if 0 <= i < len(self.tokens) and self.tokens[i].kind == "name" else ""
-
-    def identifier(self, i: int) -> str:
-        return w if (w := self.word(i)) and _NAME.match(w) else ""
-
-    def past(self, i: int) -> int:
-        """Behind a token, or behind the bracket that it opens."""
-        token = self.tokens[i]
-        return token.match + 1 if token.kind == "sign" and token.match >= 0 else i + 1
-
-    def past_generics(self, i: int) -> int:
-        if self.sign(i) != "<":
-            return i
-        depth = 0
-        while i < len(self.tokens):
-            sign = self.sign(i)
-            depth += (sign == "<") - (sign == ">")
-            i = self.past(i)
-            if depth == 0:
-                return i
-        return i
-
-    def starts_statement(self, i: int) -> bool:
-        """Whether a keyword opens a declaration rather than part of an expression."""
-        if i == 0:
-            return True
-        before = self.tokens[i - 1]
-        if before.kind == "sign":
-            return (
-                before.text in ("{", "}", ";", ")") or self.ends_here(i)
-                or before.text == ":" and self.tokens[i].new_line
-            )
-        if before.kind == "name" and before.text in ("export", "default", "declare", "async", "else"):
-            return True
-        return self.tokens[i].new_line and before.text not in _VALUE_WORDS
-
-    def ends_here(self, i: int) -> bool:
-        """Whether a line break before the token ends the expression before it."""
-        token = self.tokens[i]
-        if not token.new_line:
-            return False
-        before = self.tokens[i - 1]
-        if before.kind == "sign" and before.text not in (")", "]", "}", ">"):
-            return False
-        return token.text in _STATEMENT_WORDS or token.text == "@" or not (
-            token.kind == "sign" and token.text in _CONTINUES
+_FUNCTION = rf"function#(\d++){_GAP}{_NAME}{_GENERICS}{_PARAMS}(?:(?:{_TYPE})?+{_BODY})?+"
+_STOP = rf"(?![,;}})]{_END})"
+_VALUE = rf"(?: {_STOP}{_ANY}|{_GOES_ON}{_STOP}{_ANY})*+"
+_DECLARATOR = rf"{_GAP}{_ANY}(?:{_GAP}!{_END})?+(?:{_TYPE})?+(?:{_GAP}={_GAP}{_STOP}{_ANY})?+{_VALUE}"
+_BINDING = rf"{_words('const', 'let')}(?!{_GAP}enum#){_DECLARATOR}(?:{_GAP},{_DECLARATOR})*+"
+_IMPORT = rf'import#\d++(?!{_GAP}[(.])(?:{_GAP}(?!"|[;=]{_END}){_ANY})*+(?:{_GAP}"[^ \n]*+)?+'
+_INTERFACE = (
+    rf"interface#\d++{_GAP}{_NAME}(?={_GAP}(?:\{{\d|<\d|extends#))(?:{_GAP}(?!\{{\d){_ANY})*+(?:{_BODY})?+"
+)
+_ALIAS = rf"type#\d++{_GAP}{_NAME}{_GENERICS}{_GAP}={_END}"
+
+_UNTYPED_STATEMENT = rf"{_START}{_LEAD}(?:{_CLASS}|{_FUNCTION}|{_BINDING}|{_IMPORT})"
+_TYPED_STATEMENT = rf"{_START}{_LEAD}(?:{_CLASS}|{_FUNCTION}|{_BINDING}|{_IMPORT}|{_INTERFACE}|{_ALIAS})"
+_KIND = r"(?<![@.][ \n])(?<![^ \n])(class|function|const|let|import|interface|type)#"
+_LAST_SCOPE = r"(?s)\A.*[ \n][({\[<$](\d++)[)}\]>$](?=[ \n]|$)"
+# of a binding's declarators those whose value is an arrow function
+_ARROW = (
+    rf"(?<=(?:const|let)#\d{{1,9}}[ \n]|[ \n],[ \n]){_NAME}(?:{_GAP}!{_END})?+(?:{_TYPE})?+{_GAP}={_GAP}"
+    rf"(?:async#\d++{_GAP}(?!=>))?+(?:<\d++>{_GAP})?+(?:{_WORD}{_GAP}=>|\(\d++\)(?:{_RETURN_TYPE})?+{_GAP}=>){_END}"
+)
+
+# members one after another: a method, else a field or signature up to its end
+_MODIFIERS = (
+    rf"(?:{_words('public', 'private', 'protected', 'static', 'async', 'get', 'set', 'override', 'readonly', 'abstract', 'declare', 'accessor')}"
+    rf"(?!{_GAP}(?:\(|={_END}|;|:|\?{_END}|!{_END}|<|\}}|,{_END})){_GAP})*+"
+)
+_METHOD = (
+    rf'(?=(?:\*{_GAP})?+[^ \n#"]*+#?(\d*+)){_MODIFIERS}(?:\*{_GAP})?+(?:{_NAME}{_END}|#{_GAP}{_ANY}|(?!@){_ANY})'
+    rf"(?:{_GAP}[?!]{_END})?+{_GENERICS}{_PARAMS}(?:{_TYPE})?+{_BODY}"
+)
+_FIELD = rf"{_MODIFIERS}(?:\*{_GAP})?+(?:#{_GAP})?+{_ANY}(?: (?!;{_END}){_ANY}|{_GOES_ON}(?!;{_END}){_ANY})*+"
+_MEMBER = (
+    rf"\G(?:^;|{_GAP}(?:[;,}}]{_END}|@{_GAP}{_WORD}(?:{_GAP}\.{_GAP}{_WORD})*+(?: \(\d++\))?+|{_METHOD}|{_FIELD}))"
+)
+
+EVENT = (
+    "struct<what:string,name:string,owner:string,own:string,scope_at:bigint,at:bigint,end:bigint>"
+)
+
+
+def _all(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _group(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract(text, pattern, group)
+
+
+def _event(what, name, scope_at, at, end, owner=None, own=None) -> Column:
+    null = F.lit(None).cast("string")
+    return F.struct(
+        (F.lit(what) if isinstance(what, str) else what).alias("what"),
+        (null if name is None else name).alias("name"),
+        (null if owner is None else owner).alias("owner"),
+        (null if own is None else own).alias("own"),
+        scope_at.alias("scope_at"), at.cast("bigint").alias("at"), end.alias("end"),
+    )
+
+
+def _none() -> Column:
+    return F.array().cast(f"array<{EVENT}>")
+
+
+def _class_events(match: Column, at: Column, end: Column, lines: Column) -> Column:
+    """A class and its methods.  Only an exported class owns its decorators; any other one
+    stands where its first decorator stands."""
+    name = _group(match, _CLASS, 2)
+    lead = F.substring_index(match, "class#", 1)
+    exported = F.regexp_like(lead, F.lit(r"(?<![^ \n])export#"))
+    own = F.get(
+        F.filter(
+            _all(lead, rf"@{_GAP}(?:{_WORD}{_GAP}\.{_GAP})*+{_NAME}", 1),
+            lambda d: d.isin(*fixed.NEST_CLASS_DECORATORS),
+        ),
+        F.lit(0),
+    )
+    decorated = F.startswith(match, F.lit("@")) & ~exported
+    stands = F.when(decorated, at - 1).otherwise(_group(match, _CLASS, 1).cast("bigint"))
+    body = F.get(lines, _group(match, _CLASS, 3).try_cast("int"))["text"]
+    members = F.arrays_zip(
+        _all(body, _MEMBER, 1).alias("at"), _all(body, _MEMBER, 2).alias("name"),
+        _all(body, _MEMBER, 3).alias("body"),
+    )
+    methods = F.filter(
+        members, lambda m: (m["name"] != "") & (m["body"] != "") & ~m["name"].isin(*fixed.JS_NOISE)
+    )
+    return F.concat(
+        F.array(_event("class", name, at, stands, end, own=F.when(exported, own))),
+        F.coalesce(
+            F.transform(
+                methods,
+                lambda m: _event("method", m["name"], at, m["at"], F.lit(None).cast("bigint"), owner=name),
+            ),
+            _none(),
+        ),
+    )
+
+
+def _events_of(match: Column, lines: Column) -> Column:
+    """Events of one matched statement; one that declares nothing but holds scopes is a
+    ``span``, which only closes them."""
+    kind = _group(match, _KIND)
+    at = _group(match, r"#(\d++)").cast("bigint")
+    end = F.get(lines, _group(match, _LAST_SCOPE).try_cast("int"))["end"]
+    name = _group(match, _FUNCTION, 2)
+    declared = (_group(match, _FUNCTION, 3) != "") & ~name.isin(*fixed.JS_NOISE)
+    function_at = F.coalesce(
+        _group(match, r"async#(\d++)[ \n]function#").try_cast("bigint"), _group(match, _FUNCTION, 1).try_cast("bigint")
+    )
+    arrows = F.transform(
+        F.filter(_all(match, _ARROW), lambda a: ~_group(a, _NAME).isin(*fixed.JS_NOISE)),
+        lambda a: _event("function", _group(a, _NAME), at, _group(a, r"#(\d++)"), end),
+    )
+    path = _group(match, r'(?s)[ \n]"([^ \n]*)"$')
+    typed = F.array(
+        _event(
+            F.when(kind == "type", "type_alias").otherwise(kind),
+            _group(match, rf"(?:interface|type)#\d++{_GAP}{_NAME}"), at, at, end,
         )
+    )
+    found = (
+        F.when(kind == "class", _class_events(match, at, end, lines))
+        .when((kind == "function") & declared, F.array(_event("function", name, at, function_at, end)))
+        .when(kind.isin("const", "let"), arrows)
+        .when(
+            (kind == "import") & F.regexp_like(match, F.lit(r'[ \n]"[^ \n]*"$')),
+            F.array(_event("import", F.translate(path, "\x01", " "), at, at, F.lit(None).cast("bigint"))),
+        )
+        .when(kind.isin("interface", "type"), typed)
+        .otherwise(_none())
+    )
+    return F.when(
+        (F.size(found) == 0) & end.isNotNull() & (kind != "import"),
+        F.array(_event("span", None, at, at, end)),
+    ).otherwise(found)
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        texts = [t or "" for t in batch["content"]]
+        yield pd.DataFrame(
+            {
+                "repo": batch["repo"], "file_id": batch["file_id"], "ext": batch["ext"],
+                "scopes": [[dict(zip(("start", "end", "text"), s)) for s in scopes(t)] for t in texts],
+                "markers": [[dict(zip(("name", "start", "end"), m)) for m in markers(t)] for t in texts],
+            }
+        )
+
 
-    def body_after(self, i: int) -> int:
-        """The ``{`` of a body after a parameter list, behind a return type if there is
-        one; -1 for a signature without a body."""
-        if self.sign(i) == "{":
-            return i
-        if self.sign(i) != ":":
-            return -1
-        return self.past_type(i + 1, "{")
-
-    def past_type(self, i: int, stop: str) -> int:
-        """The first ``stop`` sign behind a type, or -1 where the statement ends first."""
-        depth, operand = 0, True  # operand: a part of the type is still to come
-        while i < len(self.tokens):
-            token, sign = self.tokens[i], self.sign(i)
-            if depth == 0 and not operand:
-                if sign == stop:
-                    return i
-                if sign in ("{", "=") or token.new_line and token.kind != "sign" and token.text not in _TYPE_WORDS:
-                    return -1
-            if depth == 0 and sign in (";", "}", ")"):
-                return -1
-            if sign == "<":
-                depth, operand = depth + 1, True
-            elif sign == ">":
-                depth, operand = max(0, depth - 1), False
-            elif sign in ("(", "[", "{"):
-                operand = False
-            elif sign:
-                operand = sign not in (")", "]", "}")
-            else:
-                operand = token.text in _TYPE_WORDS
-            i = self.past(i)
-        return -1
-
-    # ------------------------------------------------------------ statements
-
-    def read(self) -> list[tuple]:
-        i, own, exported, decorated = 0, [], False, -1
-        while i < len(self.tokens):
-            word = self.word(i)
-            if self.sign(i) == "@" and self.identifier(i + 1) and self.starts_statement(i) | bool(own):
-                start = i
-                name, i = self.decorator(i)
-                own, decorated = [*own, name], start if decorated < 0 else decorated
-                continue
-            if word in ("export", "default", "abstract", "declare", "async") and self.sign(i - 1) != ".":
-                exported = exported or word == "export"
-                if word == "async" and self.word(i + 1) == "function":
-                    i = self.function(i + 1, self.tokens[i].at)
-                    own, exported, decorated = [], False, -1
-                    continue
-                i += 1
-                continue
-            if word == "class":
-                i = self.class_(i, own if exported else [], decorated if not exported else -1)
-            elif word == "function":
-                i = self.function(i, self.tokens[i].at)
-            elif word in ("const", "let") and self.starts_statement(i) and self.word(i + 1) != "enum":
-                i = self.bindings(i + 1)
-            elif word == "import" and self.sign(i + 1) not in ("(", ".") and self.starts_statement(i):
-                i = self.import_(i + 1)
-            elif self.typed and word in ("interface", "type") and self.starts_statement(i):
-                i = self.type_(i)
-            else:
-                i += 1
-            own, exported, decorated = [], False, -1
-        return self.found
-
-    def decorator(self, i: int) -> tuple[str, int]:
-        name, i = self.word(i + 1), i + 2
-        while self.sign(i) == "." and self.word(i + 1):
-            name, i = self.word(i + 1), i + 2
-        return name, self.past(i) if self.sign(i) == "(" and not self.tokens[i].new_line else i
-
-    def import_(self, i: int) -> int:
-        while i < len(self.tokens) and self.sign(i) != ";":
-            if self.tokens[i].kind == "string":
-                n = sum(f[0] == 1 for f in self.found)
-                self.found.append((1, n, True, None, self.tokens[i].text[1:-1], "js"))
-                return i + 1
-            if self.sign(i) == "=":
-                return i
-            i = self.past(i)
-        return i
-
-    def type_(self, i: int) -> int:
-        name = self.identifier(i + 1)
-        if self.word(i) == "interface":
-            if name and (self.sign(i + 2) in ("{", "<") or self.word(i + 2) == "extends"):
-                self.define(name, "interface")
-                i += 2
-                while i < len(self.tokens) and self.sign(i) != "{":
-                    i = self.past_generics(i) if self.sign(i) == "<" else i + 1
-                return self.past(i) if i < len(self.tokens) else i
-            return i + 1
-        if name and self.sign(self.past_generics(i + 2)) == "=":
-            self.define(name, "type_alias")
-            return self.past_generics(i + 2) + 1
-        return i + 1
-
-    def class_(self, i: int, own: list[str], decorated: int) -> int:
-        """A declared class and its methods; class expressions and abstract classes stay
-        open, so that only what their members' bodies declare is found."""
-        name = self.identifier(i + 1)
-        if not name or name == "extends" or self.sign(i - 1) == "." or self.word(i - 1) == "abstract":
-            return i + 1
-        if not self.starts_statement(i) and decorated < 0 and not own:
-            return i + 1
-        at, body = self.tokens[decorated if decorated >= 0 else i].at, i + 2
-        while body < len(self.tokens) and self.sign(body) != "{":
-            body = self.past_generics(body) if self.sign(body) == "<" else self.past(body)
-        self.define(name, self.class_type(name, own, at))
-        if body >= len(self.tokens):
-            return body
-        self.members(name, body + 1, self.tokens[body].match)
-        return self.past(body)
-
-    def members(self, owner: str, i: int, end: int) -> None:
-        while i < end:
-            if self.sign(i) in (";", "}", ","):
-                i += 1
-                continue
-            if self.sign(i) == "@":
-                i = self.decorator(i)[1]
-                continue
-            start = i
-            while self.word(i) in _MODIFIERS and self.sign(i + 1) not in ("(", "=", ";", ":", "?", "!", "<", "}", ","):
-                i += 1
-            i += self.sign(i) == "*"
-            name, hidden = self.identifier(i), self.sign(i) == "#"
-            i = self.past(i + hidden) if i + hidden < end else end
-            i += self.sign(i) in ("?", "!")
-            params = self.past_generics(i)
-            if self.sign(params) == "(":
-                body = self.body_after(self.past(params))
-                if 0 <= body < end:
-                    if name and not hidden and name not in fixed.JS_NOISE:
-                        self.define(name, self.method_type(self.tokens[start].at), owner)
-                    i = self.past(body)
-                    continue
-                i = self.past(params)
-            # a field, or a signature without a body: up to where it ends
-            while i < end and self.sign(i) != ";" and not self.ends_here(i):
-                i = self.past(i)
-
-    def function(self, i: int, at: int) -> int:
-        """A declared function, whose body is closed; generators, function expressions
-        and signatures stay open."""
-        name = self.identifier(i + 1)
-        first = i - 1 if self.word(i - 1) == "async" else i
-        if not name or not self.starts_statement(first) and self.word(first - 1) not in ("export", "default"):
-            return i + 1
-        params = self.past_generics(i + 2)
-        if self.sign(params) != "(":
-            return i + 2
-        body = self.body_after(self.past(params))
-        if body < 0:
-            return self.past(params)
-        if name not in fixed.JS_NOISE:
-            self.define(name, self.function_type(name, at))
-        return self.past(body)
-
-    def bindings(self, i: int) -> int:
-        """Declarators of ``const`` and ``let``; arrow functions are definitions."""
-        while i < len(self.tokens):
-            name, at = self.identifier(i), self.tokens[i].at
-            i = self.past(i)
-            i += self.sign(i) == "!"
-            if self.sign(i) == ":":
-                value = self.past_type(i + 1, "=")
-                if value < 0:
-                    return i
-                i = value
-            if self.sign(i) == "=":
-                i += 1
-                if name and name not in fixed.JS_NOISE and self.is_arrow(i):
-                    self.define(name, self.function_type(name, at))
-            first = i
-            while i < len(self.tokens) and self.sign(i) not in (",", ";", "}", ")") and not (i > first and self.ends_here(i)):
-                i = self.past(i)
-            if self.sign(i) != ",":
-                return i
-            i += 1
-        return i
-
-    def is_arrow(self, i: int) -> bool:
-        i += self.word(i) == "async" and self.sign(i + 1) != "=>"
-        i = self.past_generics(i)
-        if self.identifier(i):
-            return self.sign(i + 1) == "=>"
-        if self.sign(i) != "(":
-            return False
-        i = self.past(i)
-        return self.sign(i) == "=>" or self.sign(i) == ":" and self.past_type(i + 1, "=>") >= 0
-
-    # ------------------------------------------------------------ definitions
-
-    def define(self, name: str, node_type: str, owner: str | None = None) -> None:
-        self.found.append((0, len(self.found), False, owner, name, node_type))
-
-    def window(self, at: int, back: int, on: int) -> str:
-        return self.text[max(0, at - back) : at + on]
-
-    def class_type(self, name: str, own: list[str], at: int) -> str:
-        window = self.window(at, *fixed.CLASS_WINDOW)
-        counted = [d for d in own if d in fixed.NEST_CLASS_DECORATORS]
-        counted += [d for d in fixed.NEST_CLASS_DECORATORS if f"@{d}" in window]
-        if counted:
-            return f"nestjs_{counted[0].lower()}"
-        return "react_component" if "A" <= name[0] <= "Z" and _MARKUP.search(window) else "class"
-
-    def method_type(self, at: int) -> str:
-        window = self.window(at, *fixed.METHOD_WINDOW)
-        routed = any(f"@{d}" in window for d in fixed.NEST_ROUTE_DECORATORS)
-        return "nestjs_endpoint" if routed else "method"
-
-    def function_type(self, name: str, at: int) -> str:
-        if name.startswith("use") and name[3:4].isupper():
-            return "react_hook"
-        if name in fixed.NEXT_DATA_FUNCTIONS:
-            return "nextjs_data_fn"
-        shown = "A" <= name[0] <= "Z" and _MARKUP.search(self.window(at, 0, fixed.FUNCTION_WINDOW))
-        return "react_component" if shown else "function"
-
-
-def source_facts(text: str, ext: str) -> list[tuple]:
-    return Reader(text, ext in (".ts", ".tsx")).read()
+def script_events(files: DataFrame) -> DataFrame:
+    """(repo, file_id, what, name, owner, own, scope_at, at, end): matched declarations,
+    closed spans and markers of every file."""
+    read = files.select("repo", "file_id", "ext", "content").mapInPandas(
+        _read, f"repo string, file_id string, ext string, scopes {SCOPES}, markers {MARKERS}"
+    )
+    lines = F.col("scopes")
+    matches = F.flatten(
+        F.transform(
+            lines,
+            lambda s: F.when(F.col("ext").isin(*TYPED), _all(s["text"], _TYPED_STATEMENT))
+            .otherwise(_all(s["text"], _UNTYPED_STATEMENT)),
+        )
+    )
+    declared = F.flatten(F.transform(matches, lambda m: _events_of(m, lines)))
+    marked = F.transform(
+        "markers",
+        lambda m: _event("marker", m["name"], m["start"], m["start"], m["end"]),
+    )
+    return read.select(
+        "repo", "file_id", F.explode(F.concat(declared, marked)).alias("e")
+    ).select("repo", "file_id", "e.*")
+
+
+def _classified(events: DataFrame) -> Column:
+    """The type of a declaration, by its own decorators, its name and the markers around it."""
+    back, on = fixed.CLASS_WINDOW
+
+    def within(names, before: int, after: int) -> Column:
+        return F.filter(
+            "around",
+            lambda m: m["name"].isin(*names) & (m["at"] >= F.col("at") - before) & (m["end"] <= F.col("at") + after),
+        )
+
+    def seen(names, before: int, after: int) -> Column:
+        return F.size(within(names, before, after)) > 0
+
+    named = tuple("@" + d for d in fixed.NEST_CLASS_DECORATORS)
+    order = F.array(*[F.lit(n) for n in named])
+    first = F.get(
+        F.array_intersect(order, F.transform(within(named, back, on), lambda m: m["name"])), F.lit(0)
+    )
+    decorator = F.coalesce("own", F.substring(first, 2, 100))
+    upper = F.regexp_like("name", F.lit(r"^[A-Z]"))
+    return (
+        F.when(
+            F.col("what") == "class",
+            F.when(decorator.isNotNull(), F.concat(F.lit("nestjs_"), F.lower(decorator)))
+            .when(upper & seen("<", back, on), "react_component").otherwise("class"),
+        )
+        .when(
+            F.col("what") == "method",
+            F.when(
+                seen(tuple("@" + d for d in fixed.NEST_ROUTE_DECORATORS), *fixed.METHOD_WINDOW), "nestjs_endpoint"
+            ).otherwise("method"),
+        )
+        .when(
+            F.col("what") == "function",
+            F.when(F.regexp_like("name", F.lit(r"^use\p{IsUppercase}")), "react_hook")
+            .when(F.col("name").isin(*fixed.NEXT_DATA_FUNCTIONS), "nextjs_data_fn")
+            .when(upper & seen("<", 0, fixed.FUNCTION_WINDOW), "react_component").otherwise("function"),
+        )
+        .when(F.col("what") == "import", "js")
+        .otherwise(F.col("what"))
+    )
+
+
+def script_facts(files: DataFrame) -> DataFrame:
+    """Facts of JavaScript and TypeScript files: definitions (stage 0) and static imports
+    (stage 1), by offset."""
+    by_file = W.partitionBy("repo", "file_id")
+    before = by_file.orderBy("scope_at").rangeBetween(W.unboundedPreceding, -1)
+    back, on = (max(w) for w in zip(fixed.CLASS_WINDOW, fixed.METHOD_WINDOW, (0, fixed.FUNCTION_WINDOW)))
+    near = by_file.orderBy("at").rangeBetween(-back, on)
+    marker = F.col("what") == "marker"
+    events = script_events(files).withColumn(
+        "reached", F.max(F.when(~marker, F.col("end"))).over(before)
+    )
+    open_ = events.filter(marker | F.col("reached").isNull() | (F.col("reached") <= F.col("scope_at")))
+    around = F.collect_list(F.when(marker, F.struct("name", "at", "end"))).over(near)
+    counted = open_.filter(F.col("what") != "span").withColumn("around", around).filter(~marker)
+    is_ref = F.col("what") == "import"
+    columns = [f.split()[0] for f in FACTS_SCHEMA.split(", ")]
+    return counted.select(
+        "repo", "file_id", F.when(is_ref, 1).otherwise(0).alias("stage"), F.col("at").alias("pos"),
+        is_ref.alias("is_ref"), F.col("owner").alias("parent"), "name", _classified(counted).alias("type"),
+    ).select(*columns)

@@ -1,8 +1,7 @@
-"""Files that are read by their syntax: Python, JavaScript and TypeScript.
+"""Python files, read by their syntax tree.
 
-Both are read in one pass of Arrow batches, so that their text is scanned once.
-Only Python text that does not parse comes back, to be read by pattern in the
-same stage.
+Only text that does not parse comes back from the Arrow batches, to be read by
+pattern in the same stage.
 """
 
 from __future__ import annotations
@@ -13,35 +12,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as fixed
 from .facts import FACT_TYPE
-from .javascript_source import source_facts
 from .python_source import loose_facts, tree_facts
 
 _FIELDS = ("stage", "pos", "is_ref", "parent", "name", "type")
 
 
-def _read(ext: str, text: str) -> list[dict] | None:
-    found = tree_facts(text) if ext in fixed.PYTHON_EXTENSIONS else source_facts(text, ext)
-    return None if found is None else [dict(zip(_FIELDS, f)) for f in found]
-
-
 def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [_read(e, t or "") for e, t in zip(batch["ext"], batch["content"])]
+        found = [tree_facts(t or "") for t in batch["content"]]
         unread = [f is None for f in found]
         yield pd.DataFrame(
             {
                 "repo": batch["repo"], "file_id": batch["file_id"],
-                "found": [f or [] for f in found],
+                "found": [[dict(zip(_FIELDS, row)) for row in f or []] for f in found],
                 "content": batch["content"].where(pd.Series(unread, index=batch.index), None),
             }
         )
 
 
-def parsed_found(files: DataFrame) -> DataFrame:
-    """(repo, file_id, found, parsed) of Python, JavaScript and TypeScript files."""
-    read = files.select("repo", "file_id", "ext", "content").mapInPandas(
+def python_found(files: DataFrame) -> DataFrame:
+    """(repo, file_id, found, parsed) of Python files."""
+    read = files.select("repo", "file_id", "content").mapInPandas(
         _read_batches, f"repo string, file_id string, found array<{FACT_TYPE}>, content string"
     )
     loose = loose_facts(F.col("content")).cast(f"array<{FACT_TYPE}>")
@@ -52,9 +44,9 @@ def parsed_found(files: DataFrame) -> DataFrame:
     )
 
 
-def parsed_facts(files: DataFrame) -> DataFrame:
+def python_facts(files: DataFrame) -> DataFrame:
     return (
-        parsed_found(files)
+        python_found(files)
         .select("repo", "file_id", F.explode("found").alias("f"))
         .select("repo", "file_id", "f.*")
     )

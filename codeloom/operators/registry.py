@@ -1,9 +1,8 @@
 """Which extractor reads which file extension.
 
 The rule-based languages are array expressions evaluated in one scan of the file
-table; Python, JavaScript and TypeScript take a second, filtered scan through Arrow
-batches.  Users
-add their own with ``register_extractor``; the last registration of an
+table; Python, and JavaScript with TypeScript, take a filtered scan of their own
+through Arrow batches.  Users add their own with ``register_extractor``; the last registration of an
 extension wins.
 """
 
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from . import javascript, parsed, rules
+from . import javascript, javascript_source, parsed, rules
 from .facts import FACT_TYPE, FACTS_SCHEMA, explode_facts, no_facts
 
 
@@ -59,8 +58,8 @@ def _register_defaults() -> None:
                 ),
             ),
         )
-    _register(fixed.JS_EXTENSIONS, Extractor("tokens", table=parsed.parsed_facts))
-    _register(fixed.PYTHON_EXTENSIONS, Extractor("python-ast", table=parsed.parsed_facts))
+    _register(fixed.JS_EXTENSIONS, Extractor("tokens", table=javascript_source.script_facts))
+    _register(fixed.PYTHON_EXTENSIONS, Extractor("python-ast", table=parsed.python_facts))
 
 
 def js_rule_extractor(files: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Text edge cases: decoding, Unicode names, page names, file suffixes."""
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from codeloom.functions import names, text
 from codeloom.operators import javascript, parsed, rules
 from codeloom.operators.facts import explode_facts
-from codeloom.operators.javascript_source import source_facts
+from codeloom.operators.javascript_scopes import scopes
+from codeloom.operators.javascript_source import script_facts
 
 
 def facts_of(spark, expression, content, ext=".x", directory="a/b"):
@@ -99,8 +101,20 @@ def test_keywords_are_distinct_and_long_enough(spark):
 # ------------------------------------------------------------------ JavaScript
 
 
+def script_rows(spark, sources, ext=".ts"):
+    """Facts of each source text, in order."""
+    files = spark.createDataFrame(
+        [("r", f"{i:04d}", ext, s) for i, s in enumerate(sources)],
+        "repo string, file_id string, ext string, content string",
+    )
+    found = [[] for _ in sources]
+    for r in script_facts(files).orderBy("file_id", "stage", "pos").collect():
+        found[int(r.file_id)].append(r)
+    return found
+
+
 def js(spark, content, ext=".ts"):
-    return [(f[4], f[5]) for f in sorted(source_facts(content, ext), key=lambda f: f[:2])]
+    return [(r["name"], r["type"]) for r in script_rows(spark, [content], ext)[0]]
 
 
 def test_class_window_is_counted_in_characters(spark):
@@ -124,11 +138,14 @@ def test_method_window_reaches_over_class_borders(spark):
     assert ("first", "nestjs_endpoint") in js(spark, source)
 
 
-def declared(content, ext=".ts"):
-    return [f"{f[3]}.{f[4]}" if f[3] else f[4] for f in source_facts(content, ext) if f[0] == 0]
+def declared(spark, *contents, ext=".ts"):
+    return [
+        [f"{r.parent}.{r['name']}" if r.parent else r["name"] for r in rows if r.stage == 0]
+        for rows in script_rows(spark, contents, ext)
+    ]
 
 
-def test_methods_whatever_their_parameters_and_types():
+def test_methods_whatever_their_parameters_and_types(spark):
     source = """
 @Controller('x')
 export class C {
@@ -152,40 +169,62 @@ export class C {
   async() {}
 }
 """
-    assert declared(source) == ["C"] + [
+    assert declared(spark, source) == [["C"] + [
         f"C.{m}" for m in ("constructor", "find", "one", "two", "three", "many", "gen", "size", "async")
+    ]]
+
+
+DECLARATIONS = [
+    ("class B { foo() {} bar() {} }", ["B", "B.foo", "B.bar"]),
+    ("const p = () => 1, q = () => 2", ["p", "q"]),
+    ("const deep = (a = g(h(1))) => a", ["deep"]),
+    ("const t: F<{a: 1}> = async (x): Promise<void> => {}", ["t"]),
+    ("if (x) { function inIf() {} }", ["inIf"]),
+    ("describe('a', () => { const y = () => 1; })", ["y"]),
+    ("namespace N { export class K {} }", ["K"]),
+    ("(function () { function own() {} })()", ["own"]),
+    ("const k = call(() => { const closed = () => 1 })", []),
+    ("/* function ghost() {} */ function real() {\nconst hidden = () => 1\n}", ["real"]),
+    ("const s = `class T {} ${x} function f() {}`; let r = /function g() {}/", []),
+    ("function over(a: string): void;\nfunction over(a: any) {}", ["over"]),
+    ("const v = <p>don't</p>\nfunction after() {}", ["after"]),
+    ("", []),
+    ("}}) function f() {}", ["f"]),
+    ("function f(", []),
+]
+
+
+def test_declarations_wherever_they_stand(spark):
+    found = declared(spark, *[source for source, _ in DECLARATIONS], ext=".tsx")
+    assert found == [expected for _, expected in DECLARATIONS]
+
+
+def test_deep_nesting_has_no_limit(spark):
+    depth = 50_000
+    assert declared(
+        spark, "{" * depth + "function f() {}" + "}" * depth,
+        "a(" * depth + "() => { class C { m() {} } }" + ")" * depth,
+    ) == [["f"], ["C", "C.m"]]
+
+
+def test_reading_is_linear_and_without_recursion(spark):
+    long = [
+        ("const a = async <b\n" * 20_000, 0), ("/[" * 40_000, 0), ("import 'a'\n" * 20_000, 20_000),
+        ("'\\" * 40_000, 0), ("function f(): A" + "\n  | A" * 20_000 + " {}", 1),
+        ("const x = 1" + " +\n 1" * 20_000 + ", y = () => 1", 1), ("class A\n" * 20_000, 1),
+        ("class A {" + " m() {}" * 20_000 + "}", 20_001), ("const a = [() => 1];\n" * 20_000, 0),
     ]
+    start = time.time()
+    assert [len(rows) for rows in script_rows(spark, [s for s, _ in long])] == [n for _, n in long]
+    assert time.time() - start < 60
 
 
-@pytest.mark.parametrize(
-    "source, expected",
-    [
-        ("class B { foo() {} bar() {} }", ["B", "B.foo", "B.bar"]),
-        ("const p = () => 1, q = () => 2", ["p", "q"]),
-        ("const deep = (a = g(h(1))) => a", ["deep"]),
-        ("const t: F<{a: 1}> = async (x): Promise<void> => {}", ["t"]),
-        ("if (x) { function inIf() {} }", ["inIf"]),
-        ("describe('a', () => { const y = () => 1; })", ["y"]),
-        ("namespace N { export class K {} }", ["K"]),
-        ("(function () { function own() {} })()", ["own"]),
-        ("const k = call(() => { const closed = () => 1 })", []),
-        ("/* function ghost() {} */ function real() {\nconst hidden = () => 1\n}", ["real"]),
-        ("const s = `class T {} ${x} function f() {}`; let r = /function g() {}/", []),
-        ("function over(a: string): void;\nfunction over(a: any) {}", ["over"]),
-        ("const v = <p>don't</p>\nfunction after() {}", ["after"]),
-        ("", []),
-        ("}}) function f() {}", ["f"]),
-        ("function f(", []),
-    ],
-)
-def test_declarations_wherever_they_stand(source, expected):
-    assert declared(source, ".tsx") == expected
-
-
-def test_deep_nesting_has_no_limit():
-    depth = 50_000
-    assert declared("{" * depth + "function f() {}" + "}" * depth) == ["f"]
-    assert declared("a(" * depth + "() => { class C { m() {} } }" + ")" * depth) == ["C", "C.m"]
+def test_scopes_are_lines_of_their_own_tokens():
+    assert scopes("if (a) { b('x y', `t ${c} u`) }\n// note\nd < e; f<G>()") == [
+        (0, 53, ";\nif#0 (1) {2}\nd#40 < e#44 ; f#47 <5> (6)"),
+        (3, 5, ", a#4"), (7, 30, "; b#9 (3)"), (10, 28, ', "x\x01y" , ` $4$'), (21, 24, ", c#23"),
+        (48, 50, ", G#49"), (51, 52, ","),
+    ]
 
 
 def test_function_bodies_are_not_descended(spark):
@@ -258,7 +297,7 @@ def python(spark, content):
         [("r", "m.py", "", "m.py", ".py", content)],
         "repo string, file_id string, dir string, name string, ext string, content string",
     )
-    rows = parsed.parsed_facts(files).orderBy("stage", "pos").collect()
+    rows = parsed.python_facts(files).orderBy("stage", "pos").collect()
     return [(r["name"], r["type"]) for r in rows]
 
 

@@ -17,8 +17,9 @@ from codeloom.operators import metrics, registry, render, resolve, rules, struct
 from codeloom.operators.communities import communities, modularity
 from codeloom.operators.facts import explode_facts, imports_of, symbols_of
 from codeloom.operators.graph import Graph
+from codeloom.operators.javascript_source import script_facts
 from codeloom.operators.pagerank import pagerank
-from codeloom.operators.parsed import parsed_facts, parsed_found
+from codeloom.operators.parsed import python_found
 from codeloom.operators.search import keyword_index, keyword_search
 from codeloom.operators.smart import smart_graph
 from codeloom.plans import jobs
@@ -217,7 +218,7 @@ _register_rules()
 
 def _python(spark, sf_dir, parsed: bool) -> DataFrame:
     files = structure.supported_files(_files(spark, sf_dir), [".py"])
-    found = parsed_found(files).filter(F.col("parsed") == F.lit(parsed))
+    found = python_found(files).filter(F.col("parsed") == F.lit(parsed))
     return _both(found.select("repo", "file_id", F.explode("found").alias("f")).select(
         "repo", "file_id", "f.*"))
 
@@ -242,7 +243,7 @@ JS_EXTS = ["." + e for e in JS_FAMILY]
 
 @query("extract_js", _both_sql(JS_EXTS, with_pos=False))
 def extract_js(spark, sf_dir):
-    return _both(parsed_facts(_js_files(spark, sf_dir)), with_pos=False)
+    return _both(script_facts(_js_files(spark, sf_dir)), with_pos=False)
 
 
 @query("extract_js_regex", _both_sql(JS_EXTS, which=("rule_symbols", "rule_imports")))
