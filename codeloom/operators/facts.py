@@ -7,6 +7,9 @@ scanned once:
     symbols  repo, file_id, stage, pos, parent_id, node_id, node_type
     imports  repo, file_id, stage, pos, raw, kind
 
+Facts may carry the ``file`` number of their file (``graph.number_paths``), which symbols
+and imports then have as well.
+
 ``parent`` is null for a member of the file itself, else the name of the owner.
 For a reference ``type`` says what becomes of the target (see ``graph``).
 """
@@ -97,6 +100,10 @@ def explode_facts(files: DataFrame, found: Column) -> DataFrame:
     )
 
 
+def _place(table: DataFrame) -> list[str]:
+    return ["file"] if "file" in table.columns else []
+
+
 def symbols_of(facts: DataFrame) -> DataFrame:
     owner = F.when(F.col("parent").isNull(), F.col("file_id")).otherwise(
         F.concat_ws("::", "file_id", "parent")
@@ -109,6 +116,7 @@ def symbols_of(facts: DataFrame) -> DataFrame:
         owner.alias("parent_id"),
         F.concat_ws("::", "file_id", "name").alias("node_id"),
         F.col("type").alias("node_type"),
+        *_place(facts),
     )
 
 
@@ -120,4 +128,5 @@ def imports_of(facts: DataFrame) -> DataFrame:
         "pos",
         F.col("name").alias("raw"),
         F.col("type").alias("kind"),
+        *_place(facts),
     )

@@ -1,10 +1,12 @@
 """Node and edge tables.
 
-    nodes  repo, node_id, node_type, external, seq STRUCT<class, file_id, stage, pos>
+    nodes  repo, node_id, node_type, external, seq STRUCT<class, file, stage, pos>
     edges  repo, src, dst, type
 
 ``seq`` fixes an order where a file table has none: structure first, then
 symbols, externals and unresolved targets, each by file, stage and position.
+``file`` is the place of the file or folder among its repository's paths in order
+(``number_paths``); nodes of equal ``seq`` follow each other by id.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.names import normalise_id
-from ..functions.work import WorkTables
+from ..functions.work import WorkTables, dense_index, small_side
 
 STRUCTURE, SYMBOL, EXTERNAL, UNRESOLVED = range(4)
 NODE_COLUMNS = ("repo", "node_id", "node_type", "external", "seq")
@@ -34,31 +36,84 @@ class Graph:
     edges: DataFrame
 
 
-def seq(rank: int, file_id: Column, stage: Column, pos: Column) -> Column:
+SEQ_TYPE = "struct<class:int,file:bigint,stage:int,pos:bigint>"
+# A candidate as one number: class 1, file 12, stage 4 digits; then pos 11, type 6, origin 1.
+_STAGES, _TYPES = 10**4, 10**6
+_CLASS, _LOWER = 10**16, 10**18
+
+
+def seq(rank: int, file: Column, stage: Column, pos: Column) -> Column:
     return F.struct(
         F.lit(rank).alias("class"),
-        file_id.alias("file_id"),
+        file.cast("bigint").alias("file"),
         stage.cast("int").alias("stage"),
         pos.cast("bigint").alias("pos"),
     )
 
 
+def number_paths(folders: DataFrame, files: DataFrame, work: WorkTables) -> tuple[DataFrame, int]:
+    """(repo, file_id, file): the place of every folder and file among its repository's paths
+    in order, and how many rows that are."""
+    paths = folders.select("repo", F.col("folder").alias("file_id")).unionByName(
+        files.select("repo", "file_id")
+    )
+    numbers = dense_index(paths.distinct(), ["repo"], ["file_id"], "file", work)
+    numbers = work.keep(numbers.select("repo", "file_id", "file"), "path-numbers")
+    return numbers, numbers.count()
+
+
+def with_place(rows: DataFrame, numbers: tuple[DataFrame, int], path: str = "file_id") -> DataFrame:
+    """Rows with the ``file`` number of the path in a column."""
+    table, n = numbers
+    return rows.join(small_side(table.withColumnRenamed("file_id", path), n), ["repo", path])
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def first_wins(candidates: DataFrame) -> DataFrame:
-    """One row per (repo, node_id): the type and origin that came first.
+def first_wins(candidates: DataFrame, work: WorkTables | None = None) -> DataFrame:
+    """One row per (repo, node_id): the type and origin that came first; of those at the
+    same place the smaller type.
 
-    A partial aggregate runs before the shuffle, so an id that a third of all
-    files import arrives as one row per task.
+    Place, type and origin are packed into one number of fixed width whose order is
+    theirs, so that the first one is a plain minimum: it is taken by hash aggregation, a
+    partial one before the shuffle, without sorting candidates, and an id that a third of
+    all files import arrives as one row per task.  Types stand in it by their number.
     """
-    first = F.min(F.struct("seq", "node_type", "external")).alias("first")
-    return (
-        candidates.filter("node_id is not null")
-        .groupBy("repo", normalise_id(F.col("node_id")).alias("node_id"))
-        .agg(first)
-        .select("repo", "node_id", "first.node_type", "first.external", "first.seq")
+    work = work or WorkTables(candidates.sparkSession)
+    types = work.keep(
+        dense_index(
+            candidates.select("node_type").filter("node_type is not null").distinct(),
+            [], ["node_type"], "code", work,
+        ).select("node_type", (F.col("code") + 1).alias("code")),
+        "node-types",
+    )
+    n_types = types.count()
+    if n_types >= _TYPES:
+        raise ValueError(f"more than {_TYPES} node types")
+    coded = candidates.filter("node_id is not null").join(
+        small_side(types, n_types), "node_type", "left"
+    )
+    upper = F.col("seq.class") * _CLASS + F.col("seq.file") * _STAGES + F.col("seq.stage")
+    lower = (
+        F.col("seq.pos") * (_TYPES * 10) + F.coalesce("code", F.lit(0)) * 10
+        + F.coalesce("external", F.lit(False)).cast("int")
+    )
+    key = upper.cast("decimal(17,0)") * F.lit(_LOWER).cast("decimal(19,0)") + lower.cast("decimal(18,0)")
+    first = (
+        coded.groupBy("repo", normalise_id(F.col("node_id")).alias("node_id"))
+        .agg(F.min(key).alias("first"))
+        .withColumn("upper", F.expr(f"first div {_LOWER}BD"))
+        .withColumn("lower", F.expr(f"cast(first % {_LOWER}BD as bigint)"))
+        .withColumn("code", F.expr(f"lower div 10 % {_TYPES}"))
+    )
+    return first.join(small_side(types, n_types), "code", "left").select(
+        "repo", "node_id", "node_type", (F.col("lower") % 10 == 1).alias("external"),
+        F.expr(
+            f"named_struct('class', cast(upper div {_CLASS} as int), 'file', upper % {_CLASS} div {_STAGES}, "
+            f"'stage', cast(upper % {_STAGES} as int), 'pos', lower div {_TYPES * 10})"
+        ).alias("seq"),
     )
 
 
@@ -76,23 +131,25 @@ def distinct_edges(candidates: DataFrame) -> DataFrame:
     )
 
 
-def structure_nodes(folders: DataFrame, file_nodes: DataFrame) -> DataFrame:
+def structure_nodes(
+    folders: DataFrame, file_nodes: DataFrame, numbers: tuple[DataFrame, int]
+) -> DataFrame:
     zero = F.lit(0)
     return _union(
         [
-            folders.select(
+            with_place(folders, numbers, "folder").select(
                 "repo",
                 F.col("folder").alias("node_id"),
                 F.lit("folder").alias("node_type"),
                 F.lit(False).alias("external"),
-                seq(STRUCTURE, F.col("folder"), zero, zero).alias("seq"),
+                seq(STRUCTURE, F.col("file"), zero, zero).alias("seq"),
             ),
-            file_nodes.select(
+            with_place(file_nodes.drop("folder"), numbers, "node_id").select(
                 "repo",
                 "node_id",
                 "node_type",
                 F.lit(False).alias("external"),
-                seq(STRUCTURE, F.col("node_id"), F.lit(1), zero).alias("seq"),
+                seq(STRUCTURE, F.col("file"), F.lit(1), zero).alias("seq"),
             ),
         ]
     )
@@ -113,12 +170,13 @@ def structure_edges(folders: DataFrame, file_nodes: DataFrame) -> DataFrame:
 
 
 def definition_nodes(symbols: DataFrame) -> DataFrame:
+    """Nodes of symbols, which carry their ``file`` number."""
     return symbols.select(
         "repo",
         "node_id",
         "node_type",
         F.lit(False).alias("external"),
-        seq(SYMBOL, F.col("file_id"), F.col("stage"), F.col("pos")).alias("seq"),
+        seq(SYMBOL, F.col("file"), F.col("stage"), F.col("pos")).alias("seq"),
     )
 
 
@@ -132,13 +190,14 @@ def definition_edges(symbols: DataFrame) -> DataFrame:
 
 
 def import_nodes(imports: DataFrame) -> DataFrame:
-    """Nodes of routed imports; only an ``alias`` is internal."""
+    """Nodes of routed imports, which carry their ``file`` number; only an ``alias`` is
+    internal."""
     return imports.filter(~F.col("kind").isin(*NODELESS_KINDS) & (F.col("raw") != "")).select(
         "repo",
         F.col("raw").alias("node_id"),
         F.col("kind").alias("node_type"),
         (F.col("kind") != "alias").alias("external"),
-        seq(EXTERNAL, F.col("file_id"), F.col("stage"), F.col("pos")).alias("seq"),
+        seq(EXTERNAL, F.col("file"), F.col("stage"), F.col("pos")).alias("seq"),
     )
 
 
@@ -202,7 +261,7 @@ def dangling_targets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "node_id",
         F.lit("unresolved").alias("node_type"),
         F.lit(True).alias("external"),
-        seq(UNRESOLVED, F.col("node_id"), F.lit(0), F.lit(0)).alias("seq"),
+        seq(UNRESOLVED, F.lit(0), F.lit(0), F.lit(0)).alias("seq"),
     )
 
 
@@ -213,14 +272,14 @@ def with_dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def build_graph(
     node_rows: DataFrame, edge_rows: DataFrame, work: WorkTables | None = None
 ) -> Graph:
-    """A graph from any node rows (repo, node_id, node_type, external[, seq]) and
+    """A graph from any node rows (repo, node_id, node_type, external[, seq SEQ_TYPE]) and
     edge rows (repo, src, dst, type).  With ``work`` its tables are written, so
     that everything derived from them starts there."""
     if "seq" not in node_rows.columns:
         node_rows = node_rows.withColumn(
-            "seq", seq(STRUCTURE, F.col("node_id"), F.lit(0), F.lit(0))
+            "seq", seq(STRUCTURE, F.lit(0), F.lit(0), F.lit(0))
         )
-    nodes = first_wins(node_rows)
+    nodes = first_wins(node_rows, work)
     edges = distinct_edges(edge_rows)
     if work is None:
         return Graph(with_dangling(nodes, edges), edges)

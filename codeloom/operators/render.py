@@ -37,12 +37,12 @@ def pages_wanted(nodes: DataFrame, mode: str) -> DataFrame:
 
 
 def page_winners(nodes: DataFrame) -> DataFrame:
-    """Of nodes whose ids clean to the same page name, the last one by ``seq``.
+    """Of nodes whose ids clean to the same page name, the last one by ``seq`` and id.
     Settled on names alone, before any page body exists."""
     return (
         nodes.select("repo", "node_id", "seq", page_name(F.col("node_id")).alias("page"))
         .groupBy("repo", "page")
-        .agg(F.max_by("node_id", "seq").alias("node_id"))
+        .agg(F.max_by("node_id", F.struct("seq", "node_id")).alias("node_id"))
     )
 
 

@@ -167,8 +167,7 @@ def route_js_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
         .withColumn("raw", F.coalesce("target", "raw"))
         .filter("raw != ''")
     )
-    columns = ["repo", "file_id", "stage", "pos", "raw", "kind"]
-    return packages.select(*columns).unionByName(internal.select(*columns))
+    return packages.select(*imports.columns).unionByName(internal.select(*imports.columns))
 
 
 def route_imports(imports: DataFrame, files: DataFrame) -> DataFrame:

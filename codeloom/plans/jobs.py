@@ -47,21 +47,23 @@ def scan(
     """
     work = work or WorkTables(files.sparkSession)
     chosen = select_files(files, focus)
-    facts = work.keep(registry.extract_facts(chosen), "facts")
     paths = chosen.select("repo", "file_id", "dir", "name", "ext")
     all_paths = structure.focus_files(
         structure.prune_dirs(files if listing is None else listing), focus
     )
-    folders = structure.folder_paths(all_paths, focus)
+    folders = work.keep(structure.folder_paths(all_paths, focus), "folders")
     file_nodes = structure.file_nodes(paths)
+    numbers = g.number_paths(folders, paths, work)
+    facts = work.keep(g.with_place(registry.extract_facts(chosen), numbers), "facts")
     symbols = symbols_of(facts)
     imports = work.keep(resolve.route_imports(imports_of(facts), paths), "imports")
 
     known = work.keep(
         g.first_wins(
-            g.structure_nodes(folders, file_nodes)
+            g.structure_nodes(folders, file_nodes, numbers)
             .unionByName(g.definition_nodes(symbols))
-            .unionByName(g.import_nodes(imports))
+            .unionByName(g.import_nodes(imports)),
+            work,
         ),
         "known",
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import decoded_path
-from ..operators.graph import Graph
+from ..operators.graph import SEQ_TYPE, Graph
 
 GOD_LIST = "array<struct<node:string,degree:bigint>>"
 METADATA_SCHEMA = (
@@ -63,7 +63,7 @@ def read_documents(spark: SparkSession, path: str) -> tuple[Graph, DataFrame]:
         F.coalesce("n.community", F.lit(-1)).alias("community"),
         F.struct(
             F.lit(0).alias("class"),
-            F.lit("").alias("file_id"),
+            F.lit(0).cast("bigint").alias("file"),
             F.lit(0).alias("stage"),
             F.col("at").cast("bigint").alias("pos"),
         ).alias("seq"),
@@ -112,9 +112,6 @@ def write_export(
     metadata.write.mode("overwrite").partitionBy("mode").format(fmt).save(f"{path}/metadata")
 
 
-SEQ_TYPE = "struct<class:int,file_id:string,stage:int,pos:bigint>"
-
-
 def read_export(
     spark: SparkSession, path: str, mode: str, fmt: str = "parquet"
 ) -> tuple[Graph, DataFrame]:

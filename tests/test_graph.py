@@ -37,15 +37,24 @@ def plain_graph(spark, ids, pairs, node_type="file"):
 
 def test_first_type_stays(spark):
     rows = spark.createDataFrame(
-        [("r", "x", "module", True, 2, "b.py"), ("r", "x", "header", True, 2, "a.c"),
-         ("r", "a\\b", "file", False, 0, "a/b"), ("r", "a/b", "proto", True, 2, "z")],
-        NODE + ", class int, file_id string",
+        [("r", "x", "module", True, 2, 1), ("r", "x", "header", True, 2, 0),
+         ("r", "a\\b", "file", False, 0, 3), ("r", "a/b", "proto", True, 2, 2),
+         ("r", "tie", "b", False, 1, 5), ("r", "tie", "a", True, 1, 5), ("r", "tie", "a", False, 1, 5),
+         ("r", "none", None, True, 1, 5), (None, "x", "far", False, 3, 10**12 - 1)],
+        NODE + ", class int, file bigint",
     ).withColumn(
         "seq",
-        F.struct("class", "file_id", F.lit(0).alias("stage"), F.lit(0).cast("bigint").alias("pos")),
+        F.struct("class", "file", F.lit(7).alias("stage"), F.lit(10**11 - 1).cast("bigint").alias("pos")),
     )
-    got = {r.node_id: (r.node_type, r.external) for r in g.first_wins(rows).collect()}
-    assert got == {"x": ("header", True), "a/b": ("file", False)}
+    found = g.first_wins(rows)
+    got = {(r.repo, r.node_id): (r.node_type, r.external, *r.seq) for r in found.collect()}
+    assert got == {
+        ("r", "x"): ("header", True, 2, 0, 7, 10**11 - 1), ("r", "a/b"): ("file", False, 0, 3, 7, 10**11 - 1),
+        ("r", "tie"): ("a", False, 1, 5, 7, 10**11 - 1), ("r", "none"): (None, True, 1, 5, 7, 10**11 - 1),
+        (None, "x"): ("far", False, 3, 10**12 - 1, 7, 10**11 - 1),
+    }
+    plan = found._jdf.queryExecution().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
 def test_edges_are_cleaned(spark):
