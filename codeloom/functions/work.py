@@ -51,13 +51,25 @@ class WorkTables:
         self.folder = folder or work_folder(spark)
         self._count = 0
         self._turn: dict[str, int] = {}
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
 
     def child(self) -> WorkTables:
         return WorkTables(self.spark, f"{self.folder}/{uuid.uuid4().hex[:12]}")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self._count += 1
-        return written(df, f"{self.folder}/{self._count:04d}-{name}")
+        path = f"{self.folder}/{self._count:04d}-{name}"
+        table = written(df, path)
+        self._paths[id(table)] = (table, path)
+        return table
+
+    def discard(self, *tables: DataFrame) -> None:
+        """Delete written tables of this job that nothing reads any more: whatever was made
+        from them has itself been written."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for table in tables:
+            path = hadoop(self._paths.pop(id(table))[1])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def alternate(self, df: DataFrame, name: str) -> DataFrame:
         turn = self._turn.get(name, 0)
