@@ -7,18 +7,18 @@ values are cut into bands; documents that share a band are candidates.
 Work is done on classes, documents with the same shingle set, of which copies need
 no comparison.  Candidates are confirmed on full sets.  A band's members are first
 compared with one member each, the one that shares bands with most others; only
-where a band still holds several components are the members outside its largest
-component compared with the rest, as far as the shingles that each shares with anyone
-allow a link.  Pairs inside one component are never listed, and no link between
-components is left out.
+where a band still holds several components are its members compared further, by an
+exact prefix filter on their full sets.  Pairs inside one component are never listed, and
+no link between components is left out.
 
 Chance of missing a pair of similarity s: (1 - s^ROWS)^BANDS, 4e-7 at 0.85 and
 5e-5 at 0.8; pairs above are missed less often still, and most are linked through
 third documents.
 
 Defined results: null and empty texts, and texts without words, have no shingles and
-link with nothing; rows that repeat an id are one document; rows without an id are
-left unlinked, with no component; an empty table gives no rows.
+link with nothing; rows that repeat an id are one document, linked with all that any of
+its texts links with; rows without an id are left unlinked, with no component; an empty
+table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.work import WorkTables, join_groups
-from .common import broadcast_if, map_rows, small_batches, text_bytes
+from .common import bounded_batches, broadcast_if, map_rows, text_bytes
 from .components import components
 from .shingles import mix, shingle_set
 
@@ -85,7 +85,6 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 found.append(None)
         return {"id": batch.column(0), "n_shingles": counts, "set_hash": hashes, "bands": found}
 
-    small_batches(docs.sparkSession)
     return map_rows(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")),
         make, "id long, n_shingles long, set_hash binary, bands array<long>",
@@ -116,32 +115,65 @@ def near_duplicates(
     """Per row of ``docs``: id, n_shingles, component (smallest id reachable over links
     of at least ``percent`` similarity; null without an id)."""
     work = work or WorkTables(docs.sparkSession)
-    signed = work.keep(signatures(docs, id_col, text_col), "signatures")
-    linkable = signed.filter("set_hash IS NOT NULL AND id IS NOT NULL")
+    with bounded_batches(docs.sparkSession):
+        signed = work.keep(signatures(docs, id_col, text_col), "signatures")
+    # a class is known by its smallest id; where that id has several texts, by a number
     classes = work.keep(
-        linkable.groupBy("set_hash").agg(
-            F.min("id").alias("rep"), F.first("n_shingles").alias("n"),
+        signed.filter("set_hash IS NOT NULL AND id IS NOT NULL").groupBy("set_hash").agg(
+            F.min("id").alias("first_id"), F.first("n_shingles").alias("n"),
             F.first("bands").alias("bands"), F.count("*").alias("size"),
-        ),
+        ).withColumn("rep", F.monotonically_increasing_id()),
         "classes",
     )
+    rows = work.keep(signed.drop("bands"), "rows")
+    work.discard(signed)
     members = _members(classes, work)
-    edges = _links(docs, classes, members, percent, id_col, text_col, work)
-    labels = work.keep(components(edges, work), "labels")
-    named = work.keep(
-        classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "set_hash", "size", F.coalesce("label", "rep").alias("component")
-        ),
+    named = work.keep(classes.select("set_hash", "rep", "first_id", "size"), "names")
+    work.discard(classes)
+    edges = _links(docs, named, members, percent, id_col, text_col, work)
+    labels = components(_with_shared_ids(edges, rows, named, work), work)
+    labelled = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "label", F.coalesce("label", "rep")
+    )
+    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component"))
+    total = rows.count()
+    sizes = labelled.groupBy("label").agg(F.count("*").alias("classes"))
+    named_by = work.keep(
+        join_groups(
+            labelled.select("set_hash", "size", "label"),
+            work.keep(smallest.join(sizes, "label"), "components"), "label", "classes", total,
+        ).select("set_hash", "size", "component"),
         "named",
     )
-    total = signed.count()
-    linked = join_groups(linkable.drop("bands"), named, "set_hash", "size", total)
-    alone = signed.filter("set_hash IS NULL OR id IS NULL")
+    linked = join_groups(
+        rows.filter("set_hash IS NOT NULL AND id IS NOT NULL"), named_by, "set_hash", "size", total
+    )
+    alone = rows.filter("set_hash IS NULL OR id IS NULL")
     return linked.select("id", "n_shingles", "component").unionByName(
         alone.select("id", "n_shingles", F.col("id").alias("component"))
     )
 
 
+def _with_shared_ids(edges, rows, named, work) -> DataFrame:
+    """``edges`` and links between the classes of an id that repeats with different texts:
+    its rows are one document."""
+    repeated = (
+        rows.filter("set_hash IS NOT NULL AND id IS NOT NULL").groupBy("id")
+        .agg(F.count("*").alias("n_rows")).filter("n_rows > 1").select("id")
+    )
+    repeated = work.keep(
+        rows.join(repeated, "id", "left_semi").filter("set_hash IS NOT NULL")
+        .select("id", "set_hash").distinct(),
+        "repeated-ids",
+    )
+    classes = repeated.join(named.select("set_hash", "rep"), "set_hash").select("id", "rep")
+    least = classes.groupBy("id").agg(F.min("rep").alias("a"))
+    return work.keep(
+        edges.unionByName(classes.withColumnRenamed("rep", "b").join(least, "id").filter("a <> b").select("a", "b")),
+        "all-links",
+    )
+
+
 def _members(classes: DataFrame, work: WorkTables) -> DataFrame:
     """(band, rep, n, band_size) of bands that hold at least two classes."""
     rows = classes.select("rep", "n", F.explode("bands").alias("band"))
@@ -151,8 +183,8 @@ def _members(classes: DataFrame, work: WorkTables) -> DataFrame:
     return work.keep(rows.join(sizes, "band"), "members")
 
 
-def _links(docs, classes, members, percent, id_col, text_col, work) -> DataFrame:
-    sets = _needed_sets(docs, classes, members, id_col, text_col, work)
+def _links(docs, named, members, percent, id_col, text_col, work) -> DataFrame:
+    sets = _needed_sets(docs, named, members, id_col, text_col, work)
     hub = work.keep(
         members.join(
             members.groupBy("rep").agg(F.sum("band_size").alias("shared")), "rep"
@@ -164,64 +196,91 @@ def _links(docs, classes, members, percent, id_col, text_col, work) -> DataFrame
     )
     first = _pairs(members.join(hub, "band"), percent)
     edges = work.keep(_confirmed(first, sets, percent, work, "hub-pairs"), "hub-links")
-    return work.keep(
-        edges.unionByName(_rest(members, classes, edges, sets, percent, work)).distinct(), "links"
+    links = work.keep(
+        edges.unionByName(_rest(members, edges, sets, percent, work)).distinct(), "links"
     )
+    work.discard(sets, members, hub, edges)
+    return links
 
 
-def _rest(members, classes, edges, sets, percent, work) -> DataFrame:
-    """Links between components that share a band, once hubs have been compared.  A pair
-    is listed in the first of its bands only."""
+def _rest(members, edges, sets, percent, work) -> DataFrame:
+    """Links between components that share a band, once hubs have been compared.
+
+    In a crowd of texts that share a template, nearly all share bands though few are
+    similar enough.  So the sets of those left are compared by prefix: with shingles in
+    the order of how few of them hold one, two sets reach the similarity only if their
+    first n - percent * n + 1 shingles meet.  These are what sets a text apart from its
+    template, so that pairs which have just the template in common are never listed.
+    The filter is exact.
+    """
     labels = components(edges, work).withColumnRenamed("node", "rep")
     placed = work.keep(
         members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")),
         "placed",
     )
-    counts = placed.groupBy("band", "label").agg(F.count("*").alias("here"))
+    mixed = placed.groupBy("band").agg(
+        F.min("label").alias("low"), F.max("label").alias("high")
+    ).filter("low <> high").select("band")
+    crowd = work.keep(
+        placed.join(mixed, "band", "left_semi").select("rep", "n", "label").distinct(), "crowd"
+    )
+    work.discard(placed)
+    prefixes = work.keep(_prefixes(crowd, sets, percent, work), "prefixes")
+    counts = prefixes.groupBy("shingle", "label").agg(F.count("*").alias("here"))
     largest = work.keep(
-        counts.groupBy("band")
+        counts.groupBy("shingle")
         .agg(F.max(F.struct("here", "label")).alias("top"), F.count("*").alias("n_labels"))
         .filter("n_labels > 1")
-        .select("band", F.col("top.label").alias("largest")),
+        .select("shingle", F.col("top.label").alias("largest")),
         "largest",
     )
-    open_bands = _linkable(placed.join(largest, "band"), sets, percent, work)
-    open_bands = work.keep(open_bands.join(classes.select("rep", "bands"), "rep"), "open-members")
-    outside = open_bands.filter("label <> largest").select(
-        "band", F.col("rep").alias("other"), F.col("n").alias("other_n"),
-        F.col("label").alias("other_label"), F.col("shareable").alias("other_shareable"),
-        F.col("bands").alias("other_bands"),
+    open_ = work.keep(prefixes.join(largest, "shingle"), "open")
+    work.discard(prefixes)
+    outside = open_.filter("label <> largest").select(
+        "shingle", F.col("rep").alias("other"), F.col("n").alias("other_n"),
+        F.col("label").alias("other_label"), F.col("place").alias("other_place"),
     )
-    common = F.least("shareable", "other_shareable")
-    first = F.array_min(F.array_intersect("bands", "other_bands")) == F.col("band")
     # of two outsiders the larger number asks
     once = (F.col("label") == F.col("largest")) | (F.col("rep") < F.col("other"))
+    # what two sets can have in common from this shingle on
+    most = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+    total = F.col("n") + F.col("other_n")
     pairs = _pairs(
-        open_bands.join(outside, "band").filter(
-            (F.col("label") != F.col("other_label")) & once
-            & (common * 100 >= (F.col("n") + F.col("other_n") - common) * percent)
-            & first
+        open_.join(outside, "shingle").filter(
+            (F.col("label") != F.col("other_label")) & once & (most * (100 + percent) >= total * percent)
         ),
         percent,
     )
-    return _confirmed(pairs, sets, percent, work, "rest-pairs")
-
-
-def _linkable(members, sets, percent, work) -> DataFrame:
-    """Members with ``shareable``, how many of their shingles any other member has, without
-    those that this alone keeps from linking.  It bounds what a pair has in common, so
-    that pairs of texts with many edits of their own need not be listed."""
-    members = work.keep(members, "open-bands")
-    own = (
-        sets.join(members.select("rep").distinct(), "rep", "left_semi")
-        .select("rep", F.explode("shingles").alias("shingle"))
-        .groupBy("shingle").agg(F.min("rep").alias("rep"), F.count("*").alias("holders"))
-        .filter("holders = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    found = work.keep(_confirmed(pairs, sets, percent, work, "rest-pairs"), "rest-links")
+    work.discard(open_)
+    return found
+
+
+def _prefixes(crowd, sets, percent, work) -> DataFrame:
+    """(shingle, rep, n, label, place): each set's first shingles, the rarest in the crowd
+    first, without those that no other set has; ``place`` counts from 0."""
+    tokens = work.keep(
+        sets.join(crowd.select("rep"), "rep", "left_semi").select("rep", F.explode("shingles").alias("shingle")),
+        "crowd-shingles",
+    )
+    holders = work.keep(
+        tokens.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1"), "holders"
+    )
+    # a shingle of its own stands first, and need not be carried along
+    shared = tokens.join(holders, "shingle").groupBy("rep").agg(
+        F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("shared")
     )
-    kept = members.join(own, "rep", "left").withColumn(
-        "shareable", F.col("n") - F.coalesce("own", F.lit(0))
+    length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    own = F.col("n") - F.size("shared")
+    found = work.keep(
+        crowd.join(shared, "rep").filter(own < length).select(
+            "rep", "n", "label", own.alias("own"),
+            F.posexplode(F.slice("shared", F.lit(1), (length - own).cast("int"))).alias("at", "token"),
+        ).select(F.col("token.shingle").alias("shingle"), "rep", "n", "label", (F.col("own") + F.col("at")).alias("place")),
+        "first-shingles",
     )
-    return work.keep(kept.filter(F.col("shareable") * 100 >= F.col("n") * percent).drop("own"), "linkable")
+    work.discard(tokens, holders)
+    return found
 
 
 def _pairs(joined: DataFrame, percent: int) -> DataFrame:
@@ -232,21 +291,23 @@ def _pairs(joined: DataFrame, percent: int) -> DataFrame:
     ).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
-def _needed_sets(docs, classes, members, id_col, text_col, work) -> DataFrame:
-    """Full shingle sets of the classes that share a band with another."""
+def _needed_sets(docs, named, members, id_col, text_col, work) -> DataFrame:
+    """(rep, shingles): full shingle sets of the classes that share a band with another."""
     needed = work.keep(
-        members.select("rep").distinct().join(classes.select("rep", "set_hash"), "rep"), "needed"
+        members.select("rep").distinct().join(named.select("rep", "first_id", "set_hash"), "rep")
+        .select("rep", F.col("first_id").alias("id"), "set_hash"),
+        "needed",
     )
     n = needed.count()
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
-        broadcast_if(needed.select(F.col("rep").alias("_id")), n), "_id", "left_semi"
-    )
-    sets = shingle_sets(chosen, "_id", "_text").withColumnRenamed("id", "rep")
-    return work.keep(
-        sets.join(broadcast_if(needed, n), ["rep", "set_hash"]).dropDuplicates(["rep"])
-        .select("rep", "shingles"),
-        "sets",
+    chosen = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(
+        broadcast_if(needed.select(F.col("id").alias("_id")).distinct(), n), "_id", "left_semi"
     )
+    with bounded_batches(docs.sparkSession):
+        return work.keep(
+            shingle_sets(chosen, "_id", "_text").join(broadcast_if(needed, n), ["id", "set_hash"])
+            .dropDuplicates(["rep"]).select("rep", "shingles"),
+            "sets",
+        )
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, work: WorkTables, name: str) -> DataFrame:
@@ -269,6 +330,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, work: WorkTables
         ),
         f"{name}-turned",
     )
+    work.discard(pairs, used)
     met = turned.join(
         sets.select(F.col("rep").alias("rare"), F.col("shingles").alias("rare_set")), "rare"
     ).join(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("hub_set")), "hub")

@@ -92,3 +92,46 @@ def test_words_split_at_ascii_white_space_only():
     assert len(shingle_set("a b c\x0bd\x1ce f".encode())) == 1
     assert len(shingle_set("Éa b c d e f".encode())) == 2
     assert list(shingle_set(b"A B c")) == list(shingle_set(b"a b\tC"))
+
+
+def test_an_id_with_several_texts_links_with_all_that_they_link_with(make_docs):
+    rng = random.Random(5)
+    a, b, c = (" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(99)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a + " q"), (1, b + " q"), (2, a), (3, b), (4, c), (5, c + " q"), (4, b)]
+    got = sorted((r.id, r.component) for r in minmax.near_duplicates(make_docs(rows)).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 1), (5, 1)]
+
+
+@pytest.mark.parametrize("edits, percent", [(4, 85), (5, 80)])
+def test_a_crowd_on_one_template_is_not_compared_pair_by_pair(make_docs, monkeypatch, edits, percent):
+    rng = random.Random(edits)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = {}
+    for i in range(150):
+        text = list(base)
+        for at in rng.sample(range(200), edits):
+            text[at] = f"own{i}x{at}"
+        rows[i] = " ".join(text)
+    rows[200] = rows[7] + " end"  # links with 7 only
+    asked = {}
+    confirmed = minmax._confirmed
+
+    def spy(pairs, sets, percent, work, name):
+        asked[name] = pairs.count()
+        return confirmed(pairs, sets, percent, work, name)
+
+    monkeypatch.setattr(minmax, "_confirmed", spy)
+    assert found(make_docs(rows), percent) == brute(rows.items(), percent)
+    assert asked["rest-pairs"] < 2 * 150  # of 11,175
+
+
+def test_columns_of_any_name_may_stand_beside(spark, make_docs, tmp_path):
+    rows = corpus(3)
+    path = str(tmp_path / "wide")
+    names = ["_file", "_row", "id", "rep", "band", "_id", "_text", "_gone", "set_hash", "n"]
+    make_docs(rows).selectExpr("*", *[f"'x' AS {n}" for n in names]).write.parquet(path)
+    docs = spark.read.parquet(path)
+    assert found(docs) == brute(rows.items(), 80)
+    kept = minmax.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {c for _, _, c in brute(rows.items(), 80)}
