@@ -63,6 +63,10 @@ class WorkTables:
         self._paths[id(table)] = (table, path)
         return table
 
+    def path(self, table: DataFrame) -> str:
+        """Where a table that ``keep`` returned lies."""
+        return self._paths[id(table)][1]
+
     def discard(self, *tables: DataFrame) -> None:
         """Delete written tables of this job that nothing reads any more: whatever was made
         from them has itself been written."""
