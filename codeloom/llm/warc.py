@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from ..functions.work import WorkTables
 from .common import broadcast_if, small_batches
 
@@ -71,18 +72,21 @@ def records(pages: DataFrame, work: WorkTables) -> DataFrame:
 
 def chunk_starts(payload: Column, size: int) -> Column:
     """Start positions (from 1) of a payload's chunks: every ``size`` bytes, and inside
-    every version mark.  An empty payload has one empty chunk."""
+    every version mark.  An empty payload has one empty chunk.  Marks are looked for chunk
+    by chunk; one that a chunk's end cuts is cut already."""
     regular = F.sequence(F.lit(1), F.greatest(F.octet_length(payload), F.lit(1)), F.lit(size))
-    parts = F.split(payload.cast("string"), VERSION.replace(".", r"\."), -1)
-    marks = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda i: F.aggregate(
-            F.slice(parts, 1, i), F.lit(0),
-            lambda total, part: total + F.octet_length(part) + len(VERSION),
-        ) - len(VERSION) + 3,
-    )
-    has_marks = payload.cast("string").contains(VERSION)
-    return F.when(has_marks, F.array_sort(F.array_distinct(F.concat(regular, marks)))).otherwise(regular)
+    mark, length = F.lit(VERSION).cast("binary"), len(VERSION)
+
+    def cuts(start: Column) -> Column:
+        chunk = F.substring(payload, start, F.lit(size))
+        last = start + F.octet_length(chunk) - length
+        places = F.filter(
+            F.sequence(start, last), lambda at: F.substring(payload, at, F.lit(length)) == mark
+        )
+        inside = F.when(F.contains(chunk, mark), F.transform(places, lambda at: at + 2))
+        return F.concat(F.array(start), F.coalesce(inside, F.array().cast("array<int>")))
+
+    return F.when(F.contains(payload, mark), F.flatten(F.transform(regular, cuts))).otherwise(regular)
 
 
 def chunk_table(rows: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
@@ -90,7 +94,9 @@ def chunk_table(rows: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     and one row without data for each revisit."""
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.withColumn("rec", F.monotonically_increasing_id()).withColumn("revisit", revisit)
-    starts = F.when(revisit, F.array(F.lit(1))).otherwise(chunk_starts(F.col("payload"), size))
+    starts = F.when(revisit, F.array(F.lit(1))).otherwise(
+        bind(F.col("payload"), lambda payload: chunk_starts(payload, size))
+    )
     rows = rows.withColumn("starts", starts)
     rows = rows.select("*", F.posexplode("starts").alias("at", "start"))
     end = F.coalesce(F.get("starts", F.col("at") + 1), F.lit(2**31 - 1))

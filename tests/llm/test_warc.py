@@ -76,3 +76,15 @@ def test_repeated_rows_missing_ids_and_empty_table(spark):
         ("None", "response", "None"), ("None", "revisit", "1"),
     ]
     assert round_trip(spark, [], 64)[1] == []
+
+
+def test_a_payload_full_of_version_marks_takes_seconds(spark, tmp_path):
+    import time
+
+    rows = [(1, "http://a", "WARC/1.1" * 60_000), (2, "http://b", "x" * 65_533 + "WARC/1.1é" * 3), (3, "http://c", "WARC/1.")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    start = time.time()
+    warc.write_archives(pages, str(tmp_path / "marks"))
+    got = {r.page_id: r for r in warc.read_records(spark, str(tmp_path / "marks")).collect()}
+    assert all(got[i].verified and got[i].payload_bytes == len(html.encode()) for i, _, html in rows)
+    assert time.time() - start < 60
