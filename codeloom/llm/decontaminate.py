@@ -5,8 +5,11 @@
    document, the positions of anchor words.
 3. Posting lists are shifted by the anchors' places in their item; where two anchors
    of an item agree on where it would start, the document is read again and every
-   word compared there.  Anchors that agree only within some words are proximity
-   matches.
+   word compared there.  Where they agree within some words, it is a proximity match if
+   all words of a window stand there in any order.  Exact matches are proximity matches.
+4. A term that stands very often both in a document and in an item is not shifted, which
+   would list every pair of places; there the document is searched for the item's windows
+   in one pass, and exact matches alone count as near.
 
 The benchmark is worked in blocks of bounded size, each met by all documents; what
 the tasks get of it (vocabulary, anchors, item words) is one block's.
@@ -16,12 +19,12 @@ Words are runs of letters, digits and non-ASCII characters, lower-cased in A-Z.
 Defined results: null text has no words and is neither hit nor hits; an item shorter
 than a window is one window; repeated items count once per item_id, and an item
 without an id can be hit but not be named; rows that repeat a doc_id are searched
-each for itself; an empty benchmark hits nothing; an empty table gives no rows.
+each for itself; an empty benchmark hits nothing; an empty table gives no rows; other
+columns may have any names.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,12 +34,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.work import WorkTables
-from .common import broadcast_if, filed, located, map_rows, small_batches, text_bytes
+from .common import (
+    broadcast_if, filed, item_blocks, map_rows, placed_rows, rows_except, small_batches, text_bytes,
+)
 
 WINDOW = 10
 ANCHORS = 2
 SLOP = 3
-BLOCK_BYTES = 16 << 20
+# Bytes of benchmark text, give or take some items, that the tasks get at a time.
+BLOCK_BYTES = 4 << 20
+BLOCK_ITEMS = 16
+# Shifted posting lists are listed up to so many times the lists' own length.
+DENSE = 4
 
 _AS_SPACE = bytes(
     c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)
@@ -84,14 +93,32 @@ class Block:
             run = 0
         return hits
 
+    def everywhere(self, tokens: list[bytes], item: int) -> list[int]:
+        """Places of the document inside any occurrence of a window of the item."""
+        words, hits = self.words[item], set()
+        width = min(WINDOW, len(words))
+        windows = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+        for at in range(len(tokens) - width + 1):
+            if tuple(tokens[at : at + width]) in windows:
+                hits.update(range(at, at + width))
+        return sorted(hits)
+
+    def stands_near(self, tokens: list[bytes], item: int, start: int, place: int, slop: int) -> bool:
+        """Whether all words of a window over ``place`` stand, in any order, at most ``slop``
+        words before or behind where an item that lies at ``start`` has it."""
+        words = self.words[item]
+        width = min(WINDOW, len(words))
+        for at in range(max(0, place - width + 1), min(place, len(words) - width) + 1):
+            span = tokens[max(0, start + at - slop) : max(0, start + at + width + slop)]
+            if not Counter(words[at : at + width]) - Counter(span):
+                return True
+        return False
 
-def _blocks(bench: DataFrame) -> Iterator[Block]:
-    bench = bench.select("item_id", "text")
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / BLOCK_BYTES))
-    for i in range(n):
-        rows = bench.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i) if n > 1 else bench
-        yield Block(rows.collect())
+
+def _blocks(bench: DataFrame, work: WorkTables) -> Iterator[Block]:
+    blocks, n = item_blocks(bench, "item_id", "text", work, BLOCK_BYTES, BLOCK_ITEMS)
+    for i in range(max(1, n)):
+        yield Block(blocks.filter(F.col("block") == i).select("item_id", "text").collect())
 
 
 def _frequencies(rows: DataFrame, block: Block) -> dict[int, int]:
@@ -137,24 +164,33 @@ def positional_index(rows: DataFrame, block: Block, anchors: list) -> DataFrame:
     )
 
 
-def alignments(index: DataFrame, anchors: list) -> DataFrame:
-    """Posting lists shifted to where the item would start in the document."""
-    places = F.broadcast(
-        index.sparkSession.createDataFrame(
-            anchors, "term int, item int, place int, needed int"
-        )
+def alignments(index: DataFrame, anchors: list) -> tuple[DataFrame, DataFrame]:
+    """Posting lists shifted to where the item would start in the document, and the
+    (_file, _row, item) for which they are not: where a term stands so often in both that
+    its shifted lists would be much longer than the lists themselves."""
+    spark = index.sparkSession
+    places = spark.createDataFrame(anchors, "term int, item int, place int, needed int")
+    by_item = places.groupBy("term", "item").agg(
+        F.collect_list("place").alias("places"), F.first("needed").alias("needed")
     )
-    return (
+    met = (
         index.select("_file", "_row", F.explode("postings").alias("p"))
-        .select("_file", "_row", "p.term", F.explode("p.at").alias("at"))
-        .join(places, "term")
-        .select("_file", "_row", "item", "place", "needed", (F.col("at") - F.col("place")).alias("start"))
+        .select("_file", "_row", "p.term", "p.at")
+        .join(broadcast_if(by_item, len(anchors)), "term")
     )
-
-
-def near_items(aligned: DataFrame, slop: int = SLOP) -> DataFrame:
-    """(_file, _row, item) where two different anchors are at most ``slop`` words off
-    the distance that they have in the item."""
+    here, there = F.size("at"), F.size("places")
+    often = here * there > DENSE * (here + there)
+    listed = met.filter(~often).select("_file", "_row", "item", "needed", "places", F.explode("at").alias("at"))
+    return listed.select(
+        "_file", "_row", "item", "needed", "at", F.explode("places").alias("place")
+    ).select("_file", "_row", "item", "place", "needed", (F.col("at") - F.col("place")).alias("start")), met.filter(
+        often
+    ).select("_file", "_row", "item").distinct()
+
+
+def near_starts(aligned: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(_file, _row, item, start, place) where two different anchors are at most ``slop``
+    words off the distance that they have in the item."""
     order = W.partitionBy("_file", "_row", "item").orderBy("start", "place")
     return (
         aligned.select(
@@ -163,36 +199,53 @@ def near_items(aligned: DataFrame, slop: int = SLOP) -> DataFrame:
             F.lag("place").over(order).alias("other"),
         )
         .filter((F.col("needed") == 1) | ((F.col("start") - F.col("before") <= slop) & (F.col("place") != F.col("other"))))
-        .select("_file", "_row", "item").distinct()
+        .select("_file", "_row", "item", "start", "place")
     )
 
 
-def _verified(rows: DataFrame, found: DataFrame, block: Block) -> DataFrame:
-    """Per candidate document: its place, the hit positions, the ids of items found."""
+def _verified(
+    rows: DataFrame, starts: DataFrame, near: DataFrame, dense: DataFrame, block: Block, slop: int
+) -> DataFrame:
+    """Per candidate document: its place, the hit positions, the ids of items found, and how
+    many items are near."""
     shared = rows.sparkSession.sparkContext.broadcast(block)
-    n = found.count()
-    per_row = found.groupBy("_file", "_row").agg(
-        F.collect_list(F.struct("item", "start")).alias("starts")
+    none = F.lit(None).cast("int")
+    found = (
+        starts.select("_file", "_row", F.struct("item", "start", none.alias("place")).alias("c"))
+        .unionByName(near.select("_file", "_row", F.struct("item", "start", "place").alias("c")))
+        .unionByName(dense.select("_file", "_row", F.struct("item", none.alias("start"), none.alias("place")).alias("c")))
     )
+    per_row = found.groupBy("_file", "_row").agg(F.collect_list("c").alias("candidates"))
+    n = starts.count() + near.count() + dense.count()
     joined = rows.join(broadcast_if(per_row, n), ["_file", "_row"]).select(
-        "_file", "_row", "_text", "starts"
+        "_file", "_row", "_text", "candidates"
     )
 
     def make(batch: pa.RecordBatch) -> dict[str, list]:
-        block, all_hits, all_items = shared.value, [], []
-        for text, starts in zip(text_bytes(batch.column(2)), batch.column(3).to_pylist()):
-            words, hits, items = words_of(text), set(), set()
-            for s in starts:
-                if places := block.occurrence(words, s["item"], s["start"]):
+        block, all_hits, all_items, all_near = shared.value, [], [], []
+        for text, candidates in zip(text_bytes(batch.column(2)), batch.column(3).to_pylist()):
+            words, hits, items, near = words_of(text), set(), set(), set()
+            for c in candidates:
+                item, start, place = c["item"], c["start"], c["place"]
+                if place is not None:
+                    if item not in near and block.stands_near(words, item, start, place, slop):
+                        near.add(item)
+                    continue
+                places = block.everywhere(words, item) if start is None else block.occurrence(words, item, start)
+                if places:
                     hits.update(places)
-                    items.add(block.ids[s["item"]])
+                    items.add(item)
             all_hits.append(sorted(hits))
-            all_items.append(sorted(items - {None}))
+            all_items.append(sorted({block.ids[i] for i in items} - {None}))
+            all_near.append(len(near | items))
         return {
             "_file": batch.column(0), "_row": batch.column(1), "hits": all_hits, "items": all_items,
+            "n_near": all_near,
         }
 
-    return map_rows(joined, make, "_file string, _row long, hits array<int>, items array<string>")
+    return map_rows(
+        joined, make, "_file string, _row long, hits array<int>, items array<string>, n_near long"
+    )
 
 
 def contamination(
@@ -204,34 +257,34 @@ def contamination(
     spark = docs.sparkSession
     small_batches(spark)
     work = work or WorkTables(spark)
-    rows = located(filed(docs, work)).select(
-        "_file", "_row", F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")
-    )
-    exact, near, index = None, None, None
-    for i, block in enumerate(_blocks(bench)):
+    rows = placed_rows(
+        filed(docs, work), _id=F.col(id_col).cast("long"), _text=F.col(text_col)
+    ).select(F.col("file").alias("_file"), F.col("row").alias("_row"), "_id", "_text")
+    exact, index = None, None
+    for i, block in enumerate(_blocks(bench, work)):
         anchors = list(block.anchors(_frequencies(rows, block)))
         stored = work.keep(positional_index(rows, block, anchors), f"index-{i}")
         index = index or stored
-        aligned = work.keep(alignments(stored, anchors), f"alignments-{i}")
+        listed, dense = alignments(stored, anchors)
+        aligned, dense = work.keep(listed, f"alignments-{i}"), work.keep(dense, f"dense-{i}")
         starts = work.keep(
             aligned.groupBy("_file", "_row", "item", "start")
             .agg(F.count("*").alias("n"), F.max("needed").alias("needed"))
             .filter("n >= needed").select("_file", "_row", "item", "start"),
             f"starts-{i}",
         )
-        found = work.keep(_verified(rows, starts, block), f"found-{i}")
-        close = near_items(aligned, slop).groupBy("_file", "_row").agg(F.count("*").alias("n_near"))
+        near = work.keep(near_starts(aligned, slop), f"near-{i}")
+        found = work.keep(_verified(rows, starts, near, dense, block, slop), f"found-{i}")
         exact = found if exact is None else exact.unionByName(found)
-        near = close if near is None else near.unionByName(close)
     hits = exact.groupBy("_file", "_row").agg(
         F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.sum("n_near").alias("n_near"),
     )
-    near = near.groupBy("_file", "_row").agg(F.sum("n_near").alias("n_near"))
     none = F.array()
     return (
         index.drop("postings")
-        .join(hits, ["_file", "_row"], "left").join(near, ["_file", "_row"], "left")
+        .join(hits, ["_file", "_row"], "left")
         .select(
             F.col("_id").alias("id"), F.col("_file").alias("file"), F.col("_row").alias("row"),
             "n_words",
@@ -248,12 +301,5 @@ def drop_contaminated(
     """The rows of ``docs`` without any hit, with their own columns."""
     work = WorkTables(docs.sparkSession)
     docs = filed(docs, work)
-    gone = work.keep(
-        contamination(docs, bench, id_col, text_col, work=work).filter(F.size("hits") > 0)
-        .select(F.col("file").alias("_file"), F.col("row").alias("_row")),
-        "gone",
-    )
-    return (
-        located(docs).join(broadcast_if(gone, gone.count()), ["_file", "_row"], "left_anti")
-        .select(*docs.columns)
-    )
+    found = contamination(docs, bench, id_col, text_col, work=work).filter(F.size("hits") > 0)
+    return rows_except(docs, work.keep(found.select("file", "row"), "gone"))

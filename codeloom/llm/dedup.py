@@ -11,7 +11,8 @@ stream meet the state of earlier ones.  The state holds no texts.
 
 Defined results: null text is the empty text, and equal to it; rows without an
 identifier come after all others; rows that repeat identifier and text are
-copies of which the first by locator stays; an empty table gives no rows.
+copies of which the first by locator stays; an empty table gives no rows; other columns
+may have any names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.work import WorkTables, join_groups
-from .common import broadcast_if, filed, located
+from .common import broadcast_if, filed, placed_rows, rows_except
 
 SPACES = r"[\x20\x09-\x0D]+"
 FILES_PER_TRIGGER = 4096
@@ -103,8 +104,8 @@ def exact_groups(
     """Per row of ``docs``: id, file, row (its place), keep_id, group_size, kept, digest."""
     spark = docs.sparkSession
     work = work or WorkTables(spark)
-    rows = located(filed(docs, work)).select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), "_file", "_row"
+    rows = placed_rows(filed(docs, work), _id=F.col(id_col), _text=F.col(text_col)).withColumnsRenamed(
+        {"file": "_file", "row": "_row"}
     )
     prints = work.keep(fingerprints(rows, digest), "fingerprints")
     total = prints.count()
@@ -112,7 +113,7 @@ def exact_groups(
         return prints.select(*_result(F.col("keeper"), F.lit(0).cast("long")))
     base = f"{work.folder}/stream"
     state = work.keep(
-        stream_state(spark, prints.inputFiles()[0].rsplit("/", 1)[0], f"{base}/state",
+        stream_state(spark, work.path(prints), f"{base}/state",
                      f"{base}/updates", files),
         "keepers",
     ).withColumnRenamed("keeper", "first")
@@ -163,11 +164,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     work = WorkTables(docs.sparkSession)
     docs = filed(docs, work)
     groups = work.keep(exact_groups(docs, id_col, text_col, work=work), "groups")
-    gone = groups.filter(~F.col("kept")).select(
-        F.col("file").alias("_file"), F.col("row").alias("_row")
-    )
-    n = gone.count()
-    return (
-        located(docs).join(broadcast_if(gone, n), ["_file", "_row"], "left_anti")
-        .select(*docs.columns)
-    )
+    return rows_except(docs, groups.filter(~F.col("kept")))

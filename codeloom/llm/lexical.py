@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.work import WorkTables, dense_index
-from .common import arrow_schema, bounded_batches, broadcast_if, filed, placed_rows, text_bytes
+from ..functions.work import WorkTables
+from .common import arrow_schema, bounded_batches, broadcast_if, filed, item_blocks, placed_rows, text_bytes
 from .shingles import mix, word_numbers
 
 BEST = 20
@@ -350,28 +350,6 @@ def _first(rows: DataFrame, best: int, salt: str, *ties: str) -> DataFrame:
     return few.drop("_salt").withColumn("rank", F.row_number().over(over)).filter(F.col("rank") <= best)
 
 
-def item_blocks(items: DataFrame, key: str, text: str, work: WorkTables) -> tuple[DataFrame, int]:
-    """(item_id, text, block), blocks of about ITEM_BYTES, and how many blocks there are."""
-    rows = items.select(
-        F.col(key).alias("item_id"), F.col(text).alias("text"),
-        F.octet_length(F.coalesce(F.col(text), F.lit(""))).alias("bytes"),
-    ).withColumn("_at", F.monotonically_increasing_id())
-    placed = work.keep(dense_index(work.keep(rows, "item-rows"), [], ["item_id", "_at"], "place", work), "items")
-    chunk = F.floor(F.col("place") / ITEM_CHUNK)
-    # a row per ITEM_CHUNK items
-    sums = placed.groupBy(chunk.alias("chunk")).agg(F.sum("bytes").alias("bytes"))
-    before = F.sum("bytes").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
-    numbered = sums.select(
-        "chunk", F.floor(F.coalesce(before, F.lit(0)) / ITEM_BYTES).alias("block")
-    )
-    blocks = work.keep(
-        placed.withColumn("chunk", chunk).join(numbered, "chunk").select("item_id", "text", "block", "place"),
-        "item-blocks",
-    )
-    last = blocks.agg(F.max("block")).first()[0]
-    return blocks, 0 if last is None else last + 1
-
-
 def search(
     docs: DataFrame, items: DataFrame, best: int = BEST, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", work: WorkTables | None = None,
@@ -380,7 +358,7 @@ def search(
     spark = docs.sparkSession
     work = work or WorkTables(spark)
     placed = placed_rows(filed(docs, work), id=F.col(id_col).cast("long"), text=F.col(text_col))
-    blocks, n_blocks = item_blocks(items, item_col, item_text_col, work)
+    blocks, n_blocks = item_blocks(items, item_col, item_text_col, work, ITEM_BYTES, ITEM_CHUNK)
     item_type = blocks.schema["item_id"].dataType.simpleString()
     with bounded_batches(spark):
         index = work.keep(build_index(placed), "index")

@@ -10,7 +10,7 @@ At most TRAIN_ROWS labelled rows, chosen by a hash of their id, are learnt from.
 
 Defined results: null text is the empty text, all of whose statistics are 0, and is
 scored like any other; with no labelled row every score is 0.5; rows that repeat an
-id are scored each for itself; labels that repeat an id or are null are left out or
+id are scored each for itself; a row without an id is not held out and teaches nothing; labels that repeat an id or are null are left out or
 counted as they stand; an empty table gives no rows.
 """
 

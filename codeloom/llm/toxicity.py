@@ -13,8 +13,8 @@ labelled rows, chosen by a hash of their id, are learnt from, and at most TERMS
 are kept.
 
 Defined results: null and empty texts have no terms; with no labelled row the seed
-terms and a fixed curve score; rows that repeat an id are scored each for itself; an
-empty table gives no rows.
+terms and a fixed curve score; rows that repeat an id are scored each for itself; a row
+without an id is not held out and teaches nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations

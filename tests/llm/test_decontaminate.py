@@ -85,3 +85,54 @@ def test_proximity_allows_words_between(spark, make_docs):
     })
     rows = decontaminate.contamination(docs, make_bench(spark, [(1, item)])).collect()
     assert {r.id: (len(r.hits), r.n_near) for r in rows} == {1: (10, 1), 2: (0, 1), 3: (0, 0), 4: (0, 0)}
+
+
+def wide(spark, docs, path):
+    names = ["_file", "_row", "file", "row", "file0", "row0", "id", "_id", "_text", "digest", "keeper", "items"]
+    docs.selectExpr("*", *[f"'x' AS {n}" for n in names]).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_columns_of_any_name_may_stand_beside(spark, make_docs, tmp_path):
+    docs, items = case(3)
+    table, bench = wide(spark, make_docs(docs), str(tmp_path / "wide")), make_bench(spark, items)
+    expected = brute(docs.items(), items)
+    assert search(table, bench) == expected
+    kept = decontaminate.drop_contaminated(table, bench)
+    assert kept.columns == table.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, _, hits, _ in expected if not hits}
+
+
+def test_repetitive_texts_do_not_multiply(spark, make_docs, monkeypatch):
+    docs = {1: "a " * 1000, 2: "b a " * 500, 3: "a " * 9 + "b", 4: "c " * 50}
+    items = [(1, "a " * 200), (2, "a b " * 100), (3, "a " * 9 + "b"), (4, "d " * 20)]
+    asked = []
+    listed = decontaminate.alignments
+
+    def spy(index, anchors):
+        found = listed(index, anchors)
+        asked.append(found[0].count())
+        return found
+
+    monkeypatch.setattr(decontaminate, "alignments", spy)
+    assert search(make_docs(docs), make_bench(spark, items)) == brute(docs.items(), items)
+    assert asked[0] < 10_000  # 192,000 places of one word in document 1 and item 1 alone
+
+
+def test_proximity_matches_are_checked_on_the_words(spark, make_docs):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = {
+        1: "x " * 5 + item, 2: item.replace("epsilon", "epsilon so"), 3: item.replace("zeta eta", "eta zeta"),
+        4: item.replace("gamma", "other"), 5: " ".join(reversed(item.split())),
+        6: item.replace("epsilon", "epsilon " + "so " * 5), 7: "nothing of it",
+    }
+    rows = decontaminate.contamination(make_docs(docs), make_bench(spark, [(1, item)])).collect()
+    got = {r.id: (len(r.items), r.n_near) for r in rows}
+    assert got == {1: (1, 1), 2: (0, 1), 3: (0, 1), 4: (0, 0), 5: (0, 0), 6: (0, 0), 7: (0, 0)}
+
+
+def test_benchmark_in_several_blocks(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    docs, items = case(4)
+    assert search(make_docs(docs), make_bench(spark, items)) == brute(docs.items(), items)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.work import WorkTables
 from codeloom.llm import dedup
-from codeloom.llm.common import located
+from codeloom.llm.common import placed_rows
 
 TEXTS = {
     5: "a  b\n c", 3: "a b c", 9: "a\tb\r\nc", 4: "A b c", 1: None, 2: "", 7: " ", 8: "\x0b\x0c",
@@ -75,10 +75,22 @@ def test_later_files_meet_the_state_of_earlier_ones(spark, make_docs):
     path, state, updates = (f"{work.folder}/{n}" for n in ("prints", "state", "updates"))
 
     def add(rows, folder):
-        docs = located(make_docs(rows, folder)).selectExpr("doc_id _id", "text _text", "_file", "_row")
+        docs = placed_rows(make_docs(rows, folder), _id=F.col("doc_id"), _text=F.col("text")).selectExpr(
+            "_id", "_text", "file _file", "row _row"
+        )
         dedup.fingerprints(docs).write.mode("append").parquet(path)
         got = dedup.stream_state(spark, path, state, updates, files=1)
         return {r.keeper.id: r.group_size for r in got.collect()}
 
     assert add({5: "x", 6: "x", 7: "y"}, "one") == {5: 2, 7: 1}
     assert add({3: "x", 8: "z"}, "two") == {3: 3, 7: 1, 8: 1}
+
+
+def test_columns_of_any_name_may_stand_beside(spark, make_docs, tmp_path):
+    names = ["_file", "_row", "file", "row", "file0", "row0", "id", "_id", "_text", "digest", "keeper", "first"]
+    docs = make_docs({1: "a  b", 2: "a b", 3: None, 4: "", 5: "c"})
+    path = str(tmp_path / "wide")
+    docs.selectExpr("*", *[f"'x' AS {n}" for n in names]).write.parquet(path)
+    table = spark.read.parquet(path)
+    kept = dedup.drop_copies(table)
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 5]
