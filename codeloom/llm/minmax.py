@@ -218,7 +218,8 @@ def _rest(members, edges, sets, percent, work) -> DataFrame:
         members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")),
         "placed",
     )
-    mixed = placed.groupBy("band").agg(
+    # of two members the hub was one
+    mixed = placed.filter("band_size > 2").groupBy("band").agg(
         F.min("label").alias("low"), F.max("label").alias("high")
     ).filter("low <> high").select("band")
     crowd = work.keep(
