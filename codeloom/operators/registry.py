@@ -8,7 +8,8 @@ extension wins.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
@@ -42,6 +43,21 @@ def register_extractor(
         _EXTRACTORS[ext.lower()] = Extractor(method, table=extract)
 
 
+@contextmanager
+def registered(
+    extensions, extract: Callable[[DataFrame], DataFrame], method: str = "custom"
+) -> Iterator[None]:
+    """``register_extractor`` for the jobs run inside; earlier registrations are back
+    afterwards."""
+    before = dict(_EXTRACTORS)
+    register_extractor(extensions, extract, method)
+    try:
+        yield
+    finally:
+        _EXTRACTORS.clear()
+        _EXTRACTORS.update(before)
+
+
 def _register(extensions, extractor: Extractor) -> None:
     for ext in extensions:
         _EXTRACTORS[ext] = extractor

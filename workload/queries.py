@@ -23,6 +23,7 @@ from codeloom.operators.parsed import python_found
 from codeloom.operators.search import keyword_index, keyword_search
 from codeloom.operators.smart import smart_graph
 from codeloom.plans import jobs
+from codeloom.sources import exports, tree
 
 from . import check_sql as sql
 from . import sources
@@ -710,6 +711,126 @@ def index_page(spark, sf_dir):
     return render.index_pages(_metadata(spark, sf_dir))
 
 
+# ------------------------------------------------------------------ round trips
+
+
+@query("export_round_trip", f"""{SMART}, {sql.BY_FILE}
+SELECT repo, 'classic' AS mode, 'node' AS what, node_id AS id, '' AS other, node_type AS type,
+  external, community FROM grouped
+UNION ALL SELECT repo, 'smart', 'node', node_id, '', node_type, g.external, community
+  FROM grouped g JOIN kept k USING (repo, node_id, node_type)
+UNION ALL SELECT repo, 'classic', 'edge', src, dst, type, false, -1 FROM edges
+UNION ALL SELECT repo, 'smart', 'edge', src, dst, type, false, -1 FROM smart""")
+def export_round_trip(spark, sf_dir):
+    """Both views written as an export and read back, a mode at a time."""
+    path = f"{WorkTables(spark).folder}/export"
+    exports.write_export(_both_views(spark, sf_dir), _metadata(spark, sf_dir), path)
+    out = None
+    for mode in ("classic", "smart"):
+        graph, _ = exports.read_export(spark, path, mode)
+        nodes = graph.nodes.select(
+            "repo", F.lit("node").alias("what"), F.col("node_id").alias("id"), F.lit("").alias("other"),
+            F.col("node_type").alias("type"), "external", "community",
+        )
+        edges = graph.edges.select(
+            "repo", F.lit("edge").alias("what"), F.col("src").alias("id"), F.col("dst").alias("other"),
+            "type", F.lit(False).alias("external"), F.lit(-1).alias("community"),
+        )
+        both = nodes.unionByName(edges).withColumn("mode", F.lit(mode))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+@query("pages_round_trip", f"{sql.SOURCE_GRAPH}, {sql.BY_FILE}, written AS (" + _pages_sql(
+    "classic", "grouped", "edges", HIDDEN, False).lstrip().replace("wanted AS", "WITH wanted AS", 1)
+    + ") SELECT repo, mode, page, md5(body) AS digest FROM written")
+def pages_round_trip(spark, sf_dir):
+    """Node pages written as a table and read back."""
+    path = f"{WorkTables(spark).folder}/pages"
+    exports.write_pages(render.node_pages(grouped(spark, sf_dir), "classic").drop("node_id"), path)
+    return spark.read.parquet(path).select(
+        "repo", "mode", "page", F.md5(F.col("body").cast("binary")).alias("digest")
+    )
+
+
+# nodes of one written graph document
+DOCUMENT_NODES = 2000
+
+
+@query("document_round_trip", f"""{sql.SOURCE_GRAPH}
+SELECT repo, node_id AS id, '' AS other, node_type AS type, external FROM nodes
+UNION ALL SELECT repo, src, dst, type, false FROM edges""")
+def document_round_trip(spark, sf_dir):
+    """The source graph written as JSON documents, one per file, each of a run of nodes with
+    their outgoing edges, and read back as one graph per repository."""
+    graph, work = scanned(spark, sf_dir).graph, WorkTables(spark)
+    placed = dense_index(graph.nodes.select("repo", "node_id", "node_type", "external"), ["repo"], ["node_id"], "at", work)
+    placed = work.keep(placed.withColumn("part", F.floor(F.col("at") / DOCUMENT_NODES)), "placed")
+    nodes = placed.groupBy("repo", "part").agg(
+        F.collect_list(F.struct(F.col("node_id").alias("id"), F.col("node_type").alias("type"), "external")).alias("nodes")
+    )
+    edges = graph.edges.join(
+        placed.select("repo", F.col("node_id").alias("src"), "part"), ["repo", "src"]
+    ).groupBy("repo", "part").agg(
+        F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "type")).alias("edges")
+    )
+    document = F.to_json(F.struct("nodes", "edges", F.struct(F.col("repo").alias("project")).alias("metadata")))
+    path = f"{work.folder}/documents"
+    nodes.join(edges, ["repo", "part"], "left").select(
+        F.concat_ws("-", F.sha1("repo"), "part").alias("document"), document.alias("value")
+    ).write.partitionBy("document").text(path)
+    back, _ = exports.read_documents(spark, f"{path}/*")
+    return back.nodes.select(
+        "repo", F.col("node_id").alias("id"), F.lit("").alias("other"), F.col("node_type").alias("type"), "external"
+    ).unionByName(
+        back.edges.select("repo", F.col("src").alias("id"), F.col("dst").alias("other"), "type", F.lit(False).alias("external"))
+    )
+
+
+def _items(files: DataFrame) -> DataFrame:
+    """A user's extractor: ``item <name> of <kind>`` lines define items, ``needs <name>`` refers."""
+    def rows(pattern: str, stage: int, is_ref: bool) -> DataFrame:
+        found = F.regexp_extract_all("content", F.lit(pattern), F.lit(0))
+        return files.select("repo", "file_id", F.posexplode(found).alias("pos", "line")).select(
+            "repo", "file_id", F.lit(stage).alias("stage"), F.col("pos").cast("long").alias("pos"),
+            F.lit(is_ref).alias("is_ref"), F.lit(None).cast("string").alias("parent"),
+            F.regexp_extract("line", pattern, 1).alias("name"),
+            (F.lit("supplier") if is_ref else F.regexp_extract("line", pattern, 2)).alias("type"),
+        )
+
+    return rows(r"item (\w+) of (\w+)", 0, False).unionByName(rows(r"needs (\w+)", 1, True))
+
+
+@query("tree_scan", """WITH lines AS (
+  SELECT 'brand=' || replace(p_brand, '#', '_') AS folder, 'p' || p_partkey AS item,
+    CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS kind, 's' || p_size AS need FROM part),
+folders AS (SELECT DISTINCT folder FROM lines)
+SELECT 'root' AS owner, folder AS node, 'folder' AS node_type, 'contains' AS type FROM folders
+UNION ALL SELECT folder, 'file', 'file', 'contains' FROM folders
+UNION ALL SELECT folder, item, kind, 'defines' FROM lines
+UNION ALL SELECT DISTINCT folder, need, 'supplier', 'imports' FROM lines""")
+def tree_scan(spark, sf_dir):
+    """A source tree written out of ``part``, a folder per brand, read back and scanned with a
+    user's extractor; file names, which Spark chooses, are left out."""
+    work = WorkTables(spark)
+    root = f"{work.folder}/tree"
+    kind = F.when(F.col("p_size") > 25, "large").otherwise("small")
+    sources.table(spark, sf_dir, "part").select(
+        F.replace("p_brand", F.lit("#"), F.lit("_")).alias("brand"),
+        F.format_string("item p%d of %s needs s%d", "p_partkey", kind, "p_size").alias("value"),
+    ).repartition("brand").write.partitionBy("brand").text(root)
+    with registry.registered(".txt", _items):
+        listing = tree.read_listing(spark, root).filter(F.startswith("dir", F.lit("brand=")))
+        scan = jobs.scan(tree.read_tree(spark, root, [".txt"]), listing=listing, work=work)
+    named = scan.graph.nodes.select("repo", F.col("node_id").alias("dst"), "node_type")
+    is_file = F.regexp_like("dst", F.lit("[.]txt$"))
+    return scan.graph.edges.join(named, ["repo", "dst"]).select(
+        F.regexp_replace("src", "/part-.*$", "").alias("owner"),
+        F.when(is_file, "file").otherwise(F.regexp_replace("dst", "^.*::", "")).alias("node"),
+        "node_type", "type",
+    )
+
+
 # ----------------------------------------------------------------------- search
 
 WORDS = """list_filter(list_distinct(list_concat(
