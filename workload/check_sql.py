@@ -317,6 +317,30 @@ r{i} AS MATERIALIZED (
     return ",\n".join(ctes)
 
 
+def settled_ranks(rounds: int = fixed.PAGERANK_MAX_ROUNDS) -> str:
+    """PageRank with each repository frozen once a round's summed change is below its node
+    count times the tolerance; one that never gets there has rank 1."""
+    tolerance = f"{fixed.PAGERANK_TOLERANCE:.9f}::DOUBLE"
+    start = ranks(0).rsplit(",\n", 1)[0].replace(
+        "1.0::DOUBLE / s.n AS rank, s.n, o.deg", "1.0::DOUBLE / s.n AS rank, s.n, o.deg, true AS moving"
+    )
+    ctes = [start]
+    for i in range(1, rounds + 1):
+        p = f"r{i - 1}"
+        ctes.append(f"""i{i} AS (SELECT repo, sum(rank) AS idle FROM {p} WHERE moving AND deg IS NULL GROUP BY repo),
+g{i} AS (SELECT p.repo, p.dst AS node_id, sum(r.rank / r.deg) AS got
+  FROM pairs p JOIN {p} r ON r.repo = p.repo AND r.node_id = p.src WHERE r.moving GROUP BY ALL),
+f{i} AS (SELECT v.repo, v.node_id, v.n, v.deg, v.rank AS before, v.moving,
+    CASE WHEN v.moving THEN 0.85 * coalesce(g.got, 0)
+      + (0.85 * coalesce(i.idle, 0) + (1.0::DOUBLE - 0.85::DOUBLE)) / v.n ELSE v.rank END AS rank
+  FROM {p} v LEFT JOIN g{i} g USING (repo, node_id) LEFT JOIN i{i} i USING (repo)),
+r{i} AS MATERIALIZED (
+  SELECT repo, node_id, rank, n, deg,
+    moving AND sum(abs(rank - before)) OVER (PARTITION BY repo) >= n * {tolerance} AS moving FROM f{i})""")
+    ctes.append(f"ranks AS (SELECT repo, node_id, CASE WHEN moving THEN 1.0 ELSE rank END AS rank FROM r{rounds})")
+    return ",\n".join(ctes)
+
+
 KEEP = """kept AS (
   SELECT n.* FROM nodes n JOIN ranks r USING (repo, node_id)
   WHERE NOT n.external AND CASE

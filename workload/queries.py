@@ -546,10 +546,10 @@ def pagerank_source(spark, sf_dir):
     return ranks(spark, sf_dir).withColumn("rank", F.round("rank", 8))
 
 
-@query("pagerank_settled")
+@query("pagerank_settled", f"{sql.EVENT_GRAPH}, {sql.settled_ranks()} SELECT repo, node_id, round(rank, 8) AS rank FROM ranks")
 def pagerank_settled(spark, sf_dir):
     """Each repository to its own convergence, as the smart view uses it."""
-    return pagerank(sources.event_graph(spark, sf_dir))
+    return pagerank(sources.event_graph(spark, sf_dir)).withColumn("rank", F.round("rank", 8))
 
 
 @query("smart_nodes", f"{SMART} SELECT repo, node_id, node_type FROM kept")
