@@ -19,6 +19,15 @@ def keyword_index(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _words_hit(nodes: DataFrame, index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(set_id, repo, number, degree, words_hit) of nodes (set_id, repo, number, degree)."""
+    return (
+        nodes.join(index.select("number", "word"), "number")
+        .join(terms.select("set_id", "repo", "word"), ["set_id", "repo", "word"])
+        .groupBy("set_id", "repo", "number", "degree").agg(F.count("*").alias("words_hit"))
+    )
+
+
 def keyword_search(
     queries: DataFrame, graph: Graph, top: int = 10, work: WorkTables | None = None
 ) -> DataFrame:
@@ -26,10 +35,12 @@ def keyword_search(
     (query_id, repo, phrase); a null repo asks all of them.
 
     Ranked by words hit, then degree, then id, within each query and repository.
-    Equal sets of words are scored once.  Of a set's words in a repository all but the
-    most frequent are expanded to their nodes; the most frequent is looked up for those
-    nodes only.  A node that has no other of the words can be among the best only if it
-    is among the best of that word, and these are kept per word.
+    Equal sets of words are scored once.  The nodes of a set's rarest word and those of
+    highest degree of each of its words are scored first, which gives a bound that a node
+    must reach.  Of the other words a node is then looked at only where it can reach it: with
+    the words in order of how few nodes have them, a node whose first word is the j-th of k
+    hits k - j + 1 at most, so frequent words are left alone, and the first one that could
+    just do is read down to the bound's degree.
     """
     work = work or WorkTables(graph.nodes.sparkSession)
     asked = queries.select(
@@ -58,28 +69,39 @@ def keyword_search(
     local = counts.join(terms.filter("repo is not null"), ["repo", "word"])
     anywhere = counts.join(terms.filter("repo is null").drop("repo"), "word")
     placed = work.keep(local.unionByName(anywhere), "terms")
-    most = work.keep(
-        placed.groupBy("set_id", "repo").agg(F.max(F.struct("nodes", "word")).alias("m"))
-        .select("set_id", "repo", F.col("m.word").alias("most")),
-        "most-frequent",
-    )
-    others = placed.join(most, ["set_id", "repo"]).filter("word <> most")
-    hits = (
-        index.join(others.select("set_id", "repo", "word"), ["repo", "word"])
-        .groupBy("set_id", "repo", "number", "degree").agg(F.count("*").alias("hits"))
-        .join(most, ["set_id", "repo"])
-        .join(index.select("number", F.col("word").alias("most"), F.lit(1).alias("more")), ["number", "most"], "left")
-        .select("set_id", "repo", "number", "degree", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("words_hit"))
+    by_rarity = W.partitionBy("set_id", "repo").orderBy("nodes", "word")
+    in_set = W.partitionBy("set_id", "repo")
+    placed = work.keep(
+        placed.withColumn("at", F.row_number().over(by_rarity))
+        .withColumn("reach", F.count("*").over(in_set) - F.col("at") + 1),
+        "terms-by-rarity",
     )
     by_degree = W.partitionBy("repo", "word").orderBy(F.desc("degree"), "number")
-    heads = index.withColumn("_at", F.row_number().over(by_degree)).filter(F.col("_at") <= top)
-    alone = most.join(heads.withColumnRenamed("word", "most"), ["repo", "most"]).select(
-        "set_id", "repo", "number", "degree", F.lit(1).cast("long").alias("words_hit")
+    heads = work.keep(
+        index.withColumn("_at", F.row_number().over(by_degree)).filter(F.col("_at") <= top).drop("_at"), "heads"
     )
-    every = hits.unionByName(alone).groupBy("set_id", "repo", "number", "degree").agg(
-        F.max("words_hit").alias("words_hit")
+    node = ("set_id", "repo", "number", "degree")
+    first = placed.filter("at = 1").join(index, ["repo", "word"]).select(*node).unionByName(
+        placed.join(heads, ["repo", "word"]).select(*node)
     )
+    seeds = work.keep(_words_hit(first.distinct(), index, placed), "seeds")
     ranked = W.partitionBy("set_id", "repo").orderBy(F.desc("words_hit"), F.desc("degree"), "number")
+    bound = (
+        seeds.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") == top)
+        .select("set_id", "repo", F.col("words_hit").alias("least_hit"), F.col("degree").alias("least_degree"))
+    )
+    wanted = work.keep(
+        placed.filter("at > 1").join(bound, ["set_id", "repo"], "left")
+        .na.fill({"least_hit": 0, "least_degree": 0}).filter("reach >= least_hit")
+        .select("set_id", "repo", "word", "reach", "least_hit", "least_degree"),
+        "wanted",
+    )
+    more = (
+        index.join(wanted, ["repo", "word"])
+        .filter("reach > least_hit OR degree >= least_degree").select(*node).distinct()
+        .join(seeds.select("set_id", "number"), ["set_id", "number"], "left_anti")
+    )
+    every = seeds.unionByName(_words_hit(more.select(*node), index, placed))
     best = work.keep(
         every.withColumn("rank", F.row_number().over(ranked).cast("bigint"))
         .filter(F.col("rank") <= top)
