@@ -108,6 +108,22 @@ def adjacency(edges: DataFrame) -> DataFrame:
     )
 
 
+def outgoing(edges: DataFrame) -> DataFrame:
+    """``adjacency`` of the sources alone."""
+    return edges.select(
+        "repo", F.col("src").alias("node_id"), F.lit("out").alias("direction"), "type",
+        F.col("dst").alias("neighbour"),
+    )
+
+
+def incoming(edges: DataFrame) -> DataFrame:
+    """``adjacency`` of the targets alone."""
+    return edges.select(
+        "repo", F.col("dst").alias("node_id"), F.lit("in").alias("direction"), "type",
+        F.col("src").alias("neighbour"),
+    )
+
+
 def internal_sources(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose source is not an external node (an absent source counts as
     internal)."""

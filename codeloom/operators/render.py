@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..functions.names import capitalise, page_name, symbol_of, wiki_link
 from .graph import Graph
-from .metrics import adjacency, capped_neighbours, internal_sources
+from .metrics import capped_neighbours, incoming, internal_sources, outgoing
 
 HEADINGS = {"out": "## → Outgoing", "in": "## ← Incoming"}
 PEERS_HEADING = "## 🏘️ Same Module (Community)"
@@ -48,8 +48,8 @@ def page_winners(nodes: DataFrame) -> DataFrame:
 
 def sections(graph: Graph) -> DataFrame:
     """(repo, node_id, out_lines, in_lines): the two neighbour sections."""
-    both = adjacency(graph.edges).filter("direction = 'out'").unionByName(
-        adjacency(internal_sources(graph.edges, graph.nodes)).filter("direction = 'in'")
+    both = outgoing(graph.edges).unionByName(
+        incoming(internal_sources(graph.edges, graph.nodes))
     )
     lists = capped_neighbours(both, fixed.PAGE_NEIGHBOURS)
     block = F.struct(
