@@ -98,5 +98,9 @@ def test_few_vectors_other_lengths_and_empty_tables(spark):
 def test_a_batch_of_the_session_stays_as_set(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    got(spark, [(1, [0.5] * 8, 3)])
-    assert spark.conf.get(name) == before and vector_codes.BATCH_ROWS < int(before)
+    spark.conf.set(name, "5000")
+    try:
+        got(spark, [(1, [0.5] * 8, 3)])
+        assert spark.conf.get(name) == "5000" and vector_codes.BATCH_ROWS < 5000
+    finally:
+        spark.conf.set(name, before)
