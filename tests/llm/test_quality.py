@@ -1,6 +1,7 @@
 """Quality classifier: held-out accuracy, calibration, empty cases."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -84,3 +85,42 @@ def test_statistics_of_long_and_odd_texts_are_finite():
     for text in (b"", b" \n", b"x", b"word " * 300_000, bytes(range(256)), "é 中 😀".encode()):
         assert len(quality.statistics(text)) == quality.STATISTICS
         assert np.isfinite(quality.statistics(text)).all()
+
+
+def test_scores_equal_a_direct_fit(spark, make_docs):
+    """The same normal equations from one matrix, without partitions or sums of them."""
+    rows, labels = corpus(240)
+    docs = make_docs(rows)
+    model = quality.fit(docs, spark.createDataFrame(labels, LABELS))
+    got = {r.id: r.score for r in quality.score(docs, model).collect()}
+
+    part = {i: zlib.crc32(str(i).encode()) % 3 for i, _, _ in labels}
+    learn = [(i, q) for i, q, _ in labels if part[i] != 1]
+    stats = np.array([quality.statistics(rows[i].encode()) for i, _ in learn])
+    y, fold = np.array([q for _, q in learn], dtype=float), np.array([part[i] == 0 for i, _ in learn])
+    spread = stats.std(axis=0)
+    own = quality.Model(stats.mean(axis=0), np.where(spread > 1e-9, spread, 1.0))
+    x = own.features(stats)
+    penalty = np.diag([quality.RIDGE] * quality.FEATURES + [1e-6])
+
+    def solved(chosen):
+        return np.linalg.solve(x[chosen].T @ x[chosen] + penalty, x[chosen].T @ y[chosen])
+
+    own.weights = solved(np.ones(len(y), dtype=bool))
+    raw = np.where(fold, x @ solved(~fold), x @ solved(fold))
+    bins = np.clip(np.floor((raw + 0.5) / 2 * quality.BINS), 0, quality.BINS - 1)
+    steps = sorted((raw[bins == b].mean(), y[bins == b].sum(), (bins == b).sum()) for b in np.unique(bins))
+    centres, sums, sizes = (np.array(c, dtype=float) for c in zip(*steps))
+    # the level of a step: the largest over all starts of the smallest mean over all ends
+    levels = [
+        max(min(sums[a : b + 1].sum() / sizes[a : b + 1].sum() for b in range(k, len(sums))) for a in range(k + 1))
+        for k in range(len(sums))
+    ]
+    pools = np.unique(np.round(levels, 12))
+    inside = [np.isclose(levels, p, atol=1e-9) for p in pools]
+    own.knots = (
+        np.array([(centres[i] * sizes[i]).sum() / sizes[i].sum() for i in inside]),
+        np.array([sums[i].sum() / sizes[i].sum() for i in inside]),
+    )
+    expected = own.score(np.array([quality.statistics(rows[i].encode()) for i in rows]))
+    assert np.allclose([got[i] for i in rows], expected, atol=1e-6)
