@@ -1,5 +1,6 @@
 """Toxicity: folding, exceptions, learnt terms, held-out accuracy."""
 
+import math
 import random
 
 import pytest
@@ -62,3 +63,27 @@ def test_without_labels_the_seed_terms_score(spark, make_docs):
     scores = {r.id: r.score for r in toxicity.score(docs, lexicon).collect()}
     assert scores[1] > 0.7 > 0.3 > scores[2] and scores[3] < 0.3
     assert toxicity.score(make_docs([]), lexicon).collect() == []
+
+
+def test_totals_and_scores_equal_a_naive_matcher(spark):
+    """Every whole document, each word against every term and phrase."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.fit(docs, labels)
+    by_length = {}
+    for term, weight in lexicon.weights.items():
+        by_length.setdefault(len(term), {})[term] = weight
+    got = {r.id: r for r in toxicity.score(docs, lexicon).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(got) == len(texts)
+    for doc_id, text in texts.items():
+        words, found = toxicity.fold(text or "").split(), []
+        for i, word in enumerate(words):
+            phrase = [" ".join(words[i : i + n]) for n in (1, 2, 3)]
+            held = [terms[word[:n]] for n, terms in by_length.items() if word[:n] in terms]
+            if held and not any(p in toxicity.EXCEPTIONS for p in phrase):
+                found.append(max(held))
+        z = toxicity.curve_inputs([(sum(found), len(found), len(words))]) @ lexicon.curve
+        row = got[doc_id]
+        assert row["count"] == len(found) and row.total == pytest.approx(sum(found))
+        assert row.score == pytest.approx(float(1 / (1 + math.exp(-z[0]))), abs=1e-9)
