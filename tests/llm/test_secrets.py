@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+import zstandard
 
 from codeloom.llm import secret_scan
 
@@ -95,3 +96,46 @@ def test_repeated_rows_and_empty_table(make_docs):
     docs = make_docs([(None, "token=abcdef"), (1, "x"), (1, "x")])
     rows = secret_scan.scan(docs).collect()
     assert sorted((r.id or 0, len(r.spans)) for r in rows) == [(0, 1), (1, 0), (1, 0)]
+
+
+def test_novel_spans_equal_a_plain_measurement(spark, make_docs):
+    """Whole documents, with the dictionary counted and every candidate measured anew."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = {r.doc_id: r.text for r in table.collect()}
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+    for i in range(60):
+        key = "".join(rng.choices(letters, k=rng.randrange(8, 60)))
+        word = rng.choice(["AWS_SECRET_ACCESS_KEY", "accessKey", "bearer", "session_id", "the signing key is", "x"])
+        name = rng.choice(["configurationLoader", "requestHandlerFactory", "credential_provider"])
+        rows[10**6 + i] = f"def {name}({name}): {word} {rng.choice(['=', ':', 'of', ''])} '{key}' {name} " * rng.randrange(1, 4)
+    table, texts = make_docs(rows), {i: t or "" for i, t in rows.items()}
+    near = {}
+    for text in texts.values():
+        for word in secret_scan.SENSITIVE.finditer(text):
+            around = text[max(0, word.start() - secret_scan.AROUND) : word.end() + secret_scan.AROUND]
+            for name in {w for w in secret_scan.IDENTIFIER.findall(around) if secret_scan.like_a_name(w)}:
+                near[name] = near.get(name, 0) + 1
+    known = sorted((w for w, n in near.items() if n > 1), key=lambda w: (-near[w], w))
+    dictionary = " ".join(reversed(known[: secret_scan.DICTIONARY_WORDS])).encode()
+
+    def size(body):
+        primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=9, dict_data=primed).compress(body.encode()))
+
+    def expected(text):
+        spans, novel = brute(text), []
+        for start, end in secret_scan.candidates(text):
+            if any(s < end and start < e for _, s, e in spans + novel):
+                continue
+            own = text[start:end]
+            around = text[max(0, start - 400) : start] + "\n" + text[end : end + 400] + "\n"
+            if not secret_scan.like_a_name(own):
+                around = around.replace(own, "")
+            if (size(around + own) - size(around)) / len(own) >= secret_scan.NOVELTY:
+                novel.append(("novel", start, end))
+        return sorted(spans + novel, key=lambda s: (s[1], secret_scan.KINDS.index(s[0])))
+
+    got = scan(table)
+    assert {i: expected(t) for i, t in texts.items()} == got
+    assert any(s[0] == "novel" for spans in got.values() for s in spans)
