@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -83,15 +84,13 @@ def first_wins(candidates: DataFrame, work: WorkTables | None = None) -> DataFra
     """
     work = work or WorkTables(candidates.sparkSession)
     types = work.keep(
-        dense_index(
-            candidates.select("node_type").filter("node_type is not null").distinct(),
-            [], ["node_type"], "code", work,
-        ).select("node_type", (F.col("code") + 1).alias("code")),
-        "node-types",
+        candidates.select("node_type").filter("node_type is not null").distinct(), "node-types"
     )
     n_types = types.count()
     if n_types >= _TYPES:
         raise ValueError(f"more than {_TYPES} node types")
+    # as few rows as there may be types
+    types = types.withColumn("code", F.row_number().over(W.orderBy("node_type")))
     coded = candidates.filter("node_id is not null").join(
         small_side(types, n_types), "node_type", "left"
     )
