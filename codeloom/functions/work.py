@@ -91,6 +91,13 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side that grows with the input, joined by a shuffle: a written table of ids takes a
+    twentieth of its rows' size on disk, by which the optimiser would broadcast millions of
+    rows through the driver."""
+    return df.hint("merge")
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Rows with their group's columns (one row of ``groups`` per key, ``size`` rows in it).
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.names import normalise_id
-from ..functions.work import WorkTables, dense_index, small_side
+from ..functions.work import WorkTables, dense_index, shuffled, small_side
 
 STRUCTURE, SYMBOL, EXTERNAL, UNRESOLVED = range(4)
 NODE_COLUMNS = ("repo", "node_id", "node_type", "external", "seq")
@@ -226,7 +226,7 @@ def type_edges(references: DataFrame) -> DataFrame:
 
 def known_ids(ids: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those rows of ``ids`` (repo, node_id, ...) whose id is a node."""
-    return ids.join(nodes.select("repo", "node_id"), ["repo", "node_id"], "left_semi")
+    return ids.join(shuffled(nodes.select("repo", "node_id")), ["repo", "node_id"], "left_semi")
 
 
 def stub_links(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -254,7 +254,9 @@ def dangling_targets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edge targets that are no node, as external ``unresolved`` nodes.  Targets
     are made distinct before the join, so a popular one is one row."""
     targets = edges.select("repo", F.col("dst").alias("node_id")).distinct()
-    missing = targets.join(nodes.select("repo", "node_id"), ["repo", "node_id"], "left_anti")
+    missing = targets.join(
+        shuffled(nodes.select("repo", "node_id")), ["repo", "node_id"], "left_anti"
+    )
     return missing.select(
         "repo",
         "node_id",
@@ -307,7 +309,7 @@ def without_types(graph: Graph, types) -> Graph:
     edges = graph.edges
     for end in ("src", "dst"):
         edges = edges.join(
-            dropped.withColumnRenamed("node_id", end), ["repo", end], "left_anti"
+            shuffled(dropped.withColumnRenamed("node_id", end)), ["repo", end], "left_anti"
         )
     kept = graph.nodes.filter(~F.col("node_type").isin(*types))
     return Graph(kept, edges.select(*EDGE_COLUMNS))

@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.work import WorkTables, dense_index, partitions, small_side
+from ..functions.work import WorkTables, dense_index, partitions, shuffled, small_side
 
 # edges of one source kept together in one (source, salt) group
 EDGES_PER_SALT = 100_000
@@ -41,7 +41,7 @@ def index_graph(
     absent = (
         pairs.select("repo", F.explode(F.array("src", "dst")).alias("node_id"))
         .distinct()
-        .join(node_ids, ["repo", "node_id"], "left_anti")
+        .join(shuffled(node_ids), ["repo", "node_id"], "left_anti")
     )
     every = node_ids.unionByName(absent)
     if ordered:
@@ -57,7 +57,7 @@ def index_graph(
     )
     n_repos = repos.count()
     vertices = listed.join(small_side(repos.select("repo", "rid"), n_repos), "repo")
-    by_name = listed.select("repo", "node_id", "vid")
+    by_name = shuffled(listed.select("repo", "node_id", "vid"))
     numbered = (
         pairs.join(
             by_name.withColumnRenamed("node_id", "src").withColumnRenamed("vid", "s"),
@@ -90,6 +90,7 @@ def salted_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("n_salts", F.lit(1))).cast("int"))
         .drop("n_salts")
         .repartition(n, "src", "salt")
+        .sortWithinPartitions("src", "salt")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     return spread, sources
@@ -97,10 +98,13 @@ def salted_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def send(edges: DataFrame, state: DataFrame, *payload) -> DataFrame:
     """Rows (dst, edge columns, payload): each node's payload along its edges.
-    ``state`` has vid and n_salts (null where a node has no edges)."""
+    ``state`` has vid and n_salts (null where a node has no edges).
+
+    The edges lie sorted by (source, salt), so a merge sorts the node rows alone; they are
+    never broadcast, which would send all nodes through the driver in every round."""
     outgoing = state.filter("n_salts is not null").select(
         F.col("vid").alias("src"),
         F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("salt"),
         *payload,
     )
-    return edges.join(outgoing, ["src", "salt"])
+    return edges.join(shuffled(outgoing), ["src", "salt"])

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
+from ..functions.work import shuffled
 from .graph import Graph, pairs_of
 
 
@@ -128,7 +129,7 @@ def internal_sources(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose source is not an external node (an absent source counts as
     internal)."""
     outside = nodes.filter("external").select("repo", F.col("node_id").alias("src"))
-    return edges.join(outside, ["repo", "src"], "left_anti")
+    return edges.join(shuffled(outside), ["repo", "src"], "left_anti")
 
 
 def capped_neighbours(neighbours: DataFrame, cap: int = fixed.PAGE_NEIGHBOURS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.names import symbol_of
-from ..functions.work import WorkTables
+from ..functions.work import WorkTables, shuffled
 from .graph import EDGE_COLUMNS, Graph
 
 
@@ -33,7 +33,9 @@ def is_kept():
 def smart_nodes(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
     """The nodes that stay, with all their columns."""
     return (
-        nodes.join(ranks.select("repo", "node_id", "rank"), ["repo", "node_id"], "left")
+        nodes.join(
+            shuffled(ranks.select("repo", "node_id", "rank")), ["repo", "node_id"], "left"
+        )
         .filter(is_kept())
         .select(*nodes.columns)
     )
@@ -53,7 +55,7 @@ def smart_edges(
     flagged = edges.select(*EDGE_COLUMNS)
     for end, flag in (("src", "src_in"), ("dst", "dst_in")):
         flagged = flagged.join(
-            ids.withColumnRenamed("node_id", end).withColumnRenamed("in", flag),
+            shuffled(ids.withColumnRenamed("node_id", end).withColumnRenamed("in", flag)),
             ["repo", end],
             "left",
         )
