@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.work import WorkTables, dense_index, join_groups, small_side
+from ..functions.work import WorkTables, dense_index, join_groups, shuffled, small_side
 from .graph import Graph, undirected, without_types
 from .iterate import index_graph, salted_edges, send
 
@@ -70,14 +70,20 @@ STATE = ("vid", "rid", "base", "n_salts", "k", "loops", "m2", "comm")
 
 
 def _move_round(
-    state: DataFrame, edges: DataFrame, round_no: int, seed: int, n: int
+    state: DataFrame, edges: DataFrame, round_no: int, seed: int, n: int, work: WorkTables
 ) -> DataFrame:
-    """One simultaneous move of the ``n`` nodes in ``state`` (STATE columns)."""
-    totals = state.groupBy("comm").agg(F.sum("k").alias("tot"), F.count("*").alias("size"))
+    """One simultaneous move of the ``n`` nodes in ``state`` (STATE columns).
+
+    The communities' totals are written, since each use of the nodes joined with them
+    reads them three times (``join_groups``).
+    """
+    totals = work.alternate(
+        state.groupBy("comm").agg(F.sum("k").alias("tot"), F.count("*").alias("size")), "totals"
+    )
     here = join_groups(state, totals, "comm", "size", n)
     offers = (
-        send(edges, here, "comm", "tot", "size")
-        .groupBy(F.col("dst").alias("vid"), F.col("comm").alias("offer"))
+        send(edges, here, F.col("comm").alias("offer"), "tot", "size")
+        .groupBy(F.col("dst").alias("vid"), "offer")
         .agg(
             F.sum("w").alias("links"),
             F.max("tot").alias("offer_tot"),
@@ -89,10 +95,13 @@ def _move_round(
     stay = F.coalesce(F.col("own_links"), F.lit(0.0)) - F.col("k") * (
         F.col("tot") - F.col("k")
     ) / F.col("m2")
+    columns = [c for c in here.columns if c != "vid"]
+    # a node without offers has one row, in which they are null
     choice = (
-        offers.join(here.select("vid", "comm", "k", "m2"), "vid")
+        here.join(shuffled(offers), "vid", "left")
         .groupBy("vid")
         .agg(
+            *[F.first(c).alias(c) for c in columns],
             F.max(F.when(own, F.col("links"))).alias("own_links"),
             F.max(
                 F.when(~own, F.struct(gain.alias("gain"), (-F.col("offer")).alias("minus"),
@@ -109,8 +118,7 @@ def _move_round(
     place = F.col("vid") - F.col("base")
     drawn = F.pmod(F.xxhash64(place, F.lit(round_no), F.lit(seed)), F.lit(4)) < 3
     return (
-        here.join(choice, "vid", "left")
-        .withColumn("wants", F.coalesce(wants, F.lit(False)))
+        choice.withColumn("wants", F.coalesce(wants, F.lit(False)))
         .withColumn(
             "next",
             F.when(F.col("wants") & drawn, -F.col("best.minus")).otherwise(F.col("comm")),
@@ -135,7 +143,7 @@ def _settle(
     for round_no in range(MAX_ROUNDS):
         if n == 0:
             break
-        moved = work.alternate(_move_round(moving, spread, round_no, seed, n), "moves")
+        moved = work.alternate(_move_round(moving, spread, round_no, seed, n, work), "moves")
         going = work.alternate(
             moved.groupBy("rid").agg(F.sum(F.col("wants").cast("long")).alias("w"), F.count("*").alias("n"))
             .filter(F.col("w") > F.greatest(F.lit(1.0), F.col("n") * FEW_MOVERS)).select("rid", "n"),
