@@ -9,6 +9,7 @@ from codeloom.functions.work import WorkTables
 from codeloom.operators import graph as g
 from codeloom.operators import metrics
 from codeloom.operators.iterate import salted_edges, send
+from workload import sources
 
 
 def _plan(df):
@@ -51,3 +52,36 @@ def test_rounds_do_not_broadcast_the_nodes(spark):
     assert not re.search(r"BroadcastHashJoin \[[^]]*salt", _plan(sent))
     assert {tuple(r) for r in sent.select("dst", "payload").collect()} == {((i + 1) % 20, i) for i in range(20)}
     spread.unpersist()
+
+
+def test_line_items_are_joined_once(spark, tmp_path, monkeypatch):
+    rows = {
+        "region": ("r_regionkey int, r_name string", [(0, "EU"), (1, "US")]),
+        "nation": ("n_nationkey int, n_regionkey int", [(0, 0), (1, 1)]),
+        "customer": ("c_custkey long, c_nationkey int", [(1, 0), (2, 1), (None, 1)]),
+        "orders": ("o_orderkey long, o_custkey long", [(1, 1), (2, 2), (2, 2), (None, 1)]),
+        "lineitem": (
+            "l_orderkey long, l_partkey long, l_suppkey long",
+            [(1, 5, 6), (1, 5, 6), (2, 5, None), (2, None, 6), (None, 7, 7)],
+        ),
+    }
+    for name, (schema, values) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    given, real = [], sources.build_graph
+
+    def build(nodes, edges, work):
+        given.extend([nodes, edges])
+        return real(nodes, edges, work)
+
+    monkeypatch.setattr(sources, "build_graph", build)
+    found = sources.fk_graph(spark, str(tmp_path))
+    assert not any("lineitem" in path for df in given for path in df.inputFiles())
+    parts = given[0].filter("external").select("repo", "node_id").filter("node_id is not null")
+    assert sorted(map(tuple, parts.collect())) == [
+        ("EU", "part/5"), ("EU", "supplier/6"), ("US", "part/5"), ("US", "supplier/6"),
+    ]
+    edges = found.edges.filter("type = 'imports'").select("repo", "src", "dst").collect()
+    assert sorted(map(tuple, edges)) == [
+        ("EU", "order/1", "part/5"), ("EU", "order/1", "supplier/6"),
+        ("US", "order/2", "part/5"), ("US", "order/2", "supplier/6"),
+    ]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.names import file_extension
-from codeloom.functions.work import WorkTables
+from codeloom.functions.work import WorkTables, shuffled
 from codeloom.operators.graph import Graph, build_graph
 
 from .templates import JS_FAMILY, KINDS, LANGUAGES, TEMPLATES
@@ -114,28 +114,34 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fk_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Region, nation, customer and order contain each other; orders import the
-    parts and suppliers of their line items.  ``repo`` is the customer's region."""
+    parts and suppliers of their line items.  ``repo`` is the customer's region.
+
+    Line items meet their orders once, as numbers, in tables that are written; the node
+    side gets each part and supplier of a region once."""
+    work = WorkTables(spark)
     region = table(spark, sf_dir, "region")
     nation = table(spark, sf_dir, "nation")
     customer = table(spark, sf_dir, "customer")
     orders = table(spark, sf_dir, "orders")
-    # partitioned once by the key of the join that follows
-    items = (
-        table(spark, sf_dir, "lineitem")
-        .select("l_orderkey", "l_partkey", "l_suppkey")
-        .repartition("l_orderkey")
-    )
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
 
     def node(kind: str, key: str) -> Column:
         return F.concat(F.lit(kind + "/"), F.col(key).cast("string"))
 
     places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     buyers = customer.join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-    placed = orders.select("o_orderkey", "o_custkey").join(
-        buyers.select("c_custkey", "r_name"), F.col("o_custkey") == F.col("c_custkey")
+    placed = work.keep(
+        orders.select("o_orderkey", "o_custkey").join(
+            buyers.select("c_custkey", "r_name"), F.col("o_custkey") == F.col("c_custkey")
+        ),
+        "placed-orders",
     )
-    lines = items.join(
-        placed.select("o_orderkey", "r_name"), F.col("l_orderkey") == F.col("o_orderkey")
+    lines = work.keep(
+        items.join(
+            shuffled(placed.select("o_orderkey", "r_name")),
+            F.col("l_orderkey") == F.col("o_orderkey"),
+        ).select("r_name", "o_orderkey", "l_partkey", "l_suppkey"),
+        "placed-lines",
     )
     repo = F.col("r_name").alias("repo")
 
@@ -159,15 +165,18 @@ def fk_graph(spark: SparkSession, sf_dir: str) -> Graph:
             F.lit(external).alias("external"),
         )
 
+    def used(key):
+        return work.keep(lines.select("r_name", key).distinct(), f"used-{key}")
+
     all_nodes = (
         nodes(region, node("region", "r_regionkey"), "folder")
         .unionByName(nodes(places, node("nation", "n_nationkey"), "folder"))
         .unionByName(nodes(buyers, node("customer", "c_custkey"), "class"))
         .unionByName(nodes(placed, order, "function"))
-        .unionByName(nodes(lines, node("part", "l_partkey"), "module", True))
-        .unionByName(nodes(lines, node("supplier", "l_suppkey"), "module", True))
+        .unionByName(nodes(used("l_partkey"), node("part", "l_partkey"), "module", True))
+        .unionByName(nodes(used("l_suppkey"), node("supplier", "l_suppkey"), "module", True))
     )
-    return build_graph(all_nodes, all_edges, WorkTables(spark))
+    return build_graph(all_nodes, all_edges, work)
 
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
