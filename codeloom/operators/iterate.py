@@ -32,7 +32,8 @@ class Indexed:
 def index_graph(
     nodes: DataFrame, pairs: DataFrame, work: WorkTables, ordered: bool = False
 ) -> Indexed:
-    """Number the nodes (repo, node_id) and the ends of pairs (repo, src, dst).
+    """Number the nodes (repo, node_id) and the ends of pairs (repo, src, dst), which
+    become distinct as numbers.
 
     ``ordered`` numbers them in id order, so that whatever is decided by a
     number does not depend on how the tables were partitioned.
@@ -68,6 +69,7 @@ def index_graph(
             ["repo", "dst"],
         )
         .select(F.col("s").alias("src"), F.col("d").alias("dst"))
+        .distinct()
     )
     return Indexed(vertices, work.keep(numbered, "pairs"), repos, n_repos)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.work import WorkTables, small_side
-from .graph import Graph, pairs_of
+from .graph import Graph
 from .iterate import index_graph, salted_edges, send
 
 # rounds between two looks at whether any repository still moves
@@ -31,7 +31,7 @@ def pagerank(
     """(repo, node_id, rank).  ``rounds`` runs that many rounds whatever the
     change; otherwise repositories stop one by one."""
     work = (work or WorkTables(graph.nodes.sparkSession)).child()
-    indexed = index_graph(graph.nodes, pairs_of(graph.edges), work)
+    indexed = index_graph(graph.nodes, graph.edges, work)
     edges, sources = salted_edges(indexed.pairs)
     sizes = indexed.repos.select("rid", "n")
 
