@@ -15,6 +15,8 @@ BROADCAST_ROWS = 200_000
 # A group with at least 1/HEAVY_SHARE of all rows is heavy; by counting there are
 # at most HEAVY_SHARE of them, whatever the input's size.
 HEAVY_SHARE = 1000
+# Rows of ids and names that one task groups or sorts at a time.
+ROWS_PER_TASK = 1_000_000
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -98,6 +100,29 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def dealt(df: DataFrame, rows: int | None, *keys) -> DataFrame:
+    """Rows dealt by keys to one task per ROWS_PER_TASK of them, so that what a task holds does
+    not grow with the input, whatever the session's number of shuffle partitions.  What follows
+    needs no shuffle of its own for these keys.  Without a count they stay where they are."""
+    if rows is None:
+        return df
+    least = min(partitions(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(max(least, -(-rows // ROWS_PER_TASK)), *keys)
+
+
+def distinct_rows(df: DataFrame, rows: int | None) -> DataFrame:
+    """``distinct`` of so many rows, of which few are alike: each is dealt out as it is and
+    sorted by one number, which takes no table of all of a task's rows.  Without a count
+    rows that are alike are one row before they are dealt out."""
+    if rows is None:
+        return df.distinct()
+    alike = W.partitionBy("_key", *df.columns).orderBy("_key")
+    return (
+        dealt(df, rows, *df.columns).withColumn("_key", F.xxhash64(*df.columns))
+        .withColumn("_at", F.row_number().over(alike)).filter("_at = 1").select(*df.columns)
+    )
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Rows with their group's columns (one row of ``groups`` per key, ``size`` rows in it).
 

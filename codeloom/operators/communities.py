@@ -285,4 +285,4 @@ def with_communities(graph: Graph, labels: DataFrame) -> Graph:
     nodes = graph.nodes.join(labels, ["repo", "node_id"], "left").withColumn(
         "community", F.coalesce("community", F.lit(-1))
     )
-    return Graph(nodes, graph.edges)
+    return Graph(nodes, graph.edges, graph.n_edges)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.names import normalise_id
-from ..functions.work import WorkTables, dense_index, shuffled, small_side
+from ..functions.work import WorkTables, dealt, dense_index, distinct_rows, shuffled, small_side
 
 STRUCTURE, SYMBOL, EXTERNAL, UNRESOLVED = range(4)
 NODE_COLUMNS = ("repo", "node_id", "node_type", "external", "seq")
@@ -35,6 +35,7 @@ NODELESS_KINDS = (*EDGE_KINDS, "path", "resolved")
 class Graph:
     nodes: DataFrame
     edges: DataFrame
+    n_edges: int | None = None  # where the edges are written
 
 
 SEQ_TYPE = "struct<class:int,file:bigint,stage:int,pos:bigint>"
@@ -116,18 +117,18 @@ def first_wins(candidates: DataFrame, work: WorkTables | None = None) -> DataFra
     )
 
 
-def distinct_edges(candidates: DataFrame) -> DataFrame:
-    """No empty ends, no self-edges, one row per (repo, src, dst, type)."""
-    return (
-        candidates.select(
-            "repo",
-            normalise_id(F.col("src")).alias("src"),
-            normalise_id(F.col("dst")).alias("dst"),
-            "type",
-        )
-        .filter((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst")))
-        .distinct()
-    )
+def distinct_edges(candidates: DataFrame, rows: int | None = None) -> DataFrame:
+    """No empty ends, no self-edges, one row per (repo, src, dst, type).
+
+    ``rows``, where the candidates are known to be so many at most and few of them alike,
+    sets the number of tasks (``distinct_rows``)."""
+    edges = candidates.select(
+        "repo",
+        normalise_id(F.col("src")).alias("src"),
+        normalise_id(F.col("dst")).alias("dst"),
+        "type",
+    ).filter((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst")))
+    return distinct_rows(edges, rows)
 
 
 def structure_nodes(
@@ -250,11 +251,12 @@ def stub_links(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def dangling_targets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def dangling_targets(nodes: DataFrame, edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Edge targets that are no node, as external ``unresolved`` nodes.  Targets
-    are made distinct before the join, so a popular one is one row."""
+    are made distinct before the join, so a popular one is one row there; where it is known
+    how many ``rows`` the edges are, that sets the number of tasks (``dealt``)."""
     targets = edges.select("repo", F.col("dst").alias("node_id")).distinct()
-    missing = targets.join(
+    missing = dealt(targets, rows, "repo", "node_id").join(
         shuffled(nodes.select("repo", "node_id")), ["repo", "node_id"], "left_anti"
     )
     return missing.select(
@@ -266,31 +268,33 @@ def dangling_targets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def with_dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.select(*NODE_COLUMNS).unionByName(dangling_targets(nodes, edges))
+def with_dangling(nodes: DataFrame, edges: DataFrame, rows: int | None = None) -> DataFrame:
+    return nodes.select(*NODE_COLUMNS).unionByName(dangling_targets(nodes, edges, rows))
 
 
 def build_graph(
     node_rows: DataFrame, edge_rows: DataFrame, work: WorkTables | None = None
 ) -> Graph:
     """A graph from any node rows (repo, node_id, node_type, external[, seq SEQ_TYPE]) and
-    edge rows (repo, src, dst, type).  With ``work`` its tables are written, so
-    that everything derived from them starts there."""
+    edge rows (repo, src, dst, type).  With ``work`` the edge rows are counted
+    and its tables written, so that everything derived from them starts there."""
     if "seq" not in node_rows.columns:
         node_rows = node_rows.withColumn(
             "seq", seq(STRUCTURE, F.lit(0), F.lit(0), F.lit(0))
         )
     nodes = first_wins(node_rows, work)
-    edges = distinct_edges(edge_rows)
     if work is None:
+        edges = distinct_edges(edge_rows)
         return Graph(with_dangling(nodes, edges), edges)
-    edges = work.keep(edges, "edges")
-    return Graph(work.keep(with_dangling(nodes, edges), "nodes"), edges)
+    nodes = work.keep(nodes, "known")
+    edges = work.keep(distinct_edges(edge_rows, edge_rows.count()), "edges")
+    rows = edges.count()
+    return Graph(work.keep(with_dangling(nodes, edges, rows), "nodes"), edges, rows)
 
 
-def pairs_of(edges: DataFrame) -> DataFrame:
+def pairs_of(graph: Graph) -> DataFrame:
     """One row per ordered pair, whatever the number of edge types on it."""
-    return edges.select("repo", "src", "dst").distinct()
+    return distinct_rows(graph.edges.select("repo", "src", "dst"), graph.n_edges)
 
 
 def undirected(edges: DataFrame) -> DataFrame:

@@ -9,14 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.work import shuffled
+from ..functions.work import ROWS_PER_TASK, dealt, shuffled
 from .graph import Graph, pairs_of
 
 
 def degrees(graph: Graph) -> DataFrame:
     """(repo, node_id, degree): in + out over distinct ordered pairs; nodes
     without edges have 0, edge ends that are no node count as nodes."""
-    ends = pairs_of(graph.edges).select(
+    ends = pairs_of(graph).select(
         "repo", F.explode(F.array("src", "dst")).alias("node_id"), F.lit(1).alias("n")
     )
     lone = graph.nodes.select("repo", "node_id", F.lit(0).alias("n"))
@@ -29,7 +29,7 @@ def degrees(graph: Graph) -> DataFrame:
 
 def degrees_with_nodes(graph: Graph) -> DataFrame:
     """Degrees with each node's type and origin, in one aggregation."""
-    ends = pairs_of(graph.edges).select(
+    ends = pairs_of(graph).select(
         "repo",
         F.explode(F.array("src", "dst")).alias("node_id"),
         F.lit(1).alias("n"),
@@ -41,7 +41,7 @@ def degrees_with_nodes(graph: Graph) -> DataFrame:
     )
     counted = ends.groupBy("repo", "node_id").agg(F.sum("n").cast("bigint").alias("degree"))
     return (
-        nodes.join(counted, ["repo", "node_id"], "full_outer")
+        nodes.join(dealt(counted, graph.n_edges, "repo", "node_id"), ["repo", "node_id"], "full_outer")
         .select(
             "repo",
             "node_id",
@@ -132,18 +132,44 @@ def internal_sources(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(shuffled(outside), ["repo", "src"], "left_anti")
 
 
-def capped_neighbours(neighbours: DataFrame, cap: int = fixed.PAGE_NEIGHBOURS) -> DataFrame:
+NEIGHBOUR_KEYS = ("repo", "node_id", "direction", "type")
+# a list with so many rows in a sample of one row in SAMPLED is that of a hub
+SAMPLED, HUB_IN_SAMPLE = 200, 100
+
+
+def capped_neighbours(
+    neighbours: DataFrame, cap: int = fixed.PAGE_NEIGHBOURS, rows: int | None = None
+) -> DataFrame:
     """(repo, node_id, direction, type, neighbours): the first ``cap`` distinct
-    neighbours in code-point order; rows past the cap are cut in each task before
-    the shuffle."""
-    keys = ["repo", "node_id", "direction", "type"]
-    ordered = W.partitionBy(*keys).orderBy("neighbour")
-    return (
-        neighbours.withColumn("_rank", F.dense_rank().over(ordered))
-        .filter(F.col("_rank") <= cap)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set("neighbour")).alias("neighbours"))
+    neighbours in code-point order.
+
+    Rows past the cap are cut in each task before the shuffle.  Where ``rows``, how many
+    there are at most, exceeds one task's, only the lists of hubs, found in a sample, are;
+    there is nothing to cut in the others, which are dealt out and sorted once."""
+
+    def first(listed: DataFrame) -> DataFrame:
+        # sorting compares one number, names only where it is equal
+        ordered = W.partitionBy("_list", *NEIGHBOUR_KEYS).orderBy("neighbour")
+        whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        return (
+            listed.withColumn("_list", number).withColumn("_rank", F.dense_rank().over(ordered))
+            .filter(F.col("_rank") <= cap)
+            .withColumn("neighbours", F.collect_list("neighbour").over(whole))
+            .withColumn("_at", F.row_number().over(ordered))
+            .filter("_at = 1")
+            .select(*NEIGHBOUR_KEYS, F.array_distinct("neighbours").alias("neighbours"))
+        )
+
+    number = F.xxhash64(*NEIGHBOUR_KEYS)
+    if rows is None or rows <= ROWS_PER_TASK:
+        return first(neighbours)
+    listed = neighbours.select(*NEIGHBOUR_KEYS, "neighbour", number.alias("_list"))
+    hubs = F.broadcast(
+        listed.sample(1 / SAMPLED, seed=0).groupBy("_list").agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") >= HUB_IN_SAMPLE).select("_list")
     )
+    light = dealt(listed.join(hubs, "_list", "left_anti").drop("_list"), rows, *NEIGHBOUR_KEYS)
+    return first(light).unionByName(first(listed.join(hubs, "_list", "left_semi")))
 
 
 def community_members(nodes: DataFrame) -> DataFrame:
