@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.work import WorkTables
@@ -71,11 +72,15 @@ def scan(
         g.structure_edges(folders, file_nodes)
         .unionByName(g.definition_edges(symbols))
         .unionByName(g.import_edges(imports))
-        .unionByName(g.stub_links(symbols, known))
+        .unionByName(g.stub_links(symbols, known)),
+        facts.count() + imports.count() + numbers[1],
     )
     edges = work.keep(edges, "edges")
-    nodes = work.keep(g.with_dangling(known, edges), "nodes")
-    return Scan(chosen, symbols, imports, Graph(nodes, edges))
+    # folders, files and symbols are nodes already where their repository has a name
+    outward = edges.filter(F.col("repo").isNull() | F.col("type").isin("imports", *g.EDGE_KINDS))
+    n_edges = edges.count()
+    nodes = work.keep(g.with_dangling(known, outward, n_edges), "nodes")
+    return Scan(chosen, symbols, imports, Graph(nodes, edges, n_edges))
 
 
 def views(
@@ -84,10 +89,11 @@ def views(
     """The ``classic`` and the ``smart`` view, nodes with their communities."""
     work = work or WorkTables(graph.nodes.sparkSession)
     labelled = with_communities(graph, communities(graph, work=work))
-    labelled = Graph(work.keep(labelled.nodes, "labelled"), labelled.edges)
+    labelled = Graph(work.keep(labelled.nodes, "labelled"), labelled.edges, labelled.n_edges)
     ranks = work.keep(pagerank(graph, rounds=rounds, work=work), "ranks")
     smart = smart_graph(labelled, ranks, work)
-    smart = Graph(smart.nodes, work.keep(smart.edges, "smart-edges"))
+    edges = work.keep(smart.edges, "smart-edges")
+    smart = Graph(smart.nodes, edges, edges.count())
     return {"classic": labelled, "smart": smart}
 
 
