@@ -51,7 +51,8 @@ def sections(graph: Graph) -> DataFrame:
     both = outgoing(graph.edges).unionByName(
         incoming(internal_sources(graph.edges, graph.nodes))
     )
-    lists = capped_neighbours(both, fixed.PAGE_NEIGHBOURS)
+    rows = None if graph.n_edges is None else 2 * graph.n_edges
+    lists = capped_neighbours(both, fixed.PAGE_NEIGHBOURS, rows)
     block = F.struct(
         "type",
         F.concat(

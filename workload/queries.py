@@ -88,7 +88,7 @@ def _grouped(session: str, spark: SparkSession, sf_dir: str) -> Graph:
     nodes = graph.nodes.join(
         owned.join(numbers, ["repo", "owner"]).drop("owner"), ["repo", "node_id"], "left"
     ).withColumn("community", F.coalesce("community", F.lit(-1)).cast("int"))
-    return Graph(work.keep(nodes, "grouped"), graph.edges)
+    return Graph(work.keep(nodes, "grouped"), graph.edges, graph.n_edges)
 
 
 def grouped(spark: SparkSession, sf_dir: str) -> Graph:
@@ -487,7 +487,8 @@ SELECT repo, node_id, direction, type,
   SELECT * FROM lists QUALIFY row_number() OVER (
     PARTITION BY repo, node_id, direction, type ORDER BY neighbour) <= 25) GROUP BY ALL""")
 def capped_neighbours(spark, sf_dir):
-    lists = metrics.capped_neighbours(metrics.adjacency(fk_graph(spark, sf_dir).edges))
+    graph = fk_graph(spark, sf_dir)
+    lists = metrics.capped_neighbours(metrics.adjacency(graph.edges), rows=2 * graph.n_edges)
     return lists.withColumn("neighbours", F.array_join("neighbours", " "))
 
 
