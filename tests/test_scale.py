@@ -5,11 +5,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.functions import work as w
 from codeloom.functions.work import WorkTables
 from codeloom.operators import graph as g
 from codeloom.operators import metrics
-from codeloom.operators.iterate import salted_edges, send
-from workload import sources
+from codeloom.operators.iterate import index_graph, salted_edges, send
+from codeloom.plans import jobs
+from workload import queries, sources
 
 
 def _plan(df):
@@ -85,3 +87,73 @@ def test_line_items_are_joined_once(spark, tmp_path, monkeypatch):
         ("EU", "order/1", "part/5"), ("EU", "order/1", "supplier/6"),
         ("US", "order/2", "part/5"), ("US", "order/2", "supplier/6"),
     ]
+
+
+def test_tasks_of_degrees_grow_with_the_edges(spark, written, monkeypatch):
+    nodes, edges = written
+    monkeypatch.setattr(w, "ROWS_PER_TASK", 2)
+    again = edges.withColumn("type", F.lit("uses"))
+    twice = edges.unionByName(edges).unionByName(again).unionByName(
+        spark.createDataFrame([(None, "a", "b", None)] * 2, edges.schema)
+    )
+    kept = g.distinct_edges(twice, 60)
+    assert kept.rdd.getNumPartitions() == 30
+    assert kept.count() == 2 * 29 + 1
+    graph = g.Graph(nodes, kept, 59)
+    assert g.pairs_of(graph).rdd.getNumPartitions() == 30
+    assert g.pairs_of(graph).count() == 29 + 1
+    plain = metrics.degrees(g.Graph(nodes, kept)).collect()
+    assert sorted(map(str, metrics.degrees(graph).collect())) == sorted(map(str, plain))
+
+
+def test_lists_are_dealt_out_and_hubs_cut_first(spark, monkeypatch):
+    rows = [("r", f"n{i % 40}", "out", "t", f"m{i}") for i in range(300)]
+    rows += [("r", "hub", "in", "t", f"m{i % 150}") for i in range(300)]
+    rows += [(None, "n", "in", None, "a"), (None, "n", "in", None, "a"), ("r", "n", "in", "t", None)]
+    lists = spark.createDataFrame(
+        rows, "repo string, node_id string, direction string, type string, neighbour string"
+    )
+    expected = {}
+    for *key, other in rows:
+        expected.setdefault(tuple(key), set()).update([other] if other else [])
+    monkeypatch.setattr(metrics, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(metrics, "SAMPLED", 1)
+    monkeypatch.setattr(w, "ROWS_PER_TASK", 50)
+    got = metrics.capped_neighbours(lists, 5, rows=len(rows))
+    assert "REPARTITION_BY_NUM" in _plan(got)
+    found = got.collect()
+    assert len(found) == len(expected)
+    assert {tuple(r)[:4]: r.neighbours for r in found} == {k: sorted(v)[:5] for k, v in expected.items()}
+
+
+def test_pairs_are_distinct_as_numbers(spark, written):
+    nodes, edges = written
+    twice = edges.unionByName(edges.withColumn("type", F.lit("uses")))
+    assert index_graph(nodes, twice, WorkTables(spark)).pairs.count() == 29
+
+
+def test_known_targets_are_not_looked_up(spark, monkeypatch):
+    files = spark.createDataFrame(
+        [("r", "a/x.js", "a", "x.js", ".js", "import pad from 'leftpad';\nclass Big {\n}\n"),
+         (None, "b/y.js", "b", "y.js", ".js", "import pad from 'leftpad';\n")],
+        "repo string, file_id string, dir string, name string, ext string, content string",
+    )
+    asked, real = [], g.dangling_targets
+
+    def looked_up(nodes, edges, rows):
+        asked.append(edges)
+        return real(nodes, edges, rows)
+
+    monkeypatch.setattr(g, "dangling_targets", looked_up)
+    scan = jobs.scan(files)
+    assert {(r.repo, r.type) for r in asked[0].collect()} == {("r", "imports"), (None, "contains")}
+    missing = real(scan.graph.nodes.filter("seq.class <> 3"), scan.graph.edges)
+    assert set(missing.collect()) == set(scan.graph.nodes.filter("seq.class = 3").select(missing.columns).collect())
+
+
+def test_smart_view_is_written_once(spark):
+    sf = "/root/testdata/sf0.001"
+    view = queries._both_views(spark, sf)["smart"]
+    assert queries._both_views(spark, sf)["smart"] is view
+    assert all("smart-edges" in path for path in view.edges.inputFiles())
+    assert view.n_edges == view.edges.count()

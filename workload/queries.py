@@ -410,10 +410,17 @@ def extract_stats(spark, sf_dir):
 SMART = ",\n".join([sql.SOURCE_GRAPH, sql.ranks(ROUNDS), sql.KEEP, sql.SMART_EDGES])
 
 
+@lru_cache(maxsize=8)
+def _views(session: str, spark: SparkSession, sf_dir: str) -> dict[str, Graph]:
+    classic, work = grouped(spark, sf_dir), WorkTables(spark)
+    smart = smart_graph(classic, ranks(spark, sf_dir), work)
+    edges = work.keep(smart.edges, "smart-edges")
+    return {"classic": classic, "smart": Graph(smart.nodes, edges, edges.count())}
+
+
 def _both_views(spark, sf_dir) -> dict[str, Graph]:
-    classic = grouped(spark, sf_dir)
-    smart = smart_graph(classic, ranks(spark, sf_dir), WorkTables(spark))
-    return {"classic": classic, "smart": smart}
+    """Both views, the smart one written once per session and read by all that render it."""
+    return _views(spark.sparkContext.applicationId, spark, sf_dir)
 
 
 def _metadata(spark, sf_dir) -> DataFrame:
