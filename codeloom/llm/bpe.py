@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.work import WorkTables
-from .common import map_rows, small_batches
+from .common import give_back, map_rows, small_batches
 
 TABLE_WORDS = 200_000
 _LONGEST_IN_TABLE = 64
@@ -92,6 +92,8 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
                     yield out()
                     counts.clear()
         yield out()
+        counts.clear()
+        give_back()
 
     return (
         docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n long")
@@ -119,31 +121,43 @@ def word_table(counts: DataFrame, path: str, most: int = TABLE_WORDS) -> DataFra
     return map_rows(chosen.select("word"), make, "word string, ids binary")
 
 
+def _word_ids(docs: DataFrame, path: str, text_col: str, most: int, work: WorkTables | None):
+    """The word table, broadcast."""
+    work = work or WorkTables(docs.sparkSession)
+    counts = work.keep(word_counts(docs, text_col), "words")
+    table = work.keep(word_table(counts, path, most), "word-ids").toArrow()
+    return docs.sparkSession.sparkContext.broadcast(
+        dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist()))
+    )
+
+
+def _ids_of(texts: pa.Array, ids_of: dict[str, bytes], path: str) -> list[bytes]:
+    split = [WORD.findall(t) if t else [] for t in texts.to_pylist()]
+    missing = list({w for words in split for w in words if w not in ids_of})
+    rare = dict(zip(missing, _encoded(path, missing)))
+    return [
+        b"".join([ids_of[w] if w in ids_of else rare[w] for w in words]) for words in split
+    ]
+
+
+def _texts_of(all_ids: list[bytes], path: str) -> list[str]:
+    piece = pieces(path)
+    return [
+        b"".join([piece[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        for ids in all_ids
+    ]
+
+
 def encode(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
     most: int = TABLE_WORDS, work: WorkTables | None = None,
 ) -> DataFrame:
     """Per row: id, ids (little-endian unsigned 32-bit numbers, packed)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    work = work or WorkTables(spark)
-    counts = work.keep(word_counts(docs, text_col), "words")
-    table = work.keep(word_table(counts, path, most), "word-ids").toArrow()
-    known = spark.sparkContext.broadcast(
-        dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist()))
-    )
+    small_batches(docs.sparkSession)
+    known = _word_ids(docs, path, text_col, most, work)
 
     def make(batch: pa.RecordBatch) -> dict[str, list]:
-        ids_of, rare = known.value, {}
-        split = [WORD.findall(t) if t else [] for t in batch.column(1).to_pylist()]
-        missing = list({w for words in split for w in words if w not in ids_of})
-        rare = dict(zip(missing, _encoded(path, missing)))
-        return {
-            "id": batch.column(0),
-            "ids": [
-                b"".join([ids_of[w] if w in ids_of else rare[w] for w in words]) for words in split
-            ],
-        }
+        return {"id": batch.column(0), "ids": _ids_of(batch.column(1), known.value, path)}
 
     return map_rows(
         docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")),
@@ -155,13 +169,28 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with the text that its ids spell."""
 
     def make(batch: pa.RecordBatch) -> dict[str, list]:
-        piece = pieces(path)
         return {
             "id": batch.column(0), "ids": batch.column(1),
-            "text": [
-                b"".join([piece[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
-                for ids in batch.column(1).to_pylist()
-            ],
+            "text": _texts_of(batch.column(1).to_pylist(), path),
         }
 
     return map_rows(encoded.select("id", "ids"), make, "id long, ids binary, text string")
+
+
+def round_trip(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+    most: int = TABLE_WORDS, work: WorkTables | None = None,
+) -> DataFrame:
+    """What ``decode`` gives of ``encode``'s rows, in one pass: a task then holds one Python
+    worker with the vocabulary, not one for each way."""
+    small_batches(docs.sparkSession)
+    known = _word_ids(docs, path, text_col, most, work)
+
+    def make(batch: pa.RecordBatch) -> dict[str, list]:
+        ids = _ids_of(batch.column(1), known.value, path)
+        return {"id": batch.column(0), "ids": ids, "text": _texts_of(ids, path)}
+
+    return map_rows(
+        docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")),
+        make, "id long, ids binary, text string",
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -58,12 +59,20 @@ def map_rows(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[f.name], f.type) for f in fields], schema=fields
                 )
-        # a worker lives on: what long texts took is given back
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """A Python worker lives on after its task, beside the executor's own memory: what the
+    task's texts took goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what is freed
+    if trim:
+        trim(0)
+
+
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.work import WorkTables
-from .common import broadcast_if, learn_from, map_rows, small_batches, text_bytes
+from .common import broadcast_if, give_back, learn_from, map_rows, small_batches, text_bytes
 
 FEATURES = 256
 KERNEL_WIDTH = 3.0
@@ -237,5 +237,6 @@ def keep_good(
             if batch.num_rows:
                 stats = np.array([statistics(t) for t in text_bytes(batch.column(at))])
                 yield batch.filter(pa.array(shared.value.score(stats) >= least))
+        give_back()
 
     return docs.mapInArrow(passing, docs.schema)

@@ -78,7 +78,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_bpe")
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    found = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    found = bpe.round_trip(read(spark, sf_dir, "documents"), path)
     return found.select(
         F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"),

@@ -41,8 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, packed as little-endian 32-bit numbers, with digests of them
     and of the text that they decode to."""
-    path = public_tokenizers.path(VOCABULARY)
-    found = bpe.decode(bpe.encode(docs, path), path)
+    found = bpe.round_trip(docs, public_tokenizers.path(VOCABULARY))
     return found.select(
         F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"),

@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -54,3 +55,14 @@ def test_pieces_spell_every_id(tokenizer):
     assert len(pieces) == tokenizer.get_vocab_size() == 50_257
     assert pieces[50_256] == b"<|endoftext|>"
     assert b"".join(pieces[i] for i in tokenizer.encode("héllo\n wörld").ids).decode() == "héllo\n wörld"
+
+
+def test_pipeline_encodes_and_decodes_in_one_pass(spark, make_docs):
+    rows = {1: "a b <|endoftext|>", 2: None, 3: "", 4: "é中😀 " * 50, 5: "rare" * 30}
+    docs = make_docs([*rows.items(), (1, "again"), (None, "no id")])
+    one = bpe.round_trip(docs, PATH, most=3)
+    both = bpe.decode(bpe.encode(docs, PATH, most=3), PATH)
+    assert sorted(map(str, one.collect())) == sorted(map(str, both.collect()))
+    # a task holds one Python worker with the vocabulary
+    plan = corpus_pipeline.encoding(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
