@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.names import normalise_id
-from ..functions.work import WorkTables, dealt, dense_index, distinct_rows, shuffled, small_side
+from ..functions.work import (
+    BROADCAST_ROWS, WorkTables, dealt, dense_index, distinct_rows, shuffled, small_side,
+)
 
 STRUCTURE, SYMBOL, EXTERNAL, UNRESOLVED = range(4)
 NODE_COLUMNS = ("repo", "node_id", "node_type", "external", "seq")
@@ -65,9 +67,11 @@ def number_paths(folders: DataFrame, files: DataFrame, work: WorkTables) -> tupl
 
 
 def with_place(rows: DataFrame, numbers: tuple[DataFrame, int], path: str = "file_id") -> DataFrame:
-    """Rows with the ``file`` number of the path in a column."""
+    """Rows with the ``file`` number of the path in a column.  Rows beyond what may be
+    broadcast are shuffled: the optimiser knows no size of facts and would broadcast them."""
     table, n = numbers
-    return rows.join(small_side(table.withColumnRenamed("file_id", path), n), ["repo", path])
+    table = table.withColumnRenamed("file_id", path)
+    return rows.join(small_side(table, n) if n <= BROADCAST_ROWS else shuffled(table), ["repo", path])
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.names import normalise_id
-from ..functions.work import WorkTables
+from ..functions.work import WorkTables, shuffled
 from .javascript import relative_path
 from .structure import suffix_index
 
@@ -39,7 +39,7 @@ def files_at(requests: DataFrame, files: DataFrame) -> DataFrame:
     spelling that has one."""
     listed = files.select("repo", F.col("file_id").alias("suffix"))
     return (
-        _spellings(requests).join(listed, ["repo", "suffix"])
+        _spellings(requests).join(shuffled(listed), ["repo", "suffix"])
         .groupBy("repo", "alias").agg(F.min_by("suffix", "rank").alias("placed"))
     )
 

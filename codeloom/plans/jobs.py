@@ -43,15 +43,18 @@ def scan(
     """Extract and build the graph of a file table.
 
     ``listing`` names all files, also unsupported ones, for the folder nodes; by
-    default it is the file table.  Facts are written once and read back, as
-    nodes and edges both need them and the text should be scanned once.
+    default it is the file table.  Paths and facts are written once and read back:
+    nearly every step needs the paths, nodes and edges both need the facts, and the
+    file table should be worked out, and its text scanned, once.
     """
     work = work or WorkTables(files.sparkSession)
     chosen = select_files(files, focus)
-    paths = chosen.select("repo", "file_id", "dir", "name", "ext")
-    all_paths = structure.focus_files(
-        structure.prune_dirs(files if listing is None else listing), focus
-    )
+    listed = structure.focus_files(structure.prune_dirs(files), focus)
+    listed = work.keep(listed.select("repo", "file_id", "dir", "name", "ext"), "paths")
+    paths = structure.supported_files(listed, registry.extensions())
+    all_paths = listed
+    if listing is not None:
+        all_paths = structure.focus_files(structure.prune_dirs(listing), focus)
     folders = work.keep(structure.folder_paths(all_paths, focus), "folders")
     file_nodes = structure.file_nodes(paths)
     numbers = g.number_paths(folders, paths, work)

@@ -157,3 +157,35 @@ def test_smart_view_is_written_once(spark):
     assert queries._both_views(spark, sf)["smart"] is view
     assert all("smart-edges" in path for path in view.edges.inputFiles())
     assert view.n_edges == view.edges.count()
+
+
+def test_scan_works_its_file_table_out_once_for_paths(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = [("r", f"d{i % 3}/f{i}.js", f"d{i % 3}", f"f{i}.js", ".js", "import x from './f0';\n") for i in range(20)]
+    schema = "repo string, file_id string, dir string, name string, ext string, content string"
+    files = spark.createDataFrame(rows, schema).mapInPandas(counted, schema)
+    scan = jobs.scan(files)
+    assert scan.imports.count() == 20
+    # the paths, and the text by rules, by tokens and by syntax tree
+    assert read.value <= 4 * len(rows)
+
+
+def test_facts_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(g, "BROADCAST_ROWS", 2)
+    numbers = spark.createDataFrame([("r", f"f{i}", i) for i in range(5)], "repo string, file_id string, file long")
+    facts = spark.createDataFrame([("r", "f1", "x"), ("r", "f4", "y")], "repo string, file_id string, name string")
+    placed = g.with_place(facts, (numbers, 5))
+    assert "Broadcast" not in _plan(placed)
+    assert {(r.name, r.file) for r in placed.collect()} == {("x", 1), ("y", 4)}
+
+
+def test_listing_is_spread_before_it_is_worked_out(spark):
+    listing = sources.with_alias(spark, "/root/testdata/sf0.001")
+    plan = _plan(listing)
+    assert plan.index("Generate") < plan.index("Exchange RoundRobinPartitioning")

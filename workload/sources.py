@@ -48,6 +48,8 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(
         F.col("p_brand").alias("repo"), F.col("p_partkey").alias("k"), "p_name", "p_type", "p_size"
     )
+    # a few bytes per part, in few files, grow into paths and texts: spread them before they do
+    parts = parts.repartition(spark.sparkContext.defaultParallelism)
     return parts.select(
         "repo", "k", lang.alias("lang"), stem.alias("stem"), alias.alias("alias"),
         directory.alias("dir"),
@@ -107,9 +109,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.replace(
         F.replace(text, F.lit("{k}"), k.cast("string")), F.lit("{alias}"), F.col("alias")
     )
-    # a few bytes per part grow into whole files: spread them before they do
-    spread = _listing(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
-    return spread.select("repo", "file_id", "dir", "name", "ext", content.alias("content"))
+    return _listing(spark, sf_dir).select("repo", "file_id", "dir", "name", "ext", content.alias("content"))
 
 
 def fk_graph(spark: SparkSession, sf_dir: str) -> Graph:
