@@ -17,6 +17,8 @@ BROADCAST_ROWS = 200_000
 HEAVY_SHARE = 1000
 # Rows of ids and names that one task groups or sorts at a time.
 ROWS_PER_TASK = 1_000_000
+# Rows of numbers that one task joins and groups sooner than a shuffle deals them out.
+FEW_ROWS = 200_000
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -106,8 +108,19 @@ def dealt(df: DataFrame, rows: int | None, *keys) -> DataFrame:
     needs no shuffle of its own for these keys.  Without a count they stay where they are."""
     if rows is None:
         return df
-    least = min(partitions(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(max(least, -(-rows // ROWS_PER_TASK)), *keys)
+    return df.repartition(tasks_of(df.sparkSession, rows), *keys)
+
+
+def tasks_of(spark: SparkSession, rows: int) -> int:
+    """One task per ROWS_PER_TASK rows, and as many as run at once at least."""
+    least = min(partitions(spark), spark.sparkContext.defaultParallelism)
+    return max(least, -(-rows // ROWS_PER_TASK))
+
+
+def laid_out(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """Rows in so many partitions by a key, which meet other such rows without a shuffle.  One
+    partition needs none at all: joins and aggregates that follow run in its task."""
+    return df.coalesce(1) if parts == 1 else df.repartition(parts, key)
 
 
 def distinct_rows(df: DataFrame, rows: int | None) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.work import WorkTables, dense_index, partitions, shuffled, small_side
+from ..functions.work import (
+    FEW_ROWS, WorkTables, dense_index, laid_out, partitions, shuffled, small_side, tasks_of,
+)
 
 # edges of one source kept together in one (source, salt) group
 EDGES_PER_SALT = 100_000
@@ -110,3 +112,68 @@ def send(edges: DataFrame, state: DataFrame, *payload) -> DataFrame:
         *payload,
     )
     return edges.join(shuffled(outgoing), ["src", "salt"])
+
+
+@dataclass
+class Laid:
+    """Edges (src, dst, w) where their sources' node rows come to lie, see ``lay``."""
+
+    plain: DataFrame  # of all sources but hubs: partitioned and sorted by src, persisted
+    parts: int
+    hubs: DataFrame | None = None  # vid
+    n_hubs: int = 0
+    from_hubs: DataFrame | None = None
+
+    def only(self, moving: DataFrame, rows: int) -> Laid:
+        """The edges of these nodes (vid) alone; ``rows`` are the nodes and their edges."""
+        own = moving.select(F.col("vid").alias("src"))
+        hub_edges = self.from_hubs and self.from_hubs.join(own, "src", "left_semi")
+        plain = self.plain.join(shuffled(own), "src", "left_semi")
+        return _laid(plain, hub_edges, self.hubs, self.n_hubs, rows)
+
+    def unpersist(self) -> None:
+        self.plain.unpersist()
+
+
+def lay(edges: DataFrame, degrees: DataFrame, n_hubs: int, rows: int) -> Laid:
+    """Edges by source, ``rows`` with their nodes; ``degrees`` has src and out_edges.
+
+    Node rows that are laid out by ``vid`` meet them in place, and so do messages laid out by
+    target.  Sources of more than EDGES_PER_SALT edges, at most one per so many edges, are not
+    gathered: their edges stay where they are and get the hubs' few node rows by broadcast."""
+    if n_hubs == 0:
+        return _laid(edges, None, None, 0, rows)
+    hubs = degrees.filter(F.col("out_edges") > EDGES_PER_SALT).select("src")
+    few = small_side(hubs, n_hubs)
+    return _laid(
+        edges.join(few, "src", "left_anti"), edges.join(few, "src", "left_semi"),
+        hubs.withColumnRenamed("src", "vid"), n_hubs, rows,
+    )
+
+
+def _laid(plain, from_hubs, hubs, n_hubs: int, rows: int) -> Laid:
+    parts = 1 if rows <= FEW_ROWS else tasks_of(plain.sparkSession, rows)
+    plain = laid_out(plain, parts, "src").sortWithinPartitions("src")
+    return Laid(plain.persist(StorageLevel.MEMORY_AND_DISK), parts, hubs, n_hubs, from_hubs)
+
+
+def messages(laid: Laid, state: DataFrame, *payload) -> DataFrame:
+    """Rows (dst, w, payload), laid out by target: the payload of each node in ``state``, whose
+    rows are laid out by ``vid``, along its edges.  What goes to a hub is summed up before it
+    travels.
+
+    Nodes are never broadcast, which would send all of them through the driver."""
+    outgoing = state.selectExpr("vid AS src", *payload)
+    sent = laid.plain.join(shuffled(outgoing), "src").drop("src")
+    if laid.hubs is not None:
+        def at_hubs(rows, end, how):
+            named = laid.hubs.withColumnRenamed("vid", end)
+            return rows.join(small_side(named, laid.n_hubs), end, how)
+
+        of_hubs = small_side(at_hubs(outgoing, "src", "left_semi"), laid.n_hubs)
+        sent = sent.unionByName(laid.from_hubs.join(of_hubs, "src").drop("src"))
+        summed = at_hubs(sent, "dst", "left_semi").groupBy(
+            *[c for c in sent.columns if c != "w"]
+        ).agg(F.sum("w").alias("w"))
+        sent = at_hubs(sent, "dst", "left_anti").unionByName(summed)
+    return laid_out(sent, laid.parts, "dst")

@@ -1,5 +1,6 @@
 """What must not grow with the input: tables broadcast, joins computed again."""
 
+import random
 import re
 
 import pytest
@@ -7,8 +8,10 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import work as w
 from codeloom.functions.work import WorkTables
+from codeloom.operators import communities as c
 from codeloom.operators import graph as g
-from codeloom.operators import metrics
+from codeloom.operators import iterate, metrics
+from codeloom.operators.graph import Graph
 from codeloom.operators.iterate import index_graph, salted_edges, send
 from codeloom.plans import jobs
 from workload import queries, sources
@@ -189,3 +192,81 @@ def test_listing_is_spread_before_it_is_worked_out(spark):
     listing = sources.with_alias(spark, "/root/testdata/sf0.001")
     plan = _plan(listing)
     assert plan.index("Generate") < plan.index("Exchange RoundRobinPartitioning")
+
+
+def _linked(spark, pairs, work, **more):
+    """Nodes as ``_move_round`` takes them, and their edges in both directions."""
+    both = [(a, b, 1.0) for a, b in pairs] + [(b, a, 1.0) for a, b in pairs]
+    edges = work.keep(spark.createDataFrame(both, "src bigint, dst bigint, w double"), "edges")
+    state = edges.groupBy(F.col("src").alias("vid")).agg(F.sum("w").alias("k"), F.count("*").alias("links"))
+    values = {"rid": "0L", "place": "vid", "loops": "0D", "m2": f"{len(both)}D", "few": "1D",
+              "round": "0", "comm": "vid"}
+    return work.keep(state.selectExpr("*", *[f"{v} AS {c}" for c, v in values.items()]), "state"), edges
+
+
+def test_a_round_of_few_nodes_runs_in_one_task(spark):
+    work = w.WorkTables(spark)
+    state, edges = _linked(spark, [(i, (i * 7 + 1) % 50) for i in range(50)], work)
+    laid = iterate.lay(edges, edges.groupBy("src").agg(F.count("*").alias("out_edges")), 0, 150)
+    plan = _plan(c._move_round(state, laid, 42, 50, True, work))
+    assert "hashpartitioning" not in plan
+    # the number of the round is no part of the code, which is compiled once
+    assert re.search(r"xxhash64\([^,]*place[^,]*, [^,]*round", plan)
+
+
+def test_a_round_of_many_nodes_leaves_the_edges_in_place(spark, monkeypatch):
+    monkeypatch.setattr(iterate, "FEW_ROWS", 10)
+    work = w.WorkTables(spark)
+    state, edges = _linked(spark, [(i, (i * 7 + 1) % 50) for i in range(50)], work)
+    laid = iterate.lay(edges, edges.groupBy("src").agg(F.count("*").alias("out_edges")), 0, 150)
+    laid.plain.count()
+    plan = _plan(c._move_round(state, laid, 42, 50, True, work)).split("InMemoryRelation")[0]
+    assert "Exchange hashpartitioning(src" not in plan
+    assert len(re.findall(r"Exchange hashpartitioning\((?:vid|dst)", plan)) <= 3
+
+
+@pytest.fixture(scope="module")
+def linked(spark):
+    """A graph of three repositories, and its communities."""
+    rng = random.Random(11)
+    nodes, edges = [], []
+    for repo, size, links in (("a", 24, 40), ("b", 14, 18), ("d", 3, 0)):
+        nodes += [(repo, f"n{i:02}", "file", False) for i in range(size)]
+        pairs = {tuple(sorted(rng.sample(range(size), 2))) for _ in range(links)}
+        pairs |= {(0, i) for i in range(1, size, 3)} if links else set()
+        edges += [(repo, f"n{x:02}", f"n{y:02}", "imports") for x, y in sorted(pairs)]
+    graph = Graph(
+        spark.createDataFrame(nodes, "repo string, node_id string, node_type string, external boolean"),
+        spark.createDataFrame(edges, "repo string, src string, dst string, type string"),
+    )
+    return graph, c.communities(graph)
+
+
+@pytest.mark.parametrize("few, broadcast, salt, repos", [
+    (0, 200_000, 100_000, 1000),  # dealt out, totals broadcast
+    (0, 2, 3, 0),  # totals joined in two parts, hubs, tables of repositories
+    (10**6, 2, 3, 1000),  # hubs in one task
+    (60, 200_000, 100_000, 0),  # dealt out first, one task later
+])
+def test_communities_are_the_same_however_rows_lie(
+    spark, monkeypatch, linked, few, broadcast, salt, repos
+):
+    graph, usual = linked
+    usual = sorted(map(tuple, usual.collect()))
+    assert len({r[2] for r in usual if r[0] == "a"}) > 1
+    monkeypatch.setattr(iterate, "FEW_ROWS", few)
+    monkeypatch.setattr(c, "FEW_ROWS", few)
+    monkeypatch.setattr(c, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(iterate, "EDGES_PER_SALT", salt)
+    monkeypatch.setattr(c, "FEW_REPOS", repos)
+    assert sorted(map(tuple, c.communities(graph).collect())) == usual
+
+
+def test_few_nodes_are_written_once_a_round(spark, monkeypatch, linked):
+    """The old rounds wrote totals, moves and the repositories that go on: three tables."""
+    names = []
+    plain = w.written
+    monkeypatch.setattr(w, "written", lambda df, path: names.append(path.rsplit("/", 1)[1]) or plain(df, path))
+    c.communities(linked[0])
+    assert any("moves" in n for n in names)
+    assert not any(x in n for n in names for x in ("totals", "going", "at-rest"))
